@@ -204,4 +204,39 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({views[n]})" for n in order)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+# Derived oracle views for the PIT chain (mirrors of the operators, not inputs).
+VIEWS["v_cal"] = """
+SELECT as_of, id, period_end FROM (
+  SELECT min(as_of) AS as_of, id, period_end FROM v_reports GROUP BY id, period_end)
+WHERE as_of IS NOT NULL AND id IS NOT NULL AND period_end IS NOT NULL AND as_of >= DATE '1996-01-01'"""
+
+VIEWS["v_pit_cand"] = """
+SELECT r.as_of, r.id,
+       CAST(CAST(date_trunc('quarter', r.as_of) AS DATE) - to_months(CAST(3 * j AS INTEGER)) AS DATE) - 1 AS period_end
+FROM (SELECT DISTINCT as_of, id FROM v_cal) r, (SELECT unnest(range(0, 8)) AS j)"""
+
+VIEWS["v_pit"] = """
+SELECT c.as_of, c.id, v.statement, v.item_no, arg_max(v.item, v.publish_date) AS item, c.period_end,
+       max(v.publish_date) AS publish_date, arg_max(v.value, v.publish_date) AS value
+FROM v_pit_cand c JOIN v_vintages v ON v.id = c.id AND v.period_end = c.period_end
+WHERE v.publish_date <= c.as_of
+GROUP BY c.as_of, c.id, v.statement, v.item_no, c.period_end"""
+
+VIEWS["v_ranked"] = """
+SELECT * FROM (
+  SELECT as_of, period_end, dense_rank() OVER (PARTITION BY as_of ORDER BY period_end DESC) AS period_rank
+  FROM (SELECT as_of, period_end FROM v_pit WHERE period_end IS NOT NULL GROUP BY 1, 2 HAVING max(abs(value)) > 0))
+WHERE period_rank <= 6"""
+
+VIEWS["v_matrix"] = "SELECT l.as_of, l.id, l.statement, l.item_no, l.item, " + ", ".join(
+    f"coalesce(max(CASE WHEN r.period_rank = {i + 1} THEN l.value END), 0.0) AS {lab}"
+    for i, lab in enumerate(["t", "t_1", "t_2", "t_3", "t_4", "t_5"])
+) + """
+FROM v_pit l JOIN v_ranked r ON l.as_of = r.as_of AND l.period_end = r.period_end
+GROUP BY 1, 2, 3, 4, 5"""
