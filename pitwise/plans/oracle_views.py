@@ -240,3 +240,46 @@ VIEWS["v_matrix"] = "SELECT l.as_of, l.id, l.statement, l.item_no, l.item, " + "
 ) + """
 FROM v_pit l JOIN v_ranked r ON l.as_of = r.as_of AND l.period_end = r.period_end
 GROUP BY 1, 2, 3, 4, 5"""
+
+
+def classify_sql(p: str, n: str, prefix: str) -> str:
+    m = f"({n} / {p} - 1)"
+    return f"""CASE WHEN {p} = 0 AND {n} = 0 THEN 'INCREASING' WHEN {p} = 0 THEN 'INCREASING' WHEN {n} = 0 THEN 'DECREASING'
+            WHEN {m} > 0 THEN 'INCREASING' ELSE 'DECREASING' END AS {prefix}_direction,
+       CASE WHEN {p} = 0 AND {n} = 0 THEN 'FLAT' WHEN {p} = 0 OR {n} = 0 THEN 'LARGE' WHEN abs({m}) < 0.02 THEN 'FLAT'
+            WHEN abs({m}) <= 0.05 THEN 'SMALL' WHEN abs({m}) <= 0.1 THEN 'LARGE' ELSE 'VERY LARGE' END AS {prefix}_magnitude,
+       CAST(CASE WHEN {p} = 0 AND {n} = 0 THEN 0.0 WHEN {p} = 0 THEN {n} WHEN {n} = 0 THEN {p} ELSE {m} END AS DOUBLE) AS {prefix}_difference"""
+
+
+VIEWS["v_field"] = "SELECT id AS security, as_of AS date, t AS value FROM v_matrix WHERE item_no = 47 AND statement = 'is'"
+
+VIEWS["v_actual"] = f"""
+SELECT security, date, current_eps, next_period, {classify_sql('current_eps', 'next_period', 'actual')}
+FROM (SELECT security, date, value AS current_eps, lead(value) OVER (PARTITION BY security ORDER BY date) AS next_period
+      FROM v_field) WHERE next_period IS NOT NULL"""
+
+VIEWS["v_pairs"] = """
+SELECT c.id AS security, c.as_of AS date,
+       max(CASE WHEN e.act_est = 'A' AND e."offset" = 0 THEN e.value END) AS current_reported_eps,
+       max(CASE WHEN e.act_est = 'E' AND e."offset" = 1 THEN e.value END) AS analyst_estimated_eps
+FROM v_cal c JOIN v_estimates e ON e.id = c.id AND e.period_end = c.period_end
+GROUP BY c.id, c.as_of"""
+
+VIEWS["v_baseline"] = f"""
+SELECT security, date, current_reported_eps, analyst_estimated_eps,
+       {classify_sql('current_reported_eps', 'analyst_estimated_eps', 'analyst')}
+FROM v_pairs WHERE current_reported_eps IS NOT NULL AND analyst_estimated_eps IS NOT NULL"""
+
+VIEWS["v_compare"] = """
+SELECT b.security, b.date, b.current_reported_eps, b.analyst_estimated_eps, b.analyst_direction, b.analyst_magnitude,
+       b.analyst_difference, a.current_eps, a.next_period, a.actual_direction, a.actual_magnitude, a.actual_difference
+FROM v_baseline b JOIN v_actual a ON a.security = b.security AND a.date = b.date"""
+
+VIEWS["v_finetuned"] = f"""
+SELECT security, date, current_reported_eps, analyst_estimated_eps,
+       {classify_sql('current_reported_eps', 'analyst_estimated_eps', 'analyst')}
+FROM (SELECT c.id AS security, c.as_of AS date, p.current_reported_eps,
+             TRY_CAST(substr(t.response, 1, 4) AS DOUBLE) AS analyst_estimated_eps
+      FROM v_cal c JOIN v_ft_text t ON t.id = c.id AND t.period_end = c.period_end
+      JOIN v_pairs p ON p.security = c.id AND p.date = c.as_of)
+WHERE current_reported_eps IS NOT NULL AND analyst_estimated_eps IS NOT NULL"""
