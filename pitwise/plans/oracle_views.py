@@ -283,3 +283,55 @@ FROM (SELECT c.id AS security, c.as_of AS date, p.current_reported_eps,
       FROM v_cal c JOIN v_ft_text t ON t.id = c.id AND t.period_end = c.period_end
       JOIN v_pairs p ON p.security = c.id AND p.date = c.as_of)
 WHERE current_reported_eps IS NOT NULL AND analyst_estimated_eps IS NOT NULL"""
+
+
+# Derived oracle views for the portfolio chain (backtest window below).
+BT_START = "DATE '2024-01-01'"
+BT_END = "DATE '2024-01-31'"
+
+VIEWS["v_per_day"] = """
+SELECT security, date, max(seq) AS seq, arg_max(decision, seq) AS decision
+FROM v_trades WHERE decision IN ('BUY', 'SELL') GROUP BY security, date"""
+
+VIEWS["v_pos"] = f"""
+SELECT g.date, g.security,
+       CASE (SELECT arg_max(p.decision, p.seq) FROM v_per_day p WHERE p.security = g.security AND p.date <= g.date)
+         WHEN 'BUY' THEN 'LONG' ELSE 'SHORT' END AS state
+FROM (SELECT f.security, CAST(unnest(generate_series(f.start, {BT_END}, INTERVAL 1 DAY)) AS DATE) AS date
+      FROM (SELECT security, min(date) AS start FROM v_per_day GROUP BY security) f) g
+JOIN v_calendar c ON c.date = g.date"""
+
+VIEWS["v_ls"] = """
+SELECT date, security, sum(weight) AS weight FROM (
+  SELECT date, security, 1.0 / (1.0 * count(*) OVER (PARTITION BY date)) AS weight FROM v_pos WHERE state = 'LONG'
+  UNION ALL
+  SELECT date, security, 1.0 / (-1.0 * count(*) OVER (PARTITION BY date)) AS weight FROM v_pos WHERE state = 'SHORT')
+GROUP BY date, security"""
+
+VIEWS["v_px"] = f"""
+SELECT g.id, g.date,
+       (SELECT arg_max(p.px, p.date) FROM v_prices p JOIN v_calendar c2 ON c2.date = p.date
+        WHERE p.id = g.id AND p.date <= g.date) AS px
+FROM (SELECT f.id, CAST(unnest(generate_series(f.start, {BT_END}, INTERVAL 1 DAY)) AS DATE) AS date
+      FROM (SELECT id, min(date) AS start FROM v_prices GROUP BY id) f) g
+JOIN v_calendar c ON c.date = g.date"""
+
+VIEWS["v_rets"] = """
+SELECT id, date, ret FROM (
+  SELECT id, date, px / lag(px) OVER (PARTITION BY id ORDER BY date) - 1 AS ret FROM v_px) WHERE ret IS NOT NULL"""
+
+VIEWS["v_ls_lagged"] = """
+SELECT c2.date, w.security, w.weight
+FROM v_ls w JOIN v_calendar c1 ON c1.date = w.date JOIN v_calendar c2 ON c2.idx = c1.idx + 1"""
+
+VIEWS["v_bm_lagged"] = """
+SELECT c2.date, w.id AS security, w.w AS weight
+FROM v_weights_bm w JOIN v_calendar c1 ON c1.date = w.date JOIN v_calendar c2 ON c2.idx = c1.idx + 1"""
+
+VIEWS["v_daily"] = f"""
+SELECT c.date,
+       coalesce((SELECT sum(l.weight * coalesce(r.ret, 0.0)) FROM v_ls_lagged l
+                 LEFT JOIN v_rets r ON r.id = l.security AND r.date = l.date WHERE l.date = c.date), 0.0) AS strategy_return,
+       coalesce((SELECT sum(b.weight * coalesce(r.ret, 0.0)) FROM v_bm_lagged b
+                 LEFT JOIN v_rets r ON r.id = b.security AND r.date = b.date WHERE b.date = c.date), 0.0) AS benchmark_return
+FROM v_calendar c WHERE c.date >= {BT_START} AND c.date <= {BT_END}"""
