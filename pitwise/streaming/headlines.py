@@ -1,0 +1,46 @@
+"""The headline operators on a file stream (DOM16 in Structured Streaming).
+
+New snapshot files in a folder are filtered like the batch path; the two
+de-duplications become ``dropDuplicatesWithinWatermark`` on the story id
+and on (day, headline), with a watermark on arrival so their state stays
+bounded.  Within the watermark the first copy *processed* is kept (the
+batch operators keep the earliest arrival); late copies beyond the
+watermark are dropped by Spark.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from pitwise.operators.news import HEADLINE_LANGUAGE, HEADLINE_MIN_LENGTH, HEADLINE_WIRES
+from pitwise.plans.sizing import broadcast_if_small
+
+
+def headline_stream(spark: SparkSession, path: str, schema, members: DataFrame | None, start,
+                    *, watermark: str = "2 days", max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming DataFrame of cleaned, de-duplicated headlines from parquet files."""
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    # watermarks need a zone-aware timestamp
+    raw = r.parquet(path).withColumn("arrival", F.col("arrival").cast("timestamp"))
+    f = raw.where(
+        F.col("wire").isin(list(HEADLINE_WIRES)) & (F.col("language") == HEADLINE_LANGUAGE)
+        & (F.length("headline") > HEADLINE_MIN_LENGTH) & (F.col("arrival") >= F.lit(start).cast("timestamp"))
+    )
+    if members is not None:
+        f = f.join(broadcast_if_small(members.select("figi").distinct()), "figi", "left_semi")
+    f = f.withWatermark("arrival", watermark)
+    d1 = f.dropDuplicatesWithinWatermark(["suid"])
+    d2 = d1.withColumn("day", F.to_date("arrival")).dropDuplicatesWithinWatermark(["day", "headline"]).drop("day")
+    return d2.select("suid", F.lower("headline").alias("headline"), "arrival", "figi")
+
+
+def run_to_parquet(stream: DataFrame, out_path: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
+    """Append the stream to parquet with a checkpoint (exactly-once file sink)."""
+    w = stream.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint) \
+        .outputMode("append")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
