@@ -32,15 +32,16 @@ def candidate_periods(requests: DataFrame, n: int = N_CANDIDATE_QUARTERS) -> Dat
 def pit_asof(requests: DataFrame, vintages: DataFrame, n_candidates: int = N_CANDIDATE_QUARTERS) -> DataFrame:
     """JN8: per request, per statement item and candidate period, the latest
     vintage with ``publish_date <= as_of``.  An equi-join on (id, period_end)
-    followed by a grouped ``max(struct(publish_date, ...))``: no look-ahead,
-    no pairwise comparison of vintages."""
+    followed by a grouped ``max_by(value, publish_date)``: no look-ahead, no
+    pairwise comparison of vintages."""
     req = candidate_periods(requests.select("as_of", "id").distinct(), n_candidates)
     v = vintages.select("id", "statement", "item_no", "item", "period_end", "publish_date", "value")
     j = req.join(v, ["id", "period_end"]).where(F.col("publish_date") <= F.col("as_of"))
-    g = j.groupBy("as_of", "id", "statement", "item_no", "period_end").agg(
-        F.max(F.struct("publish_date", "value", "item")).alias("__v"))
-    return g.select("as_of", "id", "statement", "item_no", F.col("__v.item").alias("item"), "period_end",
-                    F.col("__v.publish_date").alias("publish_date"), F.col("__v.value").alias("value"))
+    # ``item`` is a label of (statement, item_no), so it rides along as a key;
+    # the buffers stay fixed-width and the aggregate is hash based.
+    g = j.groupBy("as_of", "id", "statement", "item_no", "item", "period_end").agg(
+        F.max("publish_date").alias("publish_date"), F.max_by("value", "publish_date").alias("value"))
+    return g.select("as_of", "id", "statement", "item_no", "item", "period_end", "publish_date", "value")
 
 
 def ranked_periods(pit_long: DataFrame, n_periods: int = N_PERIODS) -> DataFrame:
