@@ -64,7 +64,7 @@ def portfolio_returns(weights: DataFrame, bench_weights: DataFrame, returns: Dat
         days = days.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
         days = days.where(F.col("date") <= F.lit(end).cast("date"))
-    out = days.join(s, "date", "left").join(b, "date", "left")
+    out = days.join(s, "date", "left").join(b, "date", "left")  # all three: one row per day
     return out.select("date", F.coalesce("strategy_return", F.lit(0.0)).alias("strategy_return"),
                       F.coalesce("benchmark_return", F.lit(0.0)).alias("benchmark_return"))
 

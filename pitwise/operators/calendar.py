@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.plans.sizing import broadcast_if_small
+from pitwise.plans.sizing import broadcast_bounded, broadcast_if_small
 
 
 def keep_universe(df: DataFrame, universe: DataFrame, key: str, universe_key: str | None = None) -> DataFrame:
@@ -90,7 +90,9 @@ def index_members(members: DataFrame, rebalance_dates: DataFrame, *, open_end: s
         "__yr",
         F.explode(F.sequence(F.year("start_date"), F.year(F.coalesce("end_date", F.lit(open_end).cast("date"))))),
     )
-    r = rebalance_dates.select(F.col("rebalance_date"), F.year("rebalance_date").alias("__yr"))
+    # rebalance dates are at most one row per day: broadcast, so memberships of
+    # a busy year are never gathered on one shuffle key
+    r = broadcast_bounded(rebalance_dates.select(F.col("rebalance_date"), F.year("rebalance_date").alias("__yr")))
     j = m.join(r, "__yr").where(
         (F.col("start_date") <= F.col("rebalance_date"))
         & (F.col("end_date").isNull() | (F.col("end_date") > F.col("rebalance_date")))

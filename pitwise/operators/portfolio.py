@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwise.plans.sizing import broadcast_if_small
+from pitwise.plans.sizing import broadcast_bounded, broadcast_if_small
 
 # Decision words and weighting schemes of the reference.
 BUY, SELL, HOLD, MISSING = "BUY", "SELL", "HOLD", "Missing"
@@ -35,9 +35,9 @@ def trading_grid(keys: DataFrame, calendar: DataFrame, end, *, key: str = "secur
 
     Generated per key with ``sequence`` and matched to the trading calendar
     by an equi-join on date (no cross join); the calendar is a small,
-    date-bounded table, broadcast after a size check."""
+    date-bounded table (one row per day), so it is broadcast."""
     days = keys.select(key, F.explode(F.sequence(F.col(start_col).cast("date"), F.lit(end).cast("date"))).alias("date"))
-    return days.join(broadcast_if_small(calendar.select("date")), "date")
+    return days.join(broadcast_bounded(calendar.select("date")), "date")
 
 
 def position_state(trades: DataFrame, calendar: DataFrame, end) -> DataFrame:
@@ -47,14 +47,19 @@ def position_state(trades: DataFrame, calendar: DataFrame, end) -> DataFrame:
     day is the decision of the highest-``seq`` trade dated on or before it (K9).
     """
     t = trades.where(F.col("decision").isin(BUY, SELL))
-    per_day = t.groupBy("security", "date").agg(F.max(F.struct("seq", "decision")).alias("__s"))
+    is_buy = F.when(F.col("decision") == BUY, F.lit(1)).otherwise(F.lit(0))
+    # fixed-width buffers: a hash aggregate per (security, day)
+    per_day = t.groupBy("security", "date").agg(F.max("seq").alias("__seq"), F.max_by(is_buy, "seq").alias("__buy"))
     first = per_day.groupBy("security").agg(F.min("date").alias("start"))
-    grid = trading_grid(first, calendar, end).select("security", "date", F.lit(None).cast(per_day.schema["__s"].dataType)
-                                                     .alias("__s"), F.lit(1).alias("__kind"))
-    u = per_day.select("security", "date", "__s", F.lit(0).alias("__kind")).unionByName(grid)
+    grid = trading_grid(first, calendar, end).select(
+        "security", "date", F.lit(None).cast("long").alias("__seq"), F.lit(None).cast("int").alias("__buy"),
+        F.lit(1).alias("__kind"))
+    u = per_day.select("security", "date", F.col("__seq").cast("long").alias("__seq"), "__buy",
+                       F.lit(0).alias("__kind")).unionByName(grid)
     w = Window.partitionBy("security").orderBy("date", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    s = u.withColumn("__run", F.max("__s").over(w)).where((F.col("__kind") == 1) & F.col("__run").isNotNull())
-    state = F.when(F.col("__run.decision") == BUY, LONG).otherwise(SHORT)
+    s = u.withColumn("__run", F.max_by("__buy", "__seq").over(w)).where(
+        (F.col("__kind") == 1) & F.col("__run").isNotNull())
+    state = F.when(F.col("__run") == 1, LONG).otherwise(SHORT)
     return s.select("date", "security", state.alias("state"))
 
 
@@ -87,7 +92,8 @@ def leg_portfolio(
     ``signal`` is ``(date, security, signal)``; without it the signal is 1
     (as in the reference's event backtest).  The per-date total is a grouped
     sum joined back, so a date with many holdings is summed with partial
-    aggregation instead of one window partition.  A day whose total is 0
+    aggregation instead of one window partition, and the totals (one row per
+    day) are broadcast back.  A day whose total is 0
     or NULL gives NULL weights (K10)."""
     leg = positions.where(F.col("state") == (LONG if long_leg else SHORT)).select("date", "security")
     if signal is not None:
@@ -95,9 +101,9 @@ def leg_portfolio(
     else:
         leg = leg.withColumn("signal", F.lit(1.0))
     leg = leg.withColumn("__w", _scheme_weight(scheme, F.col("signal"), long_leg))
-    tot = leg.groupBy("date").agg(F.sum("__w").alias("__tot"))
+    tot = leg.groupBy("date").agg(F.sum("__w").alias("__tot"))  # partial aggregation per day
     sign = 1.0 if long_leg else -1.0
-    j = leg.join(tot, "date")
+    j = leg.join(broadcast_bounded(tot), "date")  # one row per day
     return j.select("date", "security", F.try_divide(F.col("__w"), F.lit(sign) * F.col("__tot")).alias("weight"))
 
 
@@ -117,7 +123,7 @@ def build_port_weights(trades: DataFrame, calendar: DataFrame, end, scheme=EQUAL
 def lag_weights(weights: DataFrame, calendar: DataFrame, lag: int = 1, key: str = "security") -> DataFrame:
     """WIN9: weights decided at the close of trading day ``i`` apply on day
     ``i + lag`` (exact trading days via the calendar index)."""
-    cal = broadcast_if_small(calendar.select("date", "idx"))
+    cal = broadcast_bounded(calendar.select("date", "idx"))
     w = weights.join(cal, "date").select(key, (F.col("idx") + lag).alias("idx"), *[
         c for c in weights.columns if c not in ("date", key)])
     return w.join(cal, "idx").drop("idx")
@@ -142,6 +148,6 @@ def rebalance_anchor(calendar: DataFrame, freq: str = "D") -> DataFrame:
 
 def rebalance_hold(weights: DataFrame, calendar: DataFrame, freq: str = "D", key: str = "security") -> DataFrame:
     """WIN10: weights only change on rebalance days and are held in between."""
-    a = broadcast_if_small(rebalance_anchor(calendar, freq))
+    a = broadcast_bounded(rebalance_anchor(calendar, freq))
     w = weights.withColumnRenamed("date", "anchor")
     return w.join(a, "anchor").drop("anchor").select("date", key, *[c for c in weights.columns if c not in ("date", key)])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwise.plans.sizing import broadcast_if_small
+from pitwise.plans.sizing import broadcast_bounded, broadcast_if_small
 
 N_PERIODS = 6
 N_CANDIDATE_QUARTERS = 8
@@ -58,7 +58,7 @@ def ranked_periods(pit_long: DataFrame, n_periods: int = N_PERIODS) -> DataFrame
 def relative_periods(pit_long: DataFrame, n_periods: int = N_PERIODS) -> DataFrame:
     """Long facts with ``period_rank`` (1 = t) and ``period_label``."""
     r = ranked_periods(pit_long, n_periods)
-    j = pit_long.join(broadcast_if_small(r), ["as_of", "period_end"])
+    j = pit_long.join(broadcast_bounded(r), ["as_of", "period_end"])  # <= 6 rows per date
     label = F.when(F.col("period_rank") == 1, F.lit("t")).otherwise(
         F.concat(F.lit("t_"), (F.col("period_rank") - 1).cast("string")))
     return j.withColumn("period_label", label)

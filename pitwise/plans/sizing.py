@@ -27,3 +27,11 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES)
     if size is not None and size <= max_bytes:
         return F.broadcast(df)
     return df
+
+
+def broadcast_bounded(df: DataFrame) -> DataFrame:
+    """Broadcast a side whose row count is bounded by construction, not by
+    the data volume: one row per calendar day (trading calendar, per-day
+    totals, rebalance dates), per (day, period) pair, or per partition.  A
+    century of days is ~36.6k rows, a few MB, at any input scale."""
+    return F.broadcast(df)
