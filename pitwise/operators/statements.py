@@ -67,12 +67,32 @@ def relative_periods(pit_long: DataFrame, n_periods: int = N_PERIODS) -> DataFra
 def statement_matrix(pit_long: DataFrame, n_periods: int = N_PERIODS) -> DataFrame:
     """AGG10: one row per (as_of, id, statement, item) with columns
     ``t .. t_{n-1}``, missing periods filled with 0 (K2: short histories are
-    padded, not dropped; K20: zero fill merges missing and zero)."""
-    rel = relative_periods(pit_long, n_periods)
+    padded, not dropped; K20: zero fill merges missing and zero).
+
+    One shuffle of the facts: each item's (period_end, value) pairs are
+    gathered per (as_of, id, item) (a handful of periods).  The batch-level
+    period ranks (FLT9 + WIN4) are computed from that same aggregate (the
+    exchange is reused), reduced to one short array of period ends per date
+    and broadcast back (bounded: one row per date)."""
+    keys = ["as_of", "id", "statement", "item_no", "item"]
+    wide = pit_long.where(F.col("period_end").isNotNull()).groupBy(*keys).agg(
+        F.collect_list(F.struct("period_end", "value")).alias("__pv"))
+    per = wide.select("as_of", F.inline("__pv")).groupBy("as_of", "period_end").agg(
+        F.max(F.abs("value")).alias("__m")).where(F.col("__m") > 0)
+    w = Window.partitionBy("as_of").orderBy(F.col("period_end").desc())
+    ranked = per.select("as_of", "period_end", F.dense_rank().over(w).alias("__r")).where(F.col("__r") <= n_periods)
+    ends = ranked.groupBy("as_of").agg(F.sort_array(F.collect_list("period_end"), asc=False).alias("__ends"))
+    j = wide.join(broadcast_bounded(ends), "as_of")
+
+    def pick(i):
+        pe = F.try_element_at(F.col("__ends"), F.lit(i + 1))
+        hit = F.filter(F.col("__pv"), lambda x: x["period_end"] == pe)
+        return F.try_element_at(F.transform(hit, lambda x: x["value"]), F.lit(1))
+
     labels = PERIOD_LABELS[:n_periods]
-    aggs = [F.coalesce(F.max(F.when(F.col("period_rank") == i + 1, F.col("value"))), F.lit(0.0)).alias(lab)
-            for i, lab in enumerate(labels)]
-    return rel.groupBy("as_of", "id", "statement", "item_no", "item").agg(*aggs)
+    vals = j.select(*keys, *[pick(i).alias(lab) for i, lab in enumerate(labels)])
+    present = F.exists(F.array(*[F.col(c) for c in labels]), lambda x: x.isNotNull())
+    return vals.where(present).select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in labels])
 
 
 def _values(n_periods: int = N_PERIODS):
