@@ -87,6 +87,8 @@ def batch_score(
     n_partitions: int | None = None,
     max_requests_per_s: float | None = None,
     response_col: str = "response_raw",
+    error_col: str = "error",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """U4/U5/U6/U7: score every row with a user scorer inside the tasks.
 
@@ -94,12 +96,14 @@ def batch_score(
     ``batch_size``; a failing batch is retried row by row so one bad record
     only fills its own ``error`` column.  ``n_partitions`` spreads the rows
     over that many tasks (the fan-out), and ``max_requests_per_s`` is a
-    per-task pace (divide the global cap by the number of tasks)."""
-    src = df.select(*keys, prompt_col)
+    per-task pace (divide the global cap by the number of tasks).  ``carry``
+    columns pass through unchanged, so chained stages need no join back."""
+    src = df.select(*keys, *carry, prompt_col)
     if n_partitions:
         src = src.repartition(n_partitions, *keys)
-    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keys)
-    schema = f"{key_fields}, `{response_col}` string, `error` string"
+    passed = list(keys) + list(carry)
+    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in passed)
+    schema = f"{key_fields}, `{response_col}` string, `{error_col}` string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
@@ -130,9 +134,9 @@ def batch_score(
                         except Exception as e:  # noqa: BLE001
                             responses.append(None)
                             errors.append(f"{type(e).__name__}: {e}")
-            out = pdf[keys].copy()
+            out = pdf[passed].copy()
             out[response_col] = responses
-            out["error"] = errors
+            out[error_col] = errors
             yield out
 
     return src.mapInPandas(run, schema)
@@ -147,20 +151,20 @@ def staged_score(
     template: str = STAGE_TEMPLATE,
     **kw,
 ) -> DataFrame:
-    """U8: each stage's prompt embeds the previous stage's response."""
-    cur = df.select(*keys, "prompt")
-    outs = []
+    """U8: each stage's prompt embeds the previous stage's response.
+
+    A linear chain of ``mapInPandas`` passes: earlier responses ride along as
+    pass-through columns, so no stage output feeds two branches and the
+    scorer runs exactly once per row and stage."""
+    cur = df.select(*keys, F.col("prompt").alias("__base"), F.col("prompt"))
+    carried: list[str] = ["__base"]
     for s in range(1, stages + 1):
-        scored = batch_score(cur, scorer_factory, keys=keys, response_col=f"response_{s}", **kw).withColumnRenamed(
-            "error", f"error_{s}")
-        outs.append(scored)
-        nxt = cur.join(scored, keys)
-        cur = nxt.select(*keys, fill_template(template, previous=F.col(f"response_{s}"), prompt=F.col("prompt"))
-                         .alias("prompt"))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.join(o, keys)
-    return res
+        resp, err = f"response_{s}", f"error_{s}"
+        scored = batch_score(cur, scorer_factory, keys=keys, carry=tuple(carried), response_col=resp,
+                             error_col=err, **kw)
+        carried += [resp, err]
+        cur = scored.withColumn("prompt", fill_template(template, previous=F.col(resp), prompt=F.col("__base")))
+    return cur.select(*keys, *[c for c in carried if c != "__base"])
 
 
 # ---------------------------------------------------- run bookkeeping
