@@ -15,27 +15,46 @@ from pyspark.sql import functions as F
 from pitwise.plans.sizing import broadcast_bounded, broadcast_if_small
 
 N_PERIODS = 6
-N_CANDIDATE_QUARTERS = 8
 PERIOD_LABELS = ["t"] + [f"t_{i}" for i in range(1, N_PERIODS)]
 
 
-def candidate_periods(requests: DataFrame, n: int = N_CANDIDATE_QUARTERS) -> DataFrame:
-    """Explode each ``(as_of, id)`` request into the ``n`` calendar quarter
-    ends before ``as_of`` (calendar-year aligned, AGG15).  Bounded fan-out:
-    the request side grows ``n``-fold, never with the number of vintages."""
-    qs = F.trunc("as_of", "quarter")
-    return requests.select("as_of", "id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__j")).select(
-        "as_of", "id", F.date_sub(F.add_months(qs, -3 * F.col("__j")), 1).alias("period_end")
-    )
-
-
-def pit_asof(requests: DataFrame, vintages: DataFrame, n_candidates: int = N_CANDIDATE_QUARTERS) -> DataFrame:
-    """JN8: per request, per statement item and candidate period, the latest
+def latest_available_period(requests: DataFrame, vintages: DataFrame) -> DataFrame:
+    """Per ``(as_of, id)`` request: the newest period end whose first vintage
+    was published on or before ``as_of`` (NULL before the first report).
+
+    An as-of lookup written as one window per security: requests and the
+    security's period first-publication events are unioned and ordered by
+    date (events before requests on the same day, so ``publish_date <=
+    as_of`` is inclusive); a running ``max(period_end)`` carries the answer.
+    A partition holds one security's request days and period ends, which
+    the calendar bounds, never the number of facts or vintages."""
+    first = vintages.groupBy("id", "period_end").agg(F.min("publish_date").alias("__d"))
+    ev = first.select("id", "__d", "period_end", F.lit(0).alias("__kind"))
+    rq = requests.select("id", F.col("as_of").alias("__d"), F.lit(None).cast("date").alias("period_end"),
+                         F.lit(1).alias("__kind"))
+    w = Window.partitionBy("id").orderBy("__d", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    u = ev.unionByName(rq).withColumn("__latest", F.max("period_end").over(w))
+    return u.where(F.col("__kind") == 1).select(F.col("__d").alias("as_of"), "id", F.col("__latest").alias("latest"))
+
+
+def candidate_periods(requests: DataFrame, vintages: DataFrame, n: int = N_PERIODS) -> DataFrame:
+    """The ``n`` relative periods a request asks for (offsets ``-(n-1)Q .. 0Q``):
+    the security's latest published period end and the ``n - 1`` quarter
+    ends before it (calendar-year aligned, AGG15).  A quarter the security
+    never reported stays a candidate without facts, so it pads to 0 in the
+    matrix (K2).  Exactly ``n`` rows per request."""
+    latest = latest_available_period(requests, vintages).where(F.col("latest").isNotNull())
+    return latest.select("as_of", "id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__j"), "latest").select(
+        "as_of", "id", F.last_day(F.add_months("latest", -3 * F.col("__j"))).alias("period_end"))
+
+
+def pit_asof(requests: DataFrame, vintages: DataFrame, n_periods: int = N_PERIODS) -> DataFrame:
+    """JN8: per request, per statement item and relative period, the latest
     vintage with ``publish_date <= as_of``.  An equi-join on (id, period_end)
     followed by a grouped ``max_by(value, publish_date)``: no look-ahead, no
     pairwise comparison of vintages."""
-    req = candidate_periods(requests.select("as_of", "id").distinct(), n_candidates)
     v = vintages.select("id", "statement", "item_no", "item", "period_end", "publish_date", "value")
+    req = candidate_periods(requests.select("as_of", "id").distinct(), v, n_periods)
     j = req.join(v, ["id", "period_end"]).where(F.col("publish_date") <= F.col("as_of"))
     # ``item`` is a label of (statement, item_no), so it rides along as a key;
     # the buffers stay fixed-width and the aggregate is hash based.

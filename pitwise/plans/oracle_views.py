@@ -217,9 +217,12 @@ SELECT as_of, id, period_end FROM (
 WHERE as_of IS NOT NULL AND id IS NOT NULL AND period_end IS NOT NULL AND as_of >= DATE '1996-01-01'"""
 
 VIEWS["v_pit_cand"] = """
-SELECT r.as_of, r.id,
-       CAST(CAST(date_trunc('quarter', r.as_of) AS DATE) - to_months(CAST(3 * j AS INTEGER)) AS DATE) - 1 AS period_end
-FROM (SELECT DISTINCT as_of, id FROM v_cal) r, (SELECT unnest(range(0, 8)) AS j)"""
+SELECT r.as_of, r.id, CAST(last_day(r.latest - to_months(CAST(3 * j AS INTEGER))) AS DATE) AS period_end
+FROM (SELECT r.as_of, r.id, max(a.period_end) AS latest
+      FROM (SELECT DISTINCT as_of, id FROM v_cal) r
+      JOIN (SELECT id, period_end, min(publish_date) AS first_pub FROM v_vintages GROUP BY 1, 2) a
+        ON a.id = r.id AND a.first_pub <= r.as_of
+      GROUP BY 1, 2) r, (SELECT unnest(range(0, 6)) AS j)"""
 
 VIEWS["v_pit"] = """
 SELECT c.as_of, c.id, v.statement, v.item_no, arg_max(v.item, v.publish_date) AS item, c.period_end,

@@ -145,6 +145,24 @@ def test_pit_asof_never_looks_ahead(spark):
     assert st.pit_asof(req, _vintages(spark)).where(F.col("publish_date") > F.col("as_of")).count() == 0
 
 
+def test_pit_asof_stale_security_keeps_its_last_six_periods(spark):
+    # last report three years before the request: the relative periods are
+    # counted back from the security's latest published quarter, not from as_of
+    v = spark.createDataFrame([
+        ("B", "is", 47, "47 EPS", D(2020, 3, 31), D(2020, 4, 20), 1.0),
+        ("B", "is", 47, "47 EPS", D(2020, 6, 30), D(2020, 7, 20), 2.0),
+        ("B", "is", 47, "47 EPS", D(2021, 3, 31), D(2021, 4, 20), 3.0),
+    ], "id string, statement string, item_no int, item string, period_end date, publish_date date, value double")
+    req = spark.createDataFrame([(D(2024, 5, 1), "B"), (D(2021, 4, 1), "B"), (D(2019, 1, 1), "B")], "as_of date, id string")
+    got = sorted((r.as_of, r.period_end, r.value) for r in st.pit_asof(req, v).collect())
+    assert got == [(D(2021, 4, 1), D(2020, 3, 31), 1.0), (D(2021, 4, 1), D(2020, 6, 30), 2.0),
+                   (D(2024, 5, 1), D(2020, 3, 31), 1.0), (D(2024, 5, 1), D(2020, 6, 30), 2.0),
+                   (D(2024, 5, 1), D(2021, 3, 31), 3.0)]
+    # the batch's columns are the periods present in it, newest first
+    m = st.statement_matrix(st.pit_asof(req, v)).where(F.col("as_of") == D(2024, 5, 1)).first()
+    assert (m.t, m.t_1, m.t_2, m.t_3) == (3.0, 2.0, 1.0, 0.0)
+
+
 def test_statement_matrix_relative_labels(spark):
     req = spark.createDataFrame([(D(2024, 3, 1), "A")], "as_of date, id string")
     m = st.statement_matrix(st.pit_asof(req, _vintages(spark))).first()
