@@ -78,18 +78,20 @@ def date_security_pairs(calendar: DataFrame) -> DataFrame:
     return calendar.select(F.col("as_of").alias("date"), F.col("id").alias("security")).distinct()
 
 
-def index_members(members: DataFrame, rebalance_dates: DataFrame, *, open_end: str = "2100-12-31") -> DataFrame:
+def index_members(members: DataFrame, rebalance_dates: DataFrame) -> DataFrame:
     """JN9: members of each index on each rebalance date:
     ``start_date <= d and (end_date is null or end_date > d)``.
 
     The range join is an equi-join on (year): each membership is exploded to
-    the calendar years it spans (open memberships up to ``open_end``), each
-    rebalance date carries its year, then the exact bounds are checked.
+    the calendar years it spans, clipped to the first and last rebalance
+    year (scalar subqueries over the rebalance dates, so an open membership
+    reaches exactly the last rebalance date), each rebalance date carries
+    its year, then the exact bounds are checked.
     """
-    m = members.withColumn(
-        "__yr",
-        F.explode(F.sequence(F.year("start_date"), F.year(F.coalesce("end_date", F.lit(open_end).cast("date"))))),
-    )
+    ry = rebalance_dates.select(F.year("rebalance_date").alias("y"))
+    lo = F.greatest(F.year("start_date"), ry.select(F.min("y")).scalar())
+    hi = F.least(F.year("end_date"), ry.select(F.max("y")).scalar())  # least() skips a NULL (open) end
+    m = members.where(lo <= hi).withColumn("__yr", F.explode(F.sequence(lo, hi)))
     # rebalance dates are at most one row per day: broadcast, so memberships of
     # a busy year are never gathered on one shuffle key
     r = broadcast_bounded(rebalance_dates.select(F.col("rebalance_date"), F.year("rebalance_date").alias("__yr")))
