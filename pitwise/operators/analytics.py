@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwise.operators import portfolio as pf
-from pitwise.plans.sizing import broadcast_if_small
 
 TRADING_DAYS = 252
 ROLLING_SHARPE_WINDOW = 63
@@ -135,7 +134,7 @@ def sector_exposure(weights: DataFrame, securities: DataFrame) -> DataFrame:
     """JN14: net and gross exposure per date and industry level (level 1 =
     sector, level 2 = sector/nation)."""
     dim = securities.select(F.col("id").alias("security"), "sector", "nation")
-    j = weights.join(broadcast_if_small(dim), "security")
+    j = weights.join(dim, "security")
     lv = j.select("date", "weight", F.explode(F.array(
         F.struct(F.lit(1).alias("level"), F.col("sector").alias("industry")),
         F.struct(F.lit(2).alias("level"), F.concat_ws("/", "sector", F.col("nation").cast("string")).alias("industry")),

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.plans.sizing import broadcast_bounded, broadcast_if_small
+from pitwise.plans.sizing import broadcast_bounded
 
 
 def keep_universe(df: DataFrame, universe: DataFrame, key: str, universe_key: str | None = None) -> DataFrame:
     """JN5: rows whose key is a universe member (semi join; the universe is
-    broadcast only when its estimated size is small)."""
+    broadcast by the planner only under its size threshold)."""
     u = universe.select(F.col(universe_key or key).alias(key)).distinct()
-    return df.join(broadcast_if_small(u), key, "left_semi")
+    return df.join(u, key, "left_semi")
 
 
 def universe_minus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """JN4/SET2: members of ``a`` that are not in ``b``."""
-    return a.select(key).distinct().join(broadcast_if_small(b.select(key).distinct()), key, "left_anti")
+    return a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti")
 
 
 def reporting_dates(reports: DataFrame, start=None, *, id_col: str = "id") -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitwise.functions.dates import month_buckets_back
-from pitwise.plans.sizing import broadcast_if_small
 
 # The headline filter of the reference.
 HEADLINE_WIRES = ("BN", "BFW")
@@ -40,7 +39,7 @@ def filter_headlines(
     member_col: str = "figi",
 ) -> DataFrame:
     """FLT1/FLT2: wire, language, length and start-time filter plus a
-    semi join on the index universe (a size-checked broadcast when small)."""
+    semi join on the index universe (broadcast by the planner only under its size threshold)."""
     df = _ensure_timestamp(df, "arrival")
     out = df.where(
         F.col("wire").isin(list(wires))
@@ -50,7 +49,7 @@ def filter_headlines(
     )
     if members is not None:
         keys = members.select(F.col(member_col).alias(id_col)).distinct()
-        out = out.join(broadcast_if_small(keys), id_col, "left_semi")
+        out = out.join(keys, id_col, "left_semi")
     return out
 
 

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwise.plans.sizing import broadcast_bounded, broadcast_if_small
+from pitwise.plans.sizing import broadcast_bounded
 
 # Decision words and weighting schemes of the reference.
 BUY, SELL, HOLD, MISSING = "BUY", "SELL", "HOLD", "Missing"
@@ -27,7 +27,7 @@ def map_to_figi(trades: DataFrame, securities: DataFrame, sec_col: str = "securi
     """JN2: attach the FIGI of each traded security (inner join; the dimension
     is de-duplicated first so a repeated ticker cannot fan out)."""
     dim = securities.select(F.col("id").alias(sec_col), "figi").dropDuplicates([sec_col])
-    return trades.join(broadcast_if_small(dim), sec_col)
+    return trades.join(dim, sec_col)
 
 
 def trading_grid(keys: DataFrame, calendar: DataFrame, end, *, key: str = "security", start_col: str = "start") -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from pitwise.functions.text import fill_template, number_text
 from pitwise.operators import statements as st
-from pitwise.plans.sizing import broadcast_if_small
 
 PROMPT_TEMPLATE = (
     "Company: {name}\nSector: {sector}\nDate: {date}\n"
@@ -50,7 +49,7 @@ def prompt_table(matrix: DataFrame, securities: DataFrame, template: str = PROMP
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(bs_line.isNotNull(), F.struct(bs_no.alias("o"), bs_line.alias("l"))))),
                                  lambda s: s["l"]), "\n").alias("balance"),
     )
-    meta = broadcast_if_small(securities.select("id", "name", "sector"))
+    meta = securities.select("id", "name", "sector")
     j = g.join(meta, "id")
     prompt = fill_template(template, name=F.col("name"), sector=F.col("sector"), date=F.date_format("as_of", "yyyy-MM-dd"),
                            income=F.col("income"), balance=F.col("balance"))

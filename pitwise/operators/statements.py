@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwise.plans.sizing import broadcast_bounded, broadcast_if_small
+from pitwise.plans.sizing import broadcast_bounded
 
 N_PERIODS = 6
 PERIOD_LABELS = ["t"] + [f"t_{i}" for i in range(1, N_PERIODS)]
@@ -165,13 +165,13 @@ def attach_revision_date(calendar: DataFrame, vintages: DataFrame) -> DataFrame:
 
 
 def attach_metadata(df: DataFrame, securities: DataFrame, key: str = "id") -> DataFrame:
-    """JN3: attach name / figi / sector; the dimension is broadcast only when small."""
-    return df.join(broadcast_if_small(securities), key, "inner")
+    """JN3: attach name / figi / sector (the planner broadcasts the dimension only under its size threshold)."""
+    return df.join(securities, key, "inner")
 
 
 def unmatched_keys(df: DataFrame, securities: DataFrame, key: str = "id") -> DataFrame:
     """Rows of ``df`` without metadata (the reference raises on these)."""
-    return df.join(broadcast_if_small(securities.select(key)), key, "left_anti")
+    return df.join(securities.select(key), key, "left_anti")
 
 
 def ltm(facts: DataFrame, flow_statements=("is",), quarters: int = 4) -> DataFrame:
@@ -194,7 +194,7 @@ def ltm(facts: DataFrame, flow_statements=("is",), quarters: int = 4) -> DataFra
 def fx_convert(facts: DataFrame, fx: DataFrame, ccy: DataFrame, share_items=(44,)) -> DataFrame:
     """JN17: convert monetary items with the rate of the fact's currency group
     on its period end; share counts are exempt."""
-    f = facts.join(broadcast_if_small(ccy), "id")
+    f = facts.join(ccy, "id")
     j = f.join(fx, (f["ccy_group"] == fx["ccy_group"]) & (f["period_end"] == fx["rate_date"]))
     conv = F.when(F.col("item_no").isin(list(share_items)), F.col("value")).otherwise(F.col("value") * F.col("rate"))
     return j.select("id", "statement", "item_no", "period_end", f["value"].alias("value_local"), F.col("rate"),

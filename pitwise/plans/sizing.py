@@ -1,9 +1,11 @@
-"""Size-checked broadcast.
-
-A side is broadcast only when Catalyst's own size estimate of its
-optimized plan (an upper bound for scans, filters and projections) is
-under a limit; beyond it the join stays a shuffle join, and AQE may still
-switch strategy at run time from measured sizes.  No action is run.
+"""Broadcast policy.
+
+Sides whose size grows with the data (security dimensions, universes,
+metadata) are joined without a hint: Spark's planner broadcasts them only
+when its size estimate is under ``spark.sql.autoBroadcastJoinThreshold``,
+and AQE re-plans from the measured shuffle output at run time; beyond the
+threshold the join stays a shuffle join.  An explicit hint is used only for
+tables whose row count is bounded by construction, never by the data.
 """
 
 from __future__ import annotations
@@ -11,23 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # pragma: no cover - plan API not reachable (e.g. Connect)
-        return None
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    size = estimated_bytes(df)
-    if size is not None and size <= max_bytes:
-        return F.broadcast(df)
-    return df
-
 
 def broadcast_bounded(df: DataFrame) -> DataFrame:
     """Broadcast a side whose row count is bounded by construction, not by

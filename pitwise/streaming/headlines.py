@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pitwise.operators.news import HEADLINE_LANGUAGE, HEADLINE_MIN_LENGTH, HEADLINE_WIRES
-from pitwise.plans.sizing import broadcast_if_small
 
 
 def headline_stream(spark: SparkSession, path: str, schema, members: DataFrame | None, start,
@@ -31,7 +30,7 @@ def headline_stream(spark: SparkSession, path: str, schema, members: DataFrame |
         & (F.length("headline") > HEADLINE_MIN_LENGTH) & (F.col("arrival") >= F.lit(start).cast("timestamp"))
     )
     if members is not None:
-        f = f.join(broadcast_if_small(members.select("figi").distinct()), "figi", "left_semi")
+        f = f.join(members.select("figi").distinct(), "figi", "left_semi")
     f = f.withWatermark("arrival", watermark)
     d1 = f.dropDuplicatesWithinWatermark(["suid"])
     d2 = d1.withColumn("day", F.to_date("arrival")).dropDuplicatesWithinWatermark(["day", "headline"]).drop("day")
