@@ -88,13 +88,17 @@ def statement_matrix(pit_long: DataFrame, n_periods: int = N_PERIODS) -> DataFra
     ``t .. t_{n-1}``, missing periods filled with 0 (K2: short histories are
     padded, not dropped; K20: zero fill merges missing and zero).
 
-    One shuffle of the facts: each item's (period_end, value) pairs are
-    gathered per (as_of, id, item) (a handful of periods).  The batch-level
-    period ranks (FLT9 + WIN4) are computed from that same aggregate (the
-    exchange is reused), reduced to one short array of period ends per date
-    and broadcast back (bounded: one row per date)."""
+    One shuffle of the facts, hash partitioned by (as_of, id) (one company's
+    statements on one date, a bounded group): each item's (period_end,
+    value) pairs are gathered per (as_of, id, item) (a handful of periods).
+    The batch-level period ranks (FLT9 + WIN4) are computed from that same
+    shuffle output, which the planner reuses instead of recomputing the
+    as-of selection (an explicit exchange, so AQE cannot drop it when a
+    join below turns into a broadcast), reduced to one short array of
+    period ends per date and broadcast back (bounded: one row per date)."""
     keys = ["as_of", "id", "statement", "item_no", "item"]
-    wide = pit_long.where(F.col("period_end").isNotNull()).groupBy(*keys).agg(
+    facts = pit_long.where(F.col("period_end").isNotNull()).select(*keys, "period_end", "value")
+    wide = facts.repartition("as_of", "id").groupBy(*keys).agg(
         F.collect_list(F.struct("period_end", "value")).alias("__pv"))
     per = wide.select("as_of", F.inline("__pv")).groupBy("as_of", "period_end").agg(
         F.max(F.abs("value")).alias("__m")).where(F.col("__m") > 0)

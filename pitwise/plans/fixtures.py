@@ -33,8 +33,18 @@ SHARE_ITEMS = (44,)
 CUSTOMERS_PER_SECURITY = 25
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one input table; its schema is inferred once per path and then
+    passed to later reads, which skips Spark's schema-inference job."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = _SCHEMAS.get(path)
+    df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+    if schema is None:
+        _SCHEMAS[path] = df.schema
+    return df
 
 
 def sec_id(k: Column, suffix: str = " UN Equity") -> Column:
