@@ -11,14 +11,21 @@ from pyspark.sql import types as T
 RESULT_FIELDS = ("date", "security", "response_raw")
 
 
+ENVELOPE_RESULTS = 1000
+
+
 def save_run(results: DataFrame, path: str, *, run_name: str | None = None, model: str = "", dataset: str = "",
-             system_prompt: str = "", run_date=None, layout: str = "rows") -> None:
+             system_prompt: str = "", run_date=None, layout: str = "rows",
+             envelope_results: int = ENVELOPE_RESULTS) -> None:
     """SRC5: write a run's results with its metadata.
 
     ``rows``: one JSON line per result with the run metadata as columns (the
     preferred, splittable layout).  ``envelope``: the reference's object
-    ``{run_name, run_date, ..., results: [...]}``, written as one envelope per
-    (run, date) so no single record gathers a whole run."""
+    ``{run_name, run_date, ..., results: [...]}``.  No record gathers a whole
+    run or a whole busy day: the results of a (run, date) are spread over
+    ``ceil(n / envelope_results)`` envelopes by a hash of the row, so an
+    envelope holds about ``envelope_results`` results whatever the skew.
+    Every result is written; readers explode all envelopes."""
     meta = {
         "run_date": F.lit(run_date).cast("string") if run_date is not None else F.current_timestamp().cast("string"),
         "model": F.lit(model), "dataset": F.lit(dataset), "system_prompt": F.lit(system_prompt),
@@ -29,7 +36,10 @@ def save_run(results: DataFrame, path: str, *, run_name: str | None = None, mode
         out = df.select("run_name", *[v.alias(k) for k, v in meta.items()], *[c for c in df.columns if c != "run_name"])
     elif layout == "envelope":
         fields = [c for c in df.columns if c != "run_name"]
-        out = df.groupBy("run_name", F.col("date").alias("__d")).agg(
+        sizes = df.groupBy("run_name", "date").agg(F.count("*").alias("__n"))  # partial aggregation
+        parts = F.ceil(F.col("__n") / F.lit(envelope_results))
+        part = F.pmod(F.xxhash64(*[F.col(c) for c in fields]), parts)
+        out = df.join(sizes, ["run_name", "date"]).groupBy("run_name", F.col("date").alias("__d"), part.alias("__p")).agg(
             F.collect_list(F.struct(*fields)).alias("results")).select(
             "run_name", *[v.alias(k) for k, v in meta.items()], "results")
     else:

@@ -107,3 +107,17 @@ def test_results_envelope_and_rows(spark):
         rs.save_run(res, path, model="m", run_date="2024-02-01", layout=layout)
         back = rs.load_results(spark, path, RESULT_SCHEMA).select("run_name", "date", "security", "event_id", "response_raw")
         assert sorted(back.collect()) == sorted(res.collect())
+
+
+def test_results_envelope_splits_a_hot_day(spark):
+    from pitwise.plans.q_sources import RESULT_SCHEMA
+
+    rows = [("r", dt.date(2024, 1, 2), f"S{i}", i, "x") for i in range(50)] + [("r", dt.date(2024, 1, 3), "B", 99, "y")]
+    res = spark.createDataFrame(rows, "run_name string, date date, security string, event_id long, response_raw string")
+    path = scratch_path(spark, "envelope-hot")
+    rs.save_run(res, path, model="m", run_date="2024-02-01", layout="envelope", envelope_results=10)
+    env = spark.read.json(path)
+    sizes = [r.n for r in env.select(F.size("results").alias("n")).collect()]
+    assert len(sizes) >= 6 and sum(sizes) == 51          # the hot day is spread over several envelopes
+    back = rs.load_results(spark, path, RESULT_SCHEMA).select("run_name", "date", "security", "event_id", "response_raw")
+    assert sorted(back.collect()) == sorted(res.collect())
