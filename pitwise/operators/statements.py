@@ -89,33 +89,24 @@ def statement_matrix(pit_long: DataFrame, n_periods: int = N_PERIODS) -> DataFra
     padded, not dropped; K20: zero fill merges missing and zero).
 
     One shuffle of the facts, hash partitioned by (as_of, id) (one company's
-    statements on one date, a bounded group): each item's (period_end,
-    value) pairs are gathered per (as_of, id, item) (a handful of periods).
-    The batch-level period ranks (FLT9 + WIN4) are computed from that same
-    shuffle output, which the planner reuses instead of recomputing the
-    as-of selection (an explicit exchange, so AQE cannot drop it when a
-    join below turns into a broadcast), reduced to one short array of
-    period ends per date and broadcast back (bounded: one row per date)."""
+    statements on one date, a bounded group).  Both branches read that one
+    exchange (an explicit one, so the planner reuses it rather than
+    recomputing the as-of selection): the batch-level period ranks (FLT9 +
+    WIN4) come from a partial aggregate per (as_of, period_end) and are
+    broadcast back (bounded: at most ``n`` rows per date); the pivot is a
+    conditional aggregate with fixed-width buffers (no per-group arrays)
+    that needs no further shuffle."""
     keys = ["as_of", "id", "statement", "item_no", "item"]
-    facts = pit_long.where(F.col("period_end").isNotNull()).select(*keys, "period_end", "value")
-    wide = facts.repartition("as_of", "id").groupBy(*keys).agg(
-        F.collect_list(F.struct("period_end", "value")).alias("__pv"))
-    per = wide.select("as_of", F.inline("__pv")).groupBy("as_of", "period_end").agg(
-        F.max(F.abs("value")).alias("__m")).where(F.col("__m") > 0)
+    facts = pit_long.where(F.col("period_end").isNotNull()).select(*keys, "period_end", "value") \
+        .repartition("as_of", "id")
+    per = facts.groupBy("as_of", "period_end").agg(F.max(F.abs("value")).alias("__m")).where(F.col("__m") > 0)
     w = Window.partitionBy("as_of").orderBy(F.col("period_end").desc())
     ranked = per.select("as_of", "period_end", F.dense_rank().over(w).alias("__r")).where(F.col("__r") <= n_periods)
-    ends = ranked.groupBy("as_of").agg(F.sort_array(F.collect_list("period_end"), asc=False).alias("__ends"))
-    j = wide.join(broadcast_bounded(ends), "as_of")
-
-    def pick(i):
-        pe = F.try_element_at(F.col("__ends"), F.lit(i + 1))
-        hit = F.filter(F.col("__pv"), lambda x: x["period_end"] == pe)
-        return F.try_element_at(F.transform(hit, lambda x: x["value"]), F.lit(1))
-
+    j = facts.join(broadcast_bounded(ranked), ["as_of", "period_end"])
     labels = PERIOD_LABELS[:n_periods]
-    vals = j.select(*keys, *[pick(i).alias(lab) for i, lab in enumerate(labels)])
-    present = F.exists(F.array(*[F.col(c) for c in labels]), lambda x: x.isNotNull())
-    return vals.where(present).select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in labels])
+    g = j.groupBy(*keys).agg(*[F.max(F.when(F.col("__r") == i + 1, F.col("value"))).alias(lab)
+                               for i, lab in enumerate(labels)])
+    return g.select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in labels])
 
 
 def _values(n_periods: int = N_PERIODS):
