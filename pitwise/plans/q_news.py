@@ -97,7 +97,7 @@ SELECT figi, as_of, suid, headline, arrival FROM (
 
 @query("news_sample", _SAMPLE_SQL)
 def news_sample(spark, d):
-    return news.sample_news(news.news_window(_requests(spark, d), _clean_news(spark, d)))
+    return news.sample_news_window(_requests(spark, d), _clean_news(spark, d))
 
 
 @query("company_context", f"""
@@ -108,7 +108,7 @@ LEFT JOIN (SELECT figi, as_of, count(*) AS n, arg_max(headline, (arrival, suid))
   ON h.figi = r.figi AND h.as_of = r.as_of""")
 def company_context(spark, d):
     snap = _requests(spark, d).join(fx.v_securities(spark, d).select("figi", "id", "name", "sector"), "figi")
-    sampled = news.sample_news(news.news_window(_requests(spark, d), _clean_news(spark, d)))
+    sampled = news.sample_news_window(_requests(spark, d), _clean_news(spark, d))
     ctx = news.company_context(snap, sampled)
     return ctx.select("figi", "as_of", "id", "name", "sector", "n_headlines", F.element_at("headlines", 1).alias("newest"))
 

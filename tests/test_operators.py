@@ -101,6 +101,23 @@ def test_news_sample_cap_and_seed(spark):
     assert len(a) == 50 and a == b and a != c
 
 
+def test_sample_news_window_equals_direct_sample(spark):
+    # a hot security: 80 headlines per day on 4 days, requests whose windows
+    # cut through those days at different points
+    rows = [(f"s{d}_{i}", "h", T(2024, 2, 26 + d, 0, 0) + dt.timedelta(minutes=17 * i), "F1")
+            for d in range(4) for i in range(80)] + [("o1", "h", T(2024, 2, 27, 5), "F2")]
+    nw = spark.createDataFrame(rows, "suid string, headline string, arrival timestamp_ntz, figi string")
+    req = spark.createDataFrame([("F1", D(2024, 2, 27)), ("F1", D(2024, 2, 28)), ("F1", D(2024, 3, 2)),
+                                 ("F2", D(2024, 3, 1))], "figi string, as_of date")
+    for seed in ("0", "7"):
+        direct = news.sample_news(news.news_window(req, nw), seed=seed)
+        pre = news.sample_news_window(req, nw, seed=seed)
+        assert sorted(direct.collect()) == sorted(pre.collect())
+    counts = {(r.figi, r.as_of): r.n for r in pre.groupBy("figi", "as_of").agg(F.count("*").alias("n")).collect()}
+    assert counts == {("F1", D(2024, 2, 27)): 50, ("F1", D(2024, 2, 28)): 50, ("F1", D(2024, 3, 2)): 50,
+                      ("F2", D(2024, 3, 1)): 1}
+
+
 def test_dedupe_ties_and_idempotent(spark):
     raw = spark.createDataFrame([
         ("1", "Same text", T(2024, 1, 1, 9), "F1", "BN", "ENGLISH"),
