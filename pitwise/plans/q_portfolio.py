@@ -18,8 +18,15 @@ RUN = "events"
 ROLLING_N = 5
 
 
+def _r(c: str, digits: int):
+    # a cancelling sum can round to -0.0 or 0.0 depending on the order partial
+    # sums are merged in; both engines map an exact zero to +0.0
+    r = F.round(c, digits)
+    return F.when(r == 0, F.lit(0.0)).otherwise(r).alias(c)
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[_r(c, digits) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def positions(spark, d):
@@ -196,7 +203,9 @@ def quantile_returns(spark, d):
 
 
 @query("sector_exposure", """
-SELECT w.date, l.level, l.industry, round(sum(w.weight), 6) AS net_weight, round(sum(abs(w.weight)), 6) AS gross_weight
+SELECT w.date, l.level, l.industry,
+       CASE WHEN round(sum(w.weight), 6) = 0 THEN 0.0 ELSE round(sum(w.weight), 6) END AS net_weight,
+       round(sum(abs(w.weight)), 6) AS gross_weight
 FROM v_ls w JOIN v_securities s ON s.id = w.security,
      LATERAL (SELECT 1 AS level, s.sector AS industry UNION ALL
               SELECT 2 AS level, s.sector || '/' || CAST(s.nation AS VARCHAR) AS industry) l
