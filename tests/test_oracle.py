@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 from tools.compare import TABLES, digest
+from tools.explain import plan_text
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
@@ -50,18 +51,18 @@ def test_rows_only_queries_run(spark, key):
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_plan_has_no_cartesian_or_nested_loop(spark, key):
-    plan = QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(QUERIES[key](spark, SF_SMALL))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
 
 
 def test_parquet_headlines_prune_and_push(spark):
     df = QUERIES["src_headline_parquet"](spark, SF_SMALL)
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(df)
     assert "PartitionFilters: [isnotnull(arrival_month" in plan
     assert "PushedFilters: [IsNotNull(arrival), GreaterThanOrEqual(arrival" in plan
 
 
 def test_scans_prune_columns(spark):
-    plan = QUERIES["headline_clean"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(QUERIES["headline_clean"](spark, SF_SMALL))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan

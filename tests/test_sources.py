@@ -12,6 +12,7 @@ from pitwise.sources import headlines as hl
 from pitwise.sources import pit_store as ps
 from pitwise.sources import results as rs
 from pitwise.sources import trades as tl
+from tools.explain import plan_text
 
 
 def test_headline_csv_multiline_and_glob(spark):
@@ -82,7 +83,7 @@ def test_data_pack_prunes_by_item(spark):
     di.write_data_pack(items, path)
     got = di.load_item(spark, path, "px_last", "2024-01-03", "2024-01-05")
     assert sorted(r.value for r in got.collect()) == [3.0, 4.0, 5.0]
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(got)
     assert "PartitionFilters: [isnotnull(item" in plan
 
 
