@@ -20,16 +20,20 @@ def universe_minus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti")
 
 
-def reporting_dates(reports: DataFrame, start=None, *, id_col: str = "id") -> DataFrame:
+def reporting_dates(reports: DataFrame, start=None, *, id_col: str = "id", skip_first: bool = False) -> DataFrame:
     """AGG1 + FLT4 + FLT5 + SRT2: the first report date per (security, period end).
 
     ``min`` is associative, so one grouped pass (partial aggregation before
     the shuffle) replaces the reference's per-rebalance loop and its union.
+    ``skip_first`` drops the earliest reporting date, as the reference's
+    dataset loop does (K1; off by default: all dates are kept).
     """
     out = reports.groupBy(id_col, "period_end").agg(F.min("as_of").alias("as_of"))
     out = out.na.drop("any")
     if start is not None:
         out = out.where(F.col("as_of") >= F.lit(start).cast("date"))
+    if skip_first:
+        out = out.where(F.col("as_of") > out.select(F.min("as_of")).scalar())
     return out.select("as_of", id_col, "period_end")
 
 

@@ -74,6 +74,12 @@ def ranked_periods(pit_long: DataFrame, n_periods: int = N_PERIODS) -> DataFrame
         F.col("period_rank") <= n_periods)
 
 
+def periods_per_date(pit_long: DataFrame, n_periods: int = N_PERIODS) -> DataFrame:
+    """K2: how many real periods each batch's matrix holds (``n_periods`` at
+    most; fewer means the remaining columns are zero padding)."""
+    return ranked_periods(pit_long, n_periods).groupBy("as_of").agg(F.count("*").alias("n_periods"))
+
+
 def relative_periods(pit_long: DataFrame, n_periods: int = N_PERIODS) -> DataFrame:
     """Long facts with ``period_rank`` (1 = t) and ``period_label``."""
     r = ranked_periods(pit_long, n_periods)

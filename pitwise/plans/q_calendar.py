@@ -21,6 +21,13 @@ def reporting_dates(spark, d):
     return calendar(spark, d).orderBy("as_of", "id")
 
 
+@query("reporting_dates_skip_first", """
+SELECT as_of, id, period_end FROM v_cal WHERE as_of > (SELECT min(as_of) FROM v_cal) ORDER BY as_of, id""")
+def reporting_dates_skip_first(spark, d):
+    """K1 as the reference runs it: the earliest reporting date is skipped."""
+    return cal.reporting_dates(fx.v_reports(spark, d), START, skip_first=True).orderBy("as_of", "id")
+
+
 @query("unique_securities", "SELECT DISTINCT id FROM v_cal")
 def unique_securities(spark, d):
     return cal.unique_securities(calendar(spark, d))

@@ -32,6 +32,11 @@ def statement_matrix(spark, d):
     return matrix(spark, d)
 
 
+@query("matrix_periods", "SELECT as_of, count(*) AS n_periods FROM v_ranked GROUP BY as_of")
+def matrix_periods(spark, d):
+    return st.periods_per_date(pit_long(spark, d))
+
+
 @query("statement_nonzero", f"""
 SELECT as_of, id, statement, item_no, item, {_T} FROM v_matrix
 WHERE t <> 0 OR t_1 <> 0 OR t_2 <> 0 OR t_3 <> 0 OR t_4 <> 0 OR t_5 <> 0""")

@@ -180,6 +180,22 @@ def test_pit_asof_stale_security_keeps_its_last_six_periods(spark):
     assert (m.t, m.t_1, m.t_2, m.t_3) == (3.0, 2.0, 1.0, 0.0)
 
 
+def test_reporting_dates_skip_first(spark):
+    rep = spark.createDataFrame([(D(2024, 1, 5), "A", D(2023, 12, 31)), (D(2024, 1, 9), "A", D(2023, 12, 31)),
+                                 (D(2024, 1, 7), "B", D(2023, 12, 31)), (D(2024, 4, 5), "A", D(2024, 3, 31))],
+                                "as_of date, id string, period_end date")
+    keep = sorted((r.as_of, r.id) for r in cal.reporting_dates(rep).collect())
+    skip = sorted((r.as_of, r.id) for r in cal.reporting_dates(rep, skip_first=True).collect())
+    assert keep == [(D(2024, 1, 5), "A"), (D(2024, 1, 7), "B"), (D(2024, 4, 5), "A")]   # K1: all kept by default
+    assert skip == [(D(2024, 1, 7), "B"), (D(2024, 4, 5), "A")]
+
+
+def test_periods_per_date_counts_real_periods(spark):
+    req = spark.createDataFrame([(D(2024, 1, 25), "A"), (D(2024, 3, 1), "A")], "as_of date, id string")
+    got = {r.as_of: r.n_periods for r in st.periods_per_date(st.pit_asof(req, _vintages(spark))).collect()}
+    assert got == {D(2024, 1, 25): 1, D(2024, 3, 1): 2}   # K2: the rest of the six columns are padding
+
+
 def test_statement_matrix_relative_labels(spark):
     req = spark.createDataFrame([(D(2024, 3, 1), "A")], "as_of date, id string")
     m = st.statement_matrix(st.pit_asof(req, _vintages(spark))).first()
