@@ -155,13 +155,16 @@ def event_backtest(
     end,
     implementation_lag: int = 1,
     rebalance_freq: str = "D",
+    use_trading_dts: bool = False,
     scheme=pf.EQUAL,
 ) -> DataFrame:
     """DOM13: trades -> FIGI check -> long/short weights -> rebalance -> lag ->
-    daily strategy and benchmark returns -> cumulative returns."""
+    daily strategy and benchmark returns -> cumulative returns.
+    ``use_trading_dts`` rebalances on the event dates only (instead of
+    ``rebalance_freq``), holding the weights in between."""
     t = pf.map_to_figi(trades, securities)
     w = pf.build_port_weights(t, calendar, end, scheme)
-    w = pf.rebalance_hold(w, calendar, rebalance_freq)
+    w = pf.rebalance_hold(w, calendar, rebalance_freq, rebalance_dates=trades.select("date") if use_trading_dts else None)
     px = forward_fill(prices, calendar, end, "px")
     rets = daily_returns(px)
     daily = portfolio_returns(w, bench_weights.withColumnRenamed("id", "security").withColumnRenamed("w", "weight"),

@@ -129,25 +129,34 @@ def lag_weights(weights: DataFrame, calendar: DataFrame, lag: int = 1, key: str
     return w.join(cal, "idx").drop("idx")
 
 
-def rebalance_anchor(calendar: DataFrame, freq: str = "D") -> DataFrame:
+def rebalance_anchor(calendar: DataFrame, freq: str = "D", rebalance_dates: DataFrame | None = None) -> DataFrame:
     """Calendar day -> the rebalance day whose weights it holds.
 
     ``D``: every day; ``W``/``M``/``Q``: the last trading day of each week /
-    month / quarter, held until the next one.  Computed on the calendar (one
-    row per day), so the window here is over days only."""
+    month / quarter, held until the next one.  ``rebalance_dates`` (first
+    column, e.g. the distinct event dates; the reference's
+    ``use_trading_dts``) replaces the frequency: weights change only on those
+    trading days.  Computed on the calendar (one row per day), so the window
+    here is over days only."""
     cal = calendar.select("date")
-    if freq == "D":
+    if rebalance_dates is not None:
+        # distinct dates: at most one row per day, so a bounded broadcast
+        r = rebalance_dates.select(F.col(rebalance_dates.columns[0]).cast("date").alias("__r")).distinct()
+        j = cal.join(broadcast_bounded(r), cal["date"] == r["__r"], "left")
+    elif freq == "D":
         return cal.select("date", F.col("date").alias("anchor"))
-    unit = {"W": "week", "M": "month", "Q": "quarter"}[freq]
-    bucket = F.date_trunc(unit, "date")
-    last = cal.groupBy(bucket.alias("__b")).agg(F.max("date").alias("__r"))
-    j = cal.join(last, cal["date"] == last["__r"], "left")
+    else:
+        unit = {"W": "week", "M": "month", "Q": "quarter"}[freq]
+        bucket = F.date_trunc(unit, "date")
+        last = cal.groupBy(bucket.alias("__b")).agg(F.max("date").alias("__r"))
+        j = cal.join(last, cal["date"] == last["__r"], "left")
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return j.select("date", F.max("__r").over(w).alias("anchor")).where(F.col("anchor").isNotNull())
 
 
-def rebalance_hold(weights: DataFrame, calendar: DataFrame, freq: str = "D", key: str = "security") -> DataFrame:
+def rebalance_hold(weights: DataFrame, calendar: DataFrame, freq: str = "D", key: str = "security",
+                   rebalance_dates: DataFrame | None = None) -> DataFrame:
     """WIN10: weights only change on rebalance days and are held in between."""
-    a = broadcast_bounded(rebalance_anchor(calendar, freq))
+    a = broadcast_bounded(rebalance_anchor(calendar, freq, rebalance_dates))
     w = weights.withColumnRenamed("date", "anchor")
     return w.join(a, "anchor").drop("anchor").select("date", key, *[c for c in weights.columns if c not in ("date", key)])

@@ -101,6 +101,18 @@ def rebalance_hold(spark, d):
     return round_doubles(pf.rebalance_hold(ls_weights(spark, d), fx.v_calendar(spark, d), "W"))
 
 
+@query("rebalance_events", """
+WITH anchors AS (
+  SELECT date, max(r) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS anchor FROM (
+    SELECT c.date, e.r FROM v_calendar c LEFT JOIN (SELECT DISTINCT date AS r FROM v_trades) e ON e.r = c.date))
+SELECT a.date, w.security, round(w.weight, 6) AS weight
+FROM anchors a JOIN v_ls w ON w.date = a.anchor""")
+def rebalance_events(spark, d):
+    """WIN10 with the reference's ``use_trading_dts``: rebalance on the event dates."""
+    return round_doubles(pf.rebalance_hold(ls_weights(spark, d), fx.v_calendar(spark, d),
+                                           rebalance_dates=fx.v_trades(spark, d).select("date")))
+
+
 @query("price_ffill", "SELECT id, date, px FROM v_px")
 def price_ffill(spark, d):
     return prices_filled(spark, d)
