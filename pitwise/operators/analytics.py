@@ -161,8 +161,11 @@ def event_backtest(
     """DOM13: trades -> FIGI check -> long/short weights -> rebalance -> lag ->
     daily strategy and benchmark returns -> cumulative returns.
     ``use_trading_dts`` rebalances on the event dates only (instead of
-    ``rebalance_freq``), holding the weights in between."""
-    t = pf.map_to_figi(trades, securities)
+    ``rebalance_freq``), holding the weights in between.  Trades of a
+    security without a price series are skipped, as in the reference, where
+    such a security is not a column of the price frame."""
+    priced = prices.select(F.col("id").alias("security")).distinct()
+    t = pf.map_to_figi(trades, securities).join(priced, "security", "left_semi")
     w = pf.build_port_weights(t, calendar, end, scheme)
     w = pf.rebalance_hold(w, calendar, rebalance_freq, rebalance_dates=trades.select("date") if use_trading_dts else None)
     px = forward_fill(prices, calendar, end, "px")

@@ -87,6 +87,20 @@ def test_rebalance_on_event_dates(spark):
                     D(2024, 1, 9): 6.0, D(2024, 1, 10): 6.0, D(2024, 1, 11): 6.0, D(2024, 1, 12): 6.0}
 
 
+def test_backtest_skips_securities_without_prices(spark):
+    c = cal_df(spark, WEEK)
+    trades = spark.createDataFrame([(WEEK[0], "A", "BUY", 1), (WEEK[0], "B", "BUY", 2)],
+                                   "date date, security string, decision string, seq long")
+    secs = spark.createDataFrame([("A", "FA"), ("B", "FB")], "id string, figi string")
+    px = spark.createDataFrame([(d, "A", 100.0 + i) for i, d in enumerate(WEEK)], "date date, id string, px double")
+    bm = spark.createDataFrame([(d, "A", 1.0) for d in WEEK], "date date, id string, w double")
+    out = an.event_backtest(trades, secs, px.select("id", "date", "px"), bm, c, run_name="r",
+                            start=WEEK[0], end=WEEK[-1]).orderBy("date").collect()
+    # B has no price series: A alone is the long leg, so the strategy earns A's return
+    assert all(abs(r.strategy_return - r.benchmark_return) < 1e-12 for r in out)
+    assert out[2].strategy_return == pytest.approx(102.0 / 101.0 - 1)
+
+
 def test_news_window_half_open(spark):
     req = spark.createDataFrame([("F1", D(2024, 5, 31))], "figi string, as_of date")
     nw = spark.createDataFrame([
