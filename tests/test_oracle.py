@@ -66,3 +66,24 @@ def test_parquet_headlines_prune_and_push(spark):
 def test_scans_prune_columns(spark):
     plan = plan_text(QUERIES["headline_clean"](spark, SF_SMALL))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
+
+
+@pytest.mark.parametrize("key", ["headline_dedup_id", "headline_dedup_day", "ticker_root_dedup", "statement_dedup_values"])
+def test_first_row_per_key_reduces_before_the_shuffle(spark, key):
+    # a hot key is cut map-side by a partial aggregate, never gathered whole
+    plan = plan_text(QUERIES[key](spark, SF_SMALL))
+    assert "partial_min(" in plan
+    assert "Window [row_number()" not in plan
+
+
+@pytest.mark.parametrize("key", ["news_sample", "company_context"])
+def test_headline_samples_limit_before_the_shuffle(spark, key):
+    plan = plan_text(QUERIES[key](spark, SF_SMALL))
+    partial = [ln for ln in plan.splitlines() if "WindowGroupLimit" in ln and "Partial" in ln]
+    assert len(partial) >= 2   # per (security, day) before the join, per request before the final window
+
+
+def test_statement_matrix_pivots_with_fixed_width_buffers(spark):
+    plan = plan_text(QUERIES["statement_matrix"](spark, SF_SMALL))
+    assert "REPARTITION_BY_COL" in plan          # the explicit (as_of, id) exchange both branches read
+    assert "ObjectHashAggregate" not in plan     # no per-group arrays
