@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitwise.operators import calendar as cal
+from pitwise.operators import estimates as es
+from pitwise.operators import statements as st
 from pitwise.operators import committee as cm
 from pitwise.operators import scoring as sc
 from pitwise.operators import training as tr
@@ -136,9 +138,13 @@ SELECT date, security, split_part(prompt, 'Balance Sheet:', 1) AS prompt,
        CASE WHEN {_BUCKET} < 205 THEN 'train' ELSE 'test' END AS split
 FROM ({_SAMPLE})""")
 def training_set(spark, d):
+    # one matrix feeds both the prompts and the next reported EPS, so the
+    # planner reuses its exchanges instead of deriving it twice
+    m = matrix(spark, d)
     univ = cal.universe_minus(fx.v_universe(spark, d), fx.v_universe_b(spark, d), "id")
-    p = cal.keep_universe(prompts(spark, d), univ, "id")
-    return tr.training_set(p, actual(spark, d), seed="42")
+    p = cal.keep_universe(sc.prompt_table(m, fx.v_securities(spark, d)), univ, "id")
+    nxt = es.eps_actual_change(st.field_per_date(m, fx.EPS_ITEM_NO))
+    return tr.training_set(p, nxt, seed="42")
 
 
 # ----------------------------------------------------------- committee
