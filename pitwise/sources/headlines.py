@@ -18,7 +18,14 @@ CANONICAL = {"SUID": "suid", "Headline": "headline", "TimeOfArrival": "arrival",
 
 def read_headline_csv(spark: SparkSession, path: str, glob: str | None = SNAPSHOT_GLOB) -> DataFrame:
     """SRC1: daily CSV snapshots (header, multi-line quoted fields), every column
-    a string, an explicit schema (no inference pass over the data)."""
+    a string, an explicit schema (no inference pass over the data).
+
+    The escape character is the quote itself (RFC 4180 doubled quotes).  The
+    reference passes an empty escape, whose purpose is to switch off Spark's
+    default backslash escape; both read backslashes literally, and this one
+    also reads a doubled quote inside a quoted headline as one quote.
+    Multi-line CSV files are not splittable, so each snapshot file is one
+    task: daily snapshots keep those tasks bounded."""
     r = (spark.read.schema(RAW_SCHEMA).option("header", True).option("multiLine", True)
          .option("escape", "\""))
     if glob:
