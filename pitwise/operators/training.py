@@ -9,10 +9,11 @@ from pitwise.functions.numeric import round_half_up
 from pitwise.functions.text import text_before
 
 # Fixed values of the reference's notebook: record cap, split share, the
-# marker the prompt is cut at.
+# marker the prompt is cut at and the cue appended after the cut.
 MAX_RECORDS = 10_000
 TRAIN_SHARE = 0.8
 PROMPT_CUT = "Balance Sheet:"
+PROMPT_SUFFIX = "\nThe next period EPS is:"
 HEX = "0123456789abcdef"
 
 
@@ -43,16 +44,23 @@ def train_test_split(df: DataFrame, keys: list[str], train_share: float = TRAIN_
 
 
 def completion_text(value: Column, decimals: int = 3) -> Column:
-    """SC14: next EPS rounded to 3 decimals, as text."""
-    return F.format_string(f"%.{decimals}f", round_half_up(value, decimals))
-
-
-def training_set(prompts: DataFrame, actual: DataFrame, *, seed: str = "42", n: int = MAX_RECORDS) -> DataFrame:
-    """DOM15: sampled (date, security) prompts cut before the balance sheet,
-    completion = the next reported EPS, split into train and test."""
+    """SC14: an EPS rounded to 3 decimals, as text (NULL stays NULL)."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{decimals}f", round_half_up(value, decimals)))
+
+
+def training_set(prompts: DataFrame, eps_pairs: DataFrame, *, seed: str = "42", n: int = MAX_RECORDS,
+                 value_col: str = "analyst_estimated_eps") -> DataFrame:
+    """DOM15 as the reference builds it: (date, security) prompts taken in the
+    seeded date order up to ``n`` (whether or not an EPS exists), each cut
+    before the balance sheet and ending with the completion cue; completion
+    = the next-period EPS the data gives as of the date (AGG21's estimate,
+    ``eps_pair``) rounded to 3, NULL when there is none; then the split.
+    The join runs after the top-``n`` cut, so at most ``n`` rows look up an
+    estimate."""
     p = prompts.select(F.col("as_of").alias("date"), F.col("id").alias("security"), "prompt")
-    j = p.join(actual.select("security", "date", "next_period"), ["security", "date"])
-    s = sample_records(j, seed=seed, n=n)
-    out = s.select("date", "security", text_before(F.col("prompt"), PROMPT_CUT).alias("prompt"),
-                   completion_text(F.col("next_period")).alias("completion"))
+    s = sample_records(p, seed=seed, n=n)
+    e = eps_pairs.select("security", "date", F.col(value_col).alias("__eps"))
+    j = s.join(e, ["security", "date"], "left")
+    prompt = F.concat(text_before(F.col("prompt"), PROMPT_CUT), F.lit(PROMPT_SUFFIX))
+    out = j.select("date", "security", prompt.alias("prompt"), completion_text(F.col("__eps")).alias("completion"))
     return train_test_split(out, ["date", "security"])

@@ -6,15 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitwise.operators import calendar as cal
-from pitwise.operators import estimates as es
-from pitwise.operators import statements as st
 from pitwise.operators import committee as cm
 from pitwise.operators import scoring as sc
 from pitwise.operators import training as tr
 from pitwise.plans import fixtures as fx
 from pitwise.plans.catalog import query
 from pitwise.plans.oracle_views import VIEWS
-from pitwise.plans.q_estimates import actual
+from pitwise.plans.q_estimates import pairs
 from pitwise.plans.q_statements import matrix
 
 _T = ["t", "t_1", "t_2", "t_3", "t_4", "t_5"]
@@ -101,8 +99,8 @@ def scoring_throughput(spark, d):
 
 # ------------------------------------------------------------ training
 VIEWS["v_train_records"] = """
-SELECT p.as_of AS date, p.id AS security, p.prompt, a.next_period
-FROM v_prompts p JOIN v_actual a ON a.security = p.id AND a.date = p.as_of
+SELECT p.as_of AS date, p.id AS security, p.prompt
+FROM v_prompts p
 WHERE p.id IN (SELECT id FROM v_universe) AND p.id NOT IN (SELECT id FROM v_universe_b)"""
 
 _SAMPLE = """
@@ -116,8 +114,7 @@ _BUCKET = ("(instr('0123456789abcdef', substr(md5(CAST(date AS VARCHAR) || '|' |
 def train_records(spark, d):
     univ = cal.universe_minus(fx.v_universe(spark, d), fx.v_universe_b(spark, d), "id")
     p = cal.keep_universe(prompts(spark, d), univ, "id")
-    a = actual(spark, d).select("security", "date", "next_period")
-    return p.select(F.col("as_of").alias("date"), F.col("id").alias("security"), "prompt").join(a, ["security", "date"])
+    return p.select(F.col("as_of").alias("date"), F.col("id").alias("security"), "prompt")
 
 
 @query("training_sample", f"SELECT date, security FROM ({_SAMPLE})")
@@ -133,18 +130,15 @@ def train_test_split(spark, d):
 
 
 @query("training_set", f"""
-SELECT date, security, split_part(prompt, 'Balance Sheet:', 1) AS prompt,
-       printf('%.3f', floor(next_period * 1000.0 + 0.5) / 1000.0) AS completion,
+SELECT date, security, split_part(prompt, 'Balance Sheet:', 1) || chr(10) || 'The next period EPS is:' AS prompt,
+       CASE WHEN e.analyst_estimated_eps IS NOT NULL
+            THEN printf('%.3f', floor(e.analyst_estimated_eps * 1000.0 + 0.5) / 1000.0) END AS completion,
        CASE WHEN {_BUCKET} < 205 THEN 'train' ELSE 'test' END AS split
-FROM ({_SAMPLE})""")
+FROM ({_SAMPLE}) s LEFT JOIN v_pairs e USING (security, date)""")
 def training_set(spark, d):
-    # one matrix feeds both the prompts and the next reported EPS, so the
-    # planner reuses its exchanges instead of deriving it twice
-    m = matrix(spark, d)
     univ = cal.universe_minus(fx.v_universe(spark, d), fx.v_universe_b(spark, d), "id")
-    p = cal.keep_universe(sc.prompt_table(m, fx.v_securities(spark, d)), univ, "id")
-    nxt = es.eps_actual_change(st.field_per_date(m, fx.EPS_ITEM_NO))
-    return tr.training_set(p, nxt, seed="42")
+    p = cal.keep_universe(prompts(spark, d), univ, "id")
+    return tr.training_set(p, pairs(spark, d), seed="42")
 
 
 # ----------------------------------------------------------- committee

@@ -250,6 +250,19 @@ def test_committee_k8_and_rounds(spark):
     assert got[2] == (None, None, None)
 
 
+def test_training_set_rows_as_the_reference_builds_them(spark):
+    prompts = spark.createDataFrame([
+        (D(2024, 1, 5), "A", "Income Statement:\nx\nBalance Sheet:\ny"),
+        (D(2024, 1, 5), "B", "Income Statement:\nz\nBalance Sheet:\nw"),
+    ], "as_of date, id string, prompt string")
+    pairs = spark.createDataFrame([("A", D(2024, 1, 5), 1.0, 1.23456)],
+                                  "security string, date date, current_reported_eps double, analyst_estimated_eps double")
+    rows = {r.security: r for r in tr.training_set(prompts, pairs).collect()}
+    assert rows["A"].prompt == "Income Statement:\nx\n" + tr.PROMPT_SUFFIX
+    assert rows["A"].completion == "1.235"            # the estimate known on the date, rounded to 3
+    assert rows["B"].completion is None               # sampled before the lookup, kept without an EPS
+
+
 def test_split_stable_and_disjoint(spark):
     df = spark.createDataFrame([(D(2024, 1, 1) + dt.timedelta(days=i), f"S{i % 7}") for i in range(400)],
                                "date date, security string")
