@@ -95,13 +95,14 @@ def eps_trendline(compared: DataFrame, y: str = "analyst_estimated_eps", x: str
     )
 
 
-def finetuned_estimates(texts: DataFrame, calendar: DataFrame, pairs: DataFrame, signed: bool = False) -> DataFrame:
-    """DOM9: numeric prefix of a model's text (SC15: first four characters,
-    ``try_cast``, K15) joined to the current actual and classified."""
-    est = texts.select("id", "period_end", F.expr("try_cast(substr(response, 1, 4) AS double)").alias("model_eps"))
-    keyed = calendar.join(est, ["id", "period_end"]).select(F.col("id").alias("security"), F.col("as_of").alias("date"),
-                                                           "model_eps")
-    j = keyed.join(pairs.select("security", "date", "current_reported_eps"), ["security", "date"]).na.drop("any")
-    out = classify(j.withColumnRenamed("model_eps", "analyst_estimated_eps"), "current_reported_eps",
-                   "analyst_estimated_eps", "analyst", signed)
-    return out
+def finetuned_estimates(responses: DataFrame, pairs: DataFrame, signed: bool = False) -> DataFrame:
+    """DOM9: a fine-tuned model's answers ``(security, date, response)``: the
+    number in the first four characters (SC15, ``try_cast``; non-numbers are
+    dropped, K15) is the estimate, classified against the current actual of
+    the same (security, date) from ``eps_pair``."""
+    est = responses.select("security", "date",
+                           F.expr("try_cast(substr(response, 1, 4) AS double)").alias("analyst_estimated_eps"))
+    j = est.join(pairs.select("security", "date", "current_reported_eps"), ["security", "date"]).na.drop("any")
+    return classify(j, "current_reported_eps", "analyst_estimated_eps", "analyst", signed).select(
+        "security", "date", "current_reported_eps", "analyst_estimated_eps",
+        "analyst_direction", "analyst_magnitude", "analyst_difference")

@@ -28,6 +28,13 @@ def pairs(spark, d):
     return es.eps_pair(calendar(spark, d), fx.v_estimates(spark, d))
 
 
+def ft_responses(spark, d):
+    """The fixture's fine-tuned answers keyed like a results file: (security, date, response)."""
+    t = fx.v_ft_text(spark, d)
+    c = calendar(spark, d)
+    return c.join(t, ["id", "period_end"]).select(F.col("id").alias("security"), F.col("as_of").alias("date"), "response")
+
+
 def baseline(spark, d):
     return es.analyst_baseline(pairs(spark, d))
 
@@ -117,7 +124,7 @@ def eps_trendline(spark, d):
 SELECT security, date, current_reported_eps, analyst_estimated_eps, analyst_direction, analyst_magnitude,
        analyst_difference FROM v_finetuned""")
 def finetuned_eps(spark, d):
-    return es.finetuned_estimates(fx.v_ft_text(spark, d), calendar(spark, d), pairs(spark, d))
+    return es.finetuned_estimates(ft_responses(spark, d), pairs(spark, d))
 
 
 @query("strategy_leaderboard", f"""
@@ -134,7 +141,7 @@ def strategy_leaderboard(spark, d):
     """SET5: several strategies in one frame keyed by run_name, scored in one grouped pass."""
     cols = ["security", "date", "analyst_estimated_eps", "analyst_direction"]
     runs = baseline(spark, d).select(F.lit("analyst").alias("run_name"), *cols).unionByName(
-        es.finetuned_estimates(fx.v_ft_text(spark, d), calendar(spark, d), pairs(spark, d))
+        es.finetuned_estimates(ft_responses(spark, d), pairs(spark, d))
         .select(F.lit("finetuned").alias("run_name"), *cols))
     cmp = es.eps_compare(runs, actual(spark, d).select("security", "date", "next_period", "actual_direction"))
     s = es.eps_scores(cmp, by=["run_name"])
