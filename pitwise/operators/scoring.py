@@ -15,13 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitwise.functions.dates import month_buckets_back
 from pitwise.functions.text import fill_template, number_text
 from pitwise.operators import statements as st
 
 PROMPT_TEMPLATE = (
     "Company: {name}\nSector: {sector}\nDate: {date}\n"
-    "Income Statement:\n{income}\nBalance Sheet:\n{balance}"
+    "Income Statement:\n{income}\nBalance Sheet:\n{balance}\nHistorical Price:\n{prices}"
 )
+PRICE_MONTHS = 12
 STAGE_TEMPLATE = "Previous analysis:\n{previous}\n\n{prompt}"
 
 Scorer = Callable[[list[str]], list[str]]
@@ -33,11 +35,31 @@ def statement_line(n_periods: int = st.N_PERIODS):
     return F.concat(st.clean_label(F.col("item")), F.lit(": "), F.concat_ws(" | ", *vals))
 
 
-def prompt_table(matrix: DataFrame, securities: DataFrame, template: str = PROMPT_TEMPLATE) -> DataFrame:
+def price_history(requests: DataFrame, prices: DataFrame, months: int = PRICE_MONTHS) -> DataFrame:
+    """M4: per ``(as_of, id)`` request, the closes of
+    ``[add_months(as_of, -months), as_of]`` as text lines ``date: px``, oldest
+    first (pass a filled daily series, e.g. ``forward_fill``).  A range join
+    written as an equi-join on (id, month): each request touches at most
+    ``months + 1`` months, so both sides of a key are bounded by a month of
+    one security; the list per request holds at most a year of days."""
+    req = requests.select("as_of", "id").distinct().withColumn(
+        "__m", F.explode(month_buckets_back(F.col("as_of"), months)))
+    px = prices.select("id", "date", "px").withColumn("__m", F.trunc("date", "month"))
+    j = req.join(px, ["id", "__m"]).where(
+        (F.col("date") >= F.add_months("as_of", -months)) & (F.col("date") <= F.col("as_of")))
+    line = lambda x: F.concat(F.date_format(x["date"], "yyyy-MM-dd"), F.lit(": "), number_text(x["px"]))
+    return j.groupBy("as_of", "id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", "px"))), line), "\n").alias("prices"))
+
+
+def prompt_table(matrix: DataFrame, securities: DataFrame, template: str = PROMPT_TEMPLATE,
+                 prices: DataFrame | None = None, price_months: int = PRICE_MONTHS) -> DataFrame:
     """DOM14: one prompt per (as_of, id): the cleaned statements (value
     duplicates and all-zero items removed, labels cleaned) rendered as text
-    lines in item order, filled into a template with the company metadata.
-    Lines are gathered per company and date, a bounded group."""
+    lines in item order, then the trailing price history (``prices``:
+    ``(id, date, px)``; empty without it), filled into a template with the
+    company metadata.  Lines are gathered per company and date, a bounded
+    group."""
     m = st.drop_all_zero_items(st.dedupe_item_values(matrix)).withColumn("__line", statement_line())
     is_line = F.when(F.col("statement") == "is", F.col("__line"))
     bs_line = F.when(F.col("statement") == "bs", F.col("__line"))
@@ -49,10 +71,14 @@ def prompt_table(matrix: DataFrame, securities: DataFrame, template: str = PROMP
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(bs_line.isNotNull(), F.struct(bs_no.alias("o"), bs_line.alias("l"))))),
                                  lambda s: s["l"]), "\n").alias("balance"),
     )
+    if prices is not None:
+        g = g.join(price_history(g.select("as_of", "id"), prices, price_months), ["as_of", "id"], "left")
+    else:
+        g = g.withColumn("prices", F.lit(None).cast("string"))
     meta = securities.select("id", "name", "sector")
     j = g.join(meta, "id")
     prompt = fill_template(template, name=F.col("name"), sector=F.col("sector"), date=F.date_format("as_of", "yyyy-MM-dd"),
-                           income=F.col("income"), balance=F.col("balance"))
+                           income=F.col("income"), balance=F.col("balance"), prices=F.col("prices"))
     return j.select("as_of", "id", prompt.alias("prompt"))
 
 

@@ -23,7 +23,7 @@ VIEWS["v_prompts"] = f"""
 SELECT l.as_of, l.id,
        'Company: ' || s.name || chr(10) || 'Sector: ' || s.sector || chr(10) || 'Date: ' || strftime(l.as_of, '%Y-%m-%d')
        || chr(10) || 'Income Statement:' || chr(10) || coalesce(l.income, '') || chr(10) || 'Balance Sheet:' || chr(10)
-       || coalesce(l.balance, '') AS prompt
+       || coalesce(l.balance, '') || chr(10) || 'Historical Price:' || chr(10) || coalesce(h.prices, '') AS prompt
 FROM (SELECT as_of, id,
              string_agg(line, chr(10) ORDER BY item_no) FILTER (WHERE statement = 'is') AS income,
              string_agg(line, chr(10) ORDER BY item_no) FILTER (WHERE statement = 'bs') AS balance
@@ -32,7 +32,12 @@ FROM (SELECT as_of, id,
               FROM v_matrix)
             WHERE rn = 1 AND ({' OR '.join(f'{c} <> 0' for c in _T)}))
       GROUP BY as_of, id) l
-JOIN v_securities s ON s.id = l.id"""
+JOIN v_securities s ON s.id = l.id
+LEFT JOIN (
+  SELECT r.as_of, r.id, string_agg(strftime(p.date, '%Y-%m-%d') || ': ' || printf('%.4f', p.px), chr(10) ORDER BY p.date) AS prices
+  FROM (SELECT DISTINCT as_of, id FROM v_matrix) r JOIN v_prices p
+    ON p.id = r.id AND p.date >= CAST(r.as_of - INTERVAL 12 MONTH AS DATE) AND p.date <= r.as_of
+  GROUP BY r.as_of, r.id) h ON h.as_of = l.as_of AND h.id = l.id"""
 
 
 def _stub_sql(p: str, resp: str, err: str) -> str:
@@ -44,7 +49,7 @@ def _stub_sql(p: str, resp: str, err: str) -> str:
 
 
 def prompts(spark, d):
-    return sc.prompt_table(matrix(spark, d), fx.v_securities(spark, d))
+    return sc.prompt_table(matrix(spark, d), fx.v_securities(spark, d), prices=fx.v_prices(spark, d))
 
 
 @query("prompt_table", "SELECT as_of, id, prompt, length(prompt) AS n_chars, md5(prompt) AS prompt_md5 FROM v_prompts")

@@ -263,6 +263,18 @@ def test_training_set_rows_as_the_reference_builds_them(spark):
     assert rows["B"].completion is None               # sampled before the lookup, kept without an EPS
 
 
+def test_price_history_trailing_year(spark):
+    days = [D(2023, 3, 1) + dt.timedelta(days=i) for i in range(400)]
+    px = spark.createDataFrame([("A", d, 100.0 + i) for i, d in enumerate(days)] + [("B", D(2024, 1, 2), 7.0)],
+                               "id string, date date, px double")
+    req = spark.createDataFrame([(D(2024, 3, 15), "A"), (D(2024, 3, 15), "C")], "as_of date, id string")
+    got = {(r.as_of, r.id): r.prices for r in sc.price_history(req, px).collect()}
+    assert list(got) == [(D(2024, 3, 15), "A")]          # no prices, no row (the prompt renders it empty)
+    lines = got[(D(2024, 3, 15), "A")].split("\n")
+    assert lines[0].startswith("2023-03-15: ") and lines[-1].startswith("2024-03-15: ")   # both ends included
+    assert len(lines) == (D(2024, 3, 15) - D(2023, 3, 15)).days + 1
+
+
 def test_split_stable_and_disjoint(spark):
     df = spark.createDataFrame([(D(2024, 1, 1) + dt.timedelta(days=i), f"S{i % 7}") for i in range(400)],
                                "date date, security string")
