@@ -31,8 +31,8 @@ whole AS (
 edge AS (
   SELECT DISTINCT u, lower(regexp_extract(rest, '^[^/?#]*')) || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS v
   FROM whole WHERE regexp_extract(rest, '^[^/?#]*') <> ''),
-both AS (SELECT u, v FROM edge WHERE u <> v UNION SELECT v, u FROM edge WHERE u <> v),
-reach AS (SELECT u AS a, u AS b FROM both UNION SELECT r.a, e.v FROM reach r JOIN both e ON r.b = e.u),
+pair AS (SELECT u, v FROM edge WHERE u <> v UNION SELECT v, u FROM edge WHERE u <> v),
+reach AS (SELECT u AS a, u AS b FROM pair UNION SELECT r.a, e.v FROM reach r JOIN pair e ON r.b = e.u),
 rules(verdict, name, prefix, text) AS (VALUES
   ('allow', 'org', '/', 'org/'), ('block', 'example.org', '/es/', 'example.org/es/'), ('block', 'example.org', '/en/1', 'example.org/en/1'),
   ('allow', 'com', '/fr/', 'com/fr/'), ('block', 'com', '/de/', 'com/de/')),
