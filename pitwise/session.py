@@ -25,6 +25,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         # Python call-site capture for error messages costs ~5x per Column
         # expression built on the driver; plans here are large, so it is off.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
