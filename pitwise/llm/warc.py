@@ -243,7 +243,8 @@ def read_warc(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFram
                     yield batch_of(rows)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
-    return manifest.select("name").repartition("name").mapInArrow(run, schema)
+    files = max(1, manifest.count())  # one task for each file
+    return manifest.select("name").repartition(files).mapInArrow(run, schema)
 
 
 def new_folder(spark: SparkSession) -> str:
