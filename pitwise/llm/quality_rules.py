@@ -23,10 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitwise.llm.tables import settle
+
 BUCKETS = 1 << 16
-THRESHOLD = -0.30
-SPACE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+THRESHOLD = -0.15
+SYMBOLS = "[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
@@ -42,16 +43,20 @@ def _grams(words: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
-def _repeat_words(words: Column, run: int) -> Column:
-    """Words within run-word windows that occur twice or more in the text."""
+def _windows(words: Column, run: int) -> Column:
+    """Hashes of all run-word windows of the text."""
     n = F.size(words)
-    windows = F.when(n > run, F.transform(F.sequence(F.lit(1), n - run + 1), lambda i: F.xxhash64(F.slice(words, i, run))))
-    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), windows)
+    return F.when(n > run, F.transform(F.sequence(F.lit(1), n - run + 1), lambda i: F.xxhash64(F.slice(words, i, run))))
+
+
+def _placed(windows: Column) -> Column:
+    """The windows with their places, sorted, if any occurs twice."""
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(
+        F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
 
 
-def _covered(windows: Column, run: int) -> Column:
-    """Words covered by windows whose hash is in the array twice or more."""
-    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _covered(placed: Column, run: int) -> Column:
+    """Words covered by windows that occur twice or more, from a column of placed windows."""
     # neighbours of the sorted array are equal where a window occurs again
     marked = F.transform(placed, lambda x, k: F.when(
         (F.get(placed, k - 1)["h"] == x["h"]) | (F.get(placed, k + 1)["h"] == x["h"]), x["i"]))
@@ -66,14 +71,17 @@ def base_counts(docs: DataFrame, run: int = 8) -> DataFrame:
     """docs' doc_id and words, with the counts of the base rules."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     one = docs.select("doc_id", text.alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACE, "") != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
+    # a column used more than once gets a projection of its own, so that it is evaluated once
     counted = one.select(
         "doc_id", words_of(F.col("text")).alias("words"), lines.alias("lines"),
-        F.length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"))
+        (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"))
+    counted = counted.select(
+        "doc_id", "words", "n_symbols", F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _windows(F.col("words"), run).alias("windows"))
     return counted.select(
-        "doc_id", "words", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _repeat_words(F.col("words"), run).alias("again"))
+        "doc_id", "words", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+        _placed(F.col("windows")).alias("again"))
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -81,8 +89,9 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     flags = trusted.filter("doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = rows.join(flags.hint("shuffle_hash"), rows["doc_id"] == flags["_trusted"], "left")
-    grams = rows.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(_grams(words_of(F.col("text")), buckets)).alias("bucket"))
-    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
+    rows = rows.select(F.col("_trusted").isNotNull().cast("long").alias("t"), words_of(F.col("text")).alias("words"))
+    grams = rows.select("t", F.explode(_grams(F.col("words"), buckets)).alias("bucket"))
+    return settle(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")), "gram-counts")
 
 
 def ratio_table(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
