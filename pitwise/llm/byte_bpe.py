@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from pitwise.llm.tables import settle
 
-BOUND = 1 << 17
+BOUND = 1 << 20
 BUCKETS = 1 << 16
 NONE = 1 << 30
 
@@ -142,7 +142,7 @@ class Tokenizer:
         rows = docs.select("doc_id", self.pieces(F.col("text").cast("string")).alias("pieces"), words.scalar().alias("_words"), *self._tables())
         ids = F.transform("pieces", lambda p: F.coalesce(_find(F.col("_words"), p), self._ids(p)))
         rows = rows.select("doc_id", F.array_join(ids, ",").alias("ids"))
-        n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.translate("ids", ",", "")) + 1)
+        n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.replace("ids", F.lit(","), F.lit(""))) + 1)
         return rows.select("doc_id", "ids", n.cast("long").alias("n_tokens"))
 
     def decode(self, encoded: DataFrame) -> DataFrame:
