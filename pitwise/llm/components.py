@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.llm.tables import settle
+from pitwise.llm.tables import settle, spread
 
 
 def _star(edges: DataFrame, center: str, other: str, least: DataFrame) -> DataFrame:
-    return edges.join(least.withColumnRenamed("n", center), center).select(F.col(other).alias("a"), F.col("m").alias("b"))
+    return edges.join(spread(least.withColumnRenamed("n", center)), center).select(F.col(other).alias("a"), F.col("m").alias("b"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

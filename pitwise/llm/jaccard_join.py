@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitwise.llm.components import connected_components
-from pitwise.llm.tables import settle
+from pitwise.llm.tables import settle, spread
 from pitwise.llm.tokens import Words, chunks
 
 BUCKETS = 1 << 18
@@ -233,6 +233,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     sized = profile.filter("bucket is null").select("doc_id", F.col("n").alias("n_shingles"), "a", "b")
     classes = sized.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("id"))
+    classes = spread(classes)
     # rows of one doc_id are one document: their classes are linked from the start
     same_id = sized.filter("n_shingles > 0").join(classes, ["n_shingles", "a", "b"]).filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
 
@@ -243,17 +244,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     heads = settle(made.join(classes.select("id", F.col("n_shingles").cast("int").alias("size"), "a").withColumnRenamed("id", "doc_id"), ["doc_id", "size", "a"], "left_semi")
                    .select(F.col("doc_id").alias("id"), "size", "prefix", "regions").dropDuplicates(["id", "size", "prefix"]), "jaccard-heads")
     entries = heads.select("id", "size", F.posexplode("prefix").alias("pos", "gram"))
-    shared = entries.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("id", "size", "pos")).alias("lead")).filter("n > 1")
-    met = settle(entries.join(shared.select("gram", F.col("lead.id").alias("x"), F.col("lead.size").alias("xs"), F.col("lead.pos").alias("xp")), "gram"), "jaccard-met")
+    # counts alone are shuffled for every entry; leaders are found among those that meet another
+    often = spread(entries.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
+    met = settle(entries.join(often, "gram", "left_semi"), "jaccard-met")
+    lead = spread(met.groupBy("gram").agg(F.min(F.struct("id", "size", "pos")).alias("lead")))
     long_enough = lambda p, q: (F.lit(100) * F.least(p, q) >= F.lit(percent) * F.greatest(p, q))
 
-    star = met.filter("x <> id").select("x", F.col("id").alias("y"), "xs", F.col("size").alias("ys"), "xp", F.col("pos").alias("yp")).filter(long_enough(F.col("xs"), F.col("ys")))
+    star = met.join(lead, "gram").filter("lead.id <> id").select(
+        F.col("lead.id").alias("x"), F.col("id").alias("y"), F.col("lead.size").alias("xs"), F.col("size").alias("ys"),
+        F.col("lead.pos").alias("xp"), F.col("pos").alias("yp")).filter(long_enough(F.col("xs"), F.col("ys")))
     tried, links = _links(rows, _filtered(star, heads, percent), n, percent, "jaccard-star")
     parts = settle(connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "jaccard-parts")
 
     part = F.coalesce("component", "id")
     placed = met.select("gram", "id", "size", "pos").join(parts, met["id"] == parts["node"], "left").select("gram", "id", "size", "pos", part.alias("part"))
-    open_ = placed.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("gram")
+    open_ = spread(placed.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("gram"))
     rest = settle(placed.join(open_, "gram", "left_semi"), "jaccard-open")
     l, r = rest.alias("l"), rest.alias("r")
     across = l.join(r, F.expr(

@@ -21,6 +21,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, an aggregate, evened out before a join on its keys.  The join then
+    has an exchange directly on both sides, and Spark can split the partition
+    of a hot key; else the aggregate's own partitioning would be joined as is."""
+    return df.hint("rebalance")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and th, a hash of the text.  (doc_id, th) names a row even
     if ids repeat; rows equal in both have the same result."""
