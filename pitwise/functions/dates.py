@@ -18,6 +18,12 @@ def quarter_end(d: Column) -> Column:
     return F.last_day(F.add_months(F.trunc(d, "quarter"), 2))
 
 
+def fiscal_quarter_end(d: Column) -> Column:
+    """The calendar quarter end a fiscal period end belongs to (AGG15).  Ends
+    up to two weeks into a quarter (52-week years) belong to the one before."""
+    return quarter_end(F.date_sub(d, 15))
+
+
 def previous_quarter_end(d: Column) -> Column:
     return F.date_sub(F.trunc(d, "quarter"), 1)
 

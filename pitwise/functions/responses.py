@@ -5,37 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The fenced-block markers and trade words of the reference.
+# The fence mark and trade words of the reference.
 JSON_OPEN = "```json"
-JSON_CLOSE = "}```"
 TRADE_WORDS = ("BUY", "SELL", "HOLD")
 MISSING = "Missing"
 
 RESPONSE_MAP = "map<string,string>"
 
+# A fenced object: all up to the first brace that closes the fence, else the rest.
+_OBJECT = r"(?s)```json(.*?\}(?=```)|.*)"
+_AROUND = r"(?s)^(.*?)```json(?:.*?\}```|.*)(.*)$"
+
 
 def json_block(raw: Column) -> Column:
     """DOM5: struct(json_text, additional, parsed) for a model response.
 
-    Newlines are removed; the text from the opening json fence up to the
-    first closing brace-and-fence after it (brace included) is the JSON
-    candidate, and an unterminated block runs to the end of the text.  The
-    rest of the text is kept as ``additional``.  ``parsed`` is a string map,
-    NULL when the candidate is not a JSON object (single quotes rejected,
-    K12), in which case callers keep the raw text (SC27).
+    Line breaks are dropped.  ``json_text`` is the content of the first JSON
+    fence, ``additional`` everything around it (both NULL without a fence);
+    ``parsed`` is a string map, NULL when the content is no JSON object
+    (single quotes rejected, K12), in which case callers keep the raw text
+    (SC27).
     """
-    form = F.replace(raw, F.lit("\n"), F.lit(""))
-    soj = F.locate(JSON_OPEN, form)
-    eoj = F.call_function("locate", F.lit(JSON_CLOSE), form, soj)
-    start = soj + len(JSON_OPEN)
-    text = F.when(soj > 0, F.when(eoj > 0, form.substr(start, eoj - soj - (len(JSON_OPEN) - 1)))
-                  .otherwise(form.substr(start, F.length(form))))
-    additional = F.when(soj > 0, F.concat(
-        form.substr(F.lit(1), soj - 1),
-        F.when(eoj > 0, form.substr(eoj + len(JSON_CLOSE), F.length(form))).otherwise(F.lit("")),
-    ))
-    parsed = F.from_json(text, RESPONSE_MAP, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    return F.struct(text.alias("json_text"), additional.alias("additional"), parsed.alias("parsed"))
+    line = F.translate(raw, "\n", "")
+    fenced = F.contains(line, F.lit(JSON_OPEN))
+    content = F.when(fenced, F.regexp_extract(line, _OBJECT, 1))
+    around = F.when(fenced, F.regexp_replace(line, _AROUND, "$1$2"))
+    parsed = F.from_json(content, RESPONSE_MAP, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    return F.struct(content.alias("json_text"), around.alias("additional"), parsed.alias("parsed"))
 
 
 def keyword_decision(text: Column, words=TRADE_WORDS) -> Column:

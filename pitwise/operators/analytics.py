@@ -22,12 +22,16 @@ N_QUANTILES = 5
 def forward_fill(series: DataFrame, calendar: DataFrame, end, value: str, *, key: str = "id") -> DataFrame:
     """WIN7: a (key, date, value) series on every trading day from the key's
     first observation to ``end``, gaps filled with the last value
-    (``last(ignorenulls)`` over the key's own days)."""
+    (``last(ignorenulls)`` over the key's own days).  Observations of other
+    days (weekends, holidays) are carried to the next trading day: they and
+    the trading days are ordered together, observations first on a day."""
     first = series.groupBy(key).agg(F.min("date").alias("start"))
-    grid = pf.trading_grid(first, calendar, end, key=key)
-    j = grid.join(series.select(key, "date", value), [key, "date"], "left")
-    w = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return j.select(key, "date", F.last(value, ignorenulls=True).over(w).alias(value))
+    grid = pf.trading_grid(first, calendar, end, key=key).select(key, "date", F.lit(1).alias("__kind"))
+    seen = series.select(key, "date", F.lit(0).alias("__kind"), value)
+    w = Window.partitionBy(key).orderBy("date", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    u = seen.unionByName(grid, allowMissingColumns=True).select(
+        key, "date", "__kind", F.last(value, ignorenulls=True).over(w).alias(value))
+    return u.where(F.col("__kind") == 1).select(key, "date", value)
 
 
 def weekly_to_daily(weekly: DataFrame, calendar: DataFrame, end, value: str = "beta", key: str = "id") -> DataFrame:
@@ -85,17 +89,18 @@ def cumulative_returns(daily: DataFrame, cols=("strategy_return", "benchmark_ret
 def yearly_performance(daily: DataFrame, col: str, by=("run_name",)) -> DataFrame:
     """AGG19: per run and calendar year: compounded return, annualised
     volatility and Sharpe, max drawdown within the year, hit rate.  Volatility
-    and Sharpe are NULL when n < 2 or the deviation is 0."""
+    and Sharpe are NULL when n < 2 or the deviation is 0.  After a return of
+    -1 or less nothing is left: total return and drawdown are -1."""
     keys = list(by) + ["year"]
     d = daily.withColumn("year", F.year("date"))
     w = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__wealth", F.exp(F.sum(F.log1p(F.col(col))).over(w)))
+    d = d.withColumn("__wealth", _cum(col, w) + 1)
     d = d.withColumn("__dd", F.col("__wealth") / F.greatest(F.max("__wealth").over(w), F.lit(1.0)) - 1)
     sd = F.stddev_samp(col)
     ok = (F.count(col) >= 2) & (sd > 0)
     return d.groupBy(*keys).agg(
         F.count(col).alias("n_days"),
-        (F.exp(F.sum(F.log1p(F.col(col)))) - 1).alias("total_return"),
+        F.when(F.min(col) <= -1, F.lit(-1.0)).otherwise(F.exp(F.sum(F.log1p(F.col(col)))) - 1).alias("total_return"),
         F.when(ok, sd * math.sqrt(TRADING_DAYS)).alias("volatility"),
         F.when(ok, F.avg(col) / sd * math.sqrt(TRADING_DAYS)).alias("sharpe"),
         F.min("__dd").alias("max_drawdown"),

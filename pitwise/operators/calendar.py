@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.plans.sizing import broadcast_bounded
+from pitwise.sizing import broadcast_bounded
 
 
 def keep_universe(df: DataFrame, universe: DataFrame, key: str, universe_key: str | None = None) -> DataFrame:

@@ -35,15 +35,27 @@ def eps_actual_change(field: DataFrame, signed: bool = False) -> DataFrame:
 
 
 def eps_pair(calendar: DataFrame, estimates: DataFrame) -> DataFrame:
-    """AGG21: (current actual, next-period estimate) per (security, date) in one
-    join + grouped pass, replacing a request per record."""
-    j = calendar.join(estimates, ["id", "period_end"])
-    g = j.groupBy("id", "as_of").agg(
-        F.max(F.when((F.col("act_est") == "A") & (F.col("offset") == 0), F.col("value"))).alias("current_reported_eps"),
-        F.max(F.when((F.col("act_est") == "E") & (F.col("offset") == 1), F.col("value"))).alias("analyst_estimated_eps"),
-    )
-    return g.select(F.col("id").alias("security"), F.col("as_of").alias("date"), "current_reported_eps",
-                    "analyst_estimated_eps")
+    """AGG21: (current actual, next-period estimate) per (security, date) as
+    known on the date: of the actuals (and of the estimates) with
+    ``publish_date <= as_of``, the one of the latest period, in its latest
+    version.  Requests for which nothing was published yet give no row.
+
+    One window per security over its publications and request dates, in date
+    order with publications first; a running maximum carries the answer, so
+    nothing published later can enter.  A partition holds one security's
+    history."""
+    known = F.struct("period_end", "publish_date", "value")
+    ev = estimates.select(
+        "id", F.col("publish_date").alias("__d"), F.lit(0).alias("__kind"),
+        F.when((F.col("act_est") == "A") & (F.col("offset") == 0), known).alias("__a"),
+        F.when((F.col("act_est") == "E") & (F.col("offset") == 1), known).alias("__e"))
+    rq = calendar.select("id", F.col("as_of").alias("__d")).distinct().withColumn("__kind", F.lit(1))
+    w = Window.partitionBy("id").orderBy("__d", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    u = ev.unionByName(rq, allowMissingColumns=True).select(
+        "id", "__d", "__kind", F.max("__a").over(w).alias("__a"), F.max("__e").over(w).alias("__e"))
+    return u.where((F.col("__kind") == 1) & (F.col("__a").isNotNull() | F.col("__e").isNotNull())).select(
+        F.col("id").alias("security"), F.col("__d").alias("date"), F.col("__a.value").alias("current_reported_eps"),
+        F.col("__e.value").alias("analyst_estimated_eps"))
 
 
 def analyst_baseline(pairs: DataFrame, signed: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwise.plans.sizing import broadcast_bounded
+from pitwise.sizing import broadcast_bounded
 
 # Decision words and weighting schemes of the reference.
 BUY, SELL, HOLD, MISSING = "BUY", "SELL", "HOLD", "Missing"
@@ -37,7 +37,7 @@ def trading_grid(keys: DataFrame, calendar: DataFrame, end, *, key: str = "secur
     by an equi-join on date (no cross join); the calendar is a small,
     date-bounded table (one row per day), so it is broadcast."""
     days = keys.select(key, F.explode(F.sequence(F.col(start_col).cast("date"), F.lit(end).cast("date"))).alias("date"))
-    return days.join(broadcast_bounded(calendar.select("date")), "date")
+    return days.join(broadcast_bounded(calendar.select("date").distinct()), "date")
 
 
 def position_state(trades: DataFrame, calendar: DataFrame, end) -> DataFrame:
@@ -123,7 +123,7 @@ def build_port_weights(trades: DataFrame, calendar: DataFrame, end, scheme=EQUAL
 def lag_weights(weights: DataFrame, calendar: DataFrame, lag: int = 1, key: str = "security") -> DataFrame:
     """WIN9: weights decided at the close of trading day ``i`` apply on day
     ``i + lag`` (exact trading days via the calendar index)."""
-    cal = broadcast_bounded(calendar.select("date", "idx"))
+    cal = broadcast_bounded(calendar.select("date", "idx").distinct())
     w = weights.join(cal, "date").select(key, (F.col("idx") + lag).alias("idx"), *[
         c for c in weights.columns if c not in ("date", key)])
     return w.join(cal, "idx").drop("idx")
@@ -136,12 +136,18 @@ def rebalance_anchor(calendar: DataFrame, freq: str = "D", rebalance_dates: Data
     month / quarter, held until the next one.  ``rebalance_dates`` (first
     column, e.g. the distinct event dates; the reference's
     ``use_trading_dts``) replaces the frequency: weights change only on those
-    trading days.  Computed on the calendar (one row per day), so the window
-    here is over days only."""
-    cal = calendar.select("date")
+    days, or on the next trading day of an event between trading days.
+    Computed on the calendar (one row per day), so the windows here are over
+    days only."""
+    cal = calendar.select("date").distinct()
     if rebalance_dates is not None:
         # distinct dates: at most one row per day, so a bounded broadcast
-        r = rebalance_dates.select(F.col(rebalance_dates.columns[0]).cast("date").alias("__r")).distinct()
+        r = rebalance_dates.select(F.col(rebalance_dates.columns[0]).cast("date").alias("date")).distinct()
+        days = cal.select("date", F.col("date").alias("__t"), F.lit(False).alias("__event")).unionByName(
+            r.select("date", F.lit(None).cast("date").alias("__t"), F.lit(True).alias("__event")))
+        # the trading day itself sorts after an event of that day
+        ahead = Window.orderBy("date", F.col("__event").desc()).rowsBetween(0, Window.unboundedFollowing)
+        r = days.select("__event", F.min("__t").over(ahead).alias("__r")).where("__event").select("__r").distinct()
         j = cal.join(broadcast_bounded(r), cal["date"] == r["__r"], "left")
     elif freq == "D":
         return cal.select("date", F.col("date").alias("anchor"))

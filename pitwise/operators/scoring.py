@@ -198,30 +198,27 @@ def resume_todo(todo: DataFrame, done: DataFrame, keys=("date", "security")) ->
     return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def chunk_assign(df: DataFrame, order: list[str], size: int, n_partitions: int | None = None) -> DataFrame:
-    """WIN13: ``chunk = floor(ordinal / size)`` over a global order, without a
-    single-partition window: rows are range partitioned and sorted by
-    ``order`` (a unique key), each partition's row count is summed into a
-    small offsets table, and ordinal = partition offset + position in the
-    partition.  The partitioned data is checkpointed once (an eager job)."""
-    parts = n_partitions or df.sparkSession.sparkContext.defaultParallelism
-    s = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    s = s.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
-    s = s.withColumn("__local", F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33))
-    # Range bounds come from a seeded sample whose seed depends on the RDD id,
-    # so the two branches below would partition differently if each re-ran
-    # the exchange.  A reliable checkpoint (in spark.checkpoint.dir) pins one
-    # partitioning for both and cuts the lineage.
-    from pitwise.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    s = s.checkpoint(eager=True)
-    counts = s.groupBy("__pid").agg(F.count("*").alias("__n"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    j = s.join(F.broadcast(offs), "__pid")  # one row per partition: bounded by the partition count
-    ordinal = F.col("__off") + F.col("__local")
-    return j.select(*df.columns, ordinal.alias("ordinal"), F.floor(ordinal / size).alias("chunk"))
+def chunk_assign(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """WIN13: a dense 0-based ``ordinal`` in the given order, and its ``chunk``.
+
+    The ordinal is the number of rows of earlier days (first column of the
+    order), plus those of earlier securities on the day (second column), plus
+    the row's place among its own.  The counts are combined before the
+    shuffle; the running sums are over days and over a day's securities, and
+    the row numbers over one security's rows of one day.  Nothing depends on
+    partitions.  Rows equal in the whole order are numbered in any order."""
+    day, security, *rest = order
+    per = df.groupBy(F.col(day).alias("__d"), F.col(security).alias("__s")).agg(F.count("*").alias("__n"))
+    days = per.groupBy("__d").agg(F.sum("__n").alias("__n"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    start = days.select(F.col("__d").alias("__day"), F.coalesce(F.sum("__n").over(before.orderBy("__d")), F.lit(0)).alias("__start"))
+    within = per.select("__d", "__s", F.coalesce(F.sum("__n").over(before.partitionBy("__d").orderBy("__s")), F.lit(0)).alias("__skip"))
+    offsets = within.join(start, F.col("__d").eqNullSafe(F.col("__day"))).select("__d", "__s", (F.col("__start") + F.col("__skip")).alias("__from"))
+    place = F.row_number().over(Window.partitionBy(day, security).orderBy(*(rest or [F.lit(0)]))) - 1
+    same = F.col(day).eqNullSafe(F.col("__d")) & F.col(security).eqNullSafe(F.col("__s"))
+    numbered = df.withColumn("__place", place).join(offsets, same)
+    ordinal = (F.col("__from") + F.col("__place")).cast("long")
+    return numbered.select(*df.columns, ordinal.alias("ordinal"), F.floor(ordinal / size).cast("long").alias("chunk"))
 
 
 def throughput(metrics: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwise.plans.sizing import broadcast_bounded
+from pitwise.functions.dates import fiscal_quarter_end
+from pitwise.sizing import broadcast_bounded
 
 N_PERIODS = 6
 PERIOD_LABELS = ["t"] + [f"t_{i}" for i in range(1, N_PERIODS)]
@@ -52,15 +53,17 @@ def pit_asof(requests: DataFrame, vintages: DataFrame, n_periods: int = N_PERIOD
     """JN8: per request, per statement item and relative period, the latest
     vintage with ``publish_date <= as_of``.  An equi-join on (id, period_end)
     followed by a grouped ``max_by(value, publish_date)``: no look-ahead, no
-    pairwise comparison of vintages."""
-    v = vintages.select("id", "statement", "item_no", "item", "period_end", "publish_date", "value")
+    pairwise comparison of vintages.  Period ends are aligned to calendar
+    quarters first, so filers with other fiscal days keep their facts; of two
+    vintages of one day the greater value counts."""
+    v = vintages.select("id", "statement", "item_no", "item", fiscal_quarter_end(F.col("period_end")).alias("period_end"),
+                        "publish_date", "value")
     req = candidate_periods(requests.select("as_of", "id").distinct(), v, n_periods)
     j = req.join(v, ["id", "period_end"]).where(F.col("publish_date") <= F.col("as_of"))
-    # ``item`` is a label of (statement, item_no), so it rides along as a key;
-    # the buffers stay fixed-width and the aggregate is hash based.
+    # ``item`` is a label of (statement, item_no), so it rides along as a key
     g = j.groupBy("as_of", "id", "statement", "item_no", "item", "period_end").agg(
-        F.max("publish_date").alias("publish_date"), F.max_by("value", "publish_date").alias("value"))
-    return g.select("as_of", "id", "statement", "item_no", "item", "period_end", "publish_date", "value")
+        F.max(F.struct("publish_date", "value")).alias("__v"))
+    return g.select("as_of", "id", "statement", "item_no", "item", "period_end", "__v.publish_date", "__v.value")
 
 
 def ranked_periods(pit_long: DataFrame, n_periods: int = N_PERIODS) -> DataFrame:
@@ -166,8 +169,10 @@ def attach_revision_date(calendar: DataFrame, vintages: DataFrame) -> DataFrame:
 
 
 def attach_metadata(df: DataFrame, securities: DataFrame, key: str = "id") -> DataFrame:
-    """JN3: attach name / figi / sector (the planner broadcasts the dimension only under its size threshold)."""
-    return df.join(securities, key, "inner")
+    """JN3: attach name / figi / sector (the planner broadcasts the dimension
+    only under its size threshold).  Rows without metadata stay, with NULLs;
+    ``unmatched_keys`` lists them."""
+    return df.join(securities, key, "left")
 
 
 def unmatched_keys(df: DataFrame, securities: DataFrame, key: str = "id") -> DataFrame:
@@ -175,30 +180,43 @@ def unmatched_keys(df: DataFrame, securities: DataFrame, key: str = "id") -> Dat
     return df.join(securities.select(key), key, "left_anti")
 
 
-def ltm(facts: DataFrame, flow_statements=("is",), quarters: int = 4) -> DataFrame:
+def ltm(facts: DataFrame, flow_statements=("is",), quarters: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
     """AGG14: last-twelve-months value.  Flow items: the sum of the last four
     quarters when all four consecutive quarters exist (else NULL); balance
-    items: the latest value.  Windows are per (id, item), bounded by that
-    item's history length."""
-    w = Window.partitionBy("id", "statement", "item_no").orderBy("period_end").rowsBetween(-(quarters - 1), 0)
+    items: the latest value.  ``by`` names further keys of a series, as
+    ``("as_of",)`` for point-in-time rows.  Windows are per (by, id, item),
+    bounded by that item's history length."""
+    w = Window.partitionBy(*by, "id", "statement", "item_no").orderBy("period_end").rowsBetween(-(quarters - 1), 0)
     s = F.sum("value").over(w)
     n = F.count("value").over(w)
     first = F.min("period_end").over(w)
     contiguous = (n == quarters) & (F.months_between("period_end", first) == 3 * (quarters - 1))
     is_flow = F.col("statement").isin(list(flow_statements))
     return facts.select(
-        "id", "statement", "item_no", "period_end",
+        *by, "id", "statement", "item_no", "period_end",
         F.when(is_flow, F.when(contiguous, s)).otherwise(F.col("value")).alias("ltm_value"),
     )
 
 
 def fx_convert(facts: DataFrame, fx: DataFrame, ccy: DataFrame, share_items=(44,)) -> DataFrame:
-    """JN17: convert monetary items with the rate of the fact's currency group
-    on its period end; share counts are exempt."""
-    f = facts.join(ccy, "id")
-    j = f.join(fx, (f["ccy_group"] == fx["ccy_group"]) & (f["period_end"] == fx["rate_date"]))
-    conv = F.when(F.col("item_no").isin(list(share_items)), F.col("value")).otherwise(F.col("value") * F.col("rate"))
-    return j.select("id", "statement", "item_no", "period_end", f["value"].alias("value_local"), F.col("rate"),
+    """JN17: convert monetary items with the last rate of the fact's currency
+    group on or before its period end; share counts are exempt.  Facts without
+    such a rate (or without a currency group) stay, with a NULL rate and, but
+    for share counts, a NULL value.
+
+    The as-of lookup is an equi-join: each rate is spread over the days until
+    the next (a table bounded by days x groups), and the last one of a group
+    holds from its day on."""
+    w = Window.partitionBy("ccy_group").orderBy("rate_date")
+    until = fx.select("ccy_group", "rate_date", "rate", F.lead("rate_date").over(w).alias("__next")).where(F.col("__next").isNotNull())
+    daily = until.select("ccy_group", F.col("rate").alias("__rate"), F.explode(
+        F.sequence("rate_date", F.date_sub("__next", 1))).alias("period_end"))
+    last = fx.groupBy("ccy_group").agg(F.max("rate_date").alias("__from"), F.max_by("rate", "rate_date").alias("__last"))
+    f = facts.join(ccy, "id", "left")
+    j = f.join(daily, ["ccy_group", "period_end"], "left").join(last, "ccy_group", "left")
+    rate = F.coalesce("__rate", F.when(F.col("period_end") >= F.col("__from"), F.col("__last")))
+    conv = F.when(F.col("item_no").isin(list(share_items)), F.col("value")).otherwise(F.col("value") * rate)
+    return j.select("id", "statement", "item_no", "period_end", F.col("value").alias("value_local"), rate.alias("rate"),
                     conv.alias("value"))
 
 

@@ -22,7 +22,7 @@ def seeded_order(date_col: str, seed: str) -> Column:
     return F.md5(F.concat(F.date_format(date_col, "yyyy-MM-dd"), F.lit("|"), F.lit(seed)))
 
 
-def sample_records(records: DataFrame, *, seed: str = "42", n: int = MAX_RECORDS, date_col: str = "date",
+def sample_records(records: DataFrame, *, n: int, seed: str = "42", date_col: str = "date",
                    tie: tuple[str, ...] = ("security",)) -> DataFrame:
     """SRT7: dates in a seeded shuffled order, records taken in that order up
     to ``n`` (the cap is the feature; Spark runs it as a per-task top-n)."""
@@ -44,8 +44,8 @@ def train_test_split(df: DataFrame, keys: list[str], train_share: float = TRAIN_
 
 
 def completion_text(value: Column, decimals: int = 3) -> Column:
-    """SC14: an EPS rounded to 3 decimals, as text (NULL stays NULL)."""
-    return F.when(value.isNotNull(), F.format_string(f"%.{decimals}f", round_half_up(value, decimals)))
+    """SC14: an EPS rounded to 3 decimals, as the shortest text ("1.5"; NULL stays NULL)."""
+    return round_half_up(value, decimals).cast("string")
 
 
 def training_set(prompts: DataFrame, eps_pairs: DataFrame, *, seed: str = "42", n: int = MAX_RECORDS,

@@ -4,7 +4,7 @@ Every view reads whole tables and derives its rows with Spark; nothing is
 sampled or capped, so the work of every query grows with the scale
 factor.  Securities are formed by integer division of a key
 (``c_custkey div 25``; ``user_id * 2 div 5`` for the event stream) so the
-number of securities grows with the data as well.  ``plans/oracle.py``
+number of securities grows with the data as well.  ``plans/oracle_views.py``
 holds the same derivations in DuckDB SQL.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitwise.functions.dates import quarter_end
 from pitwise.functions.numeric import r4
 
 # Line-item labels of the reference's statement catalogue
@@ -51,6 +52,15 @@ def sec_id(k: Column, suffix: str = " UN Equity") -> Column:
     return F.concat(F.lit("T"), k.cast("string"), F.lit(suffix))
 
 
+def both_listings() -> Column:
+    """A company has two listings (UN, UW) with the same statements."""
+    return F.explode(F.array(F.lit("UN"), F.lit("UW")))
+
+
+def listing_id() -> Column:
+    return F.concat(F.lit("T"), F.col("k").cast("string"), F.lit(" "), F.col("listing"), F.lit(" Equity"))
+
+
 def figi_of(k: Column) -> Column:
     return F.concat(F.lit("F"), k.cast("string"))
 
@@ -63,10 +73,6 @@ def user_key(col: str = "user_id") -> Column:
     return F.expr(f"({col} * 2) div 5")
 
 
-def quarter_end(d: Column) -> Column:
-    return F.last_day(F.add_months(F.trunc(d, "quarter"), 2))
-
-
 # ---------------------------------------------------------------- news
 def v_headlines(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
@@ -87,7 +93,9 @@ def v_securities(spark: SparkSession, d: str) -> DataFrame:
         c.groupBy(cust_key("c_custkey").alias("k"))
         .agg(F.min("c_name").alias("name"), F.min_by("c_mktsegment", "c_custkey").alias("sector"),
              F.min_by("c_nationkey", "c_custkey").alias("nation"))
-        .select(sec_id(F.col("k")).alias("id"), figi_of(F.col("k")).alias("figi"), "name", "sector", "nation", "k")
+        .withColumn("listing", both_listings())
+        .select(listing_id().alias("id"), F.concat(figi_of(F.col("k")), F.when(F.col("listing") == "UW", "W").otherwise("")).alias("figi"),
+                "name", "sector", "nation", "k")
     )
 
 
@@ -162,8 +170,8 @@ def v_facts(spark: SparkSession, d: str) -> DataFrame:
         item(BS_CASH_STI, cash),
         item(BS_CASH, cash),
     )
-    return q.select(
-        "k", sec_id(F.col("k")).alias("id"), "period_end",
+    return q.withColumn("listing", both_listings()).select(
+        "k", listing_id().alias("id"), "period_end",
         F.date_add("period_end", (F.col("k") % 25 + 20).cast("int")).alias("publish_date"),
         F.inline(items),
     ).select("k", "id", "statement", "item_no", "item", "period_end", "publish_date", "value")
@@ -184,15 +192,16 @@ def v_vintages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_estimates(spark: SparkSession, d: str) -> DataFrame:
-    """Actual EPS (offset 0) and the consensus estimate of the next period (offset 1) per (id, period_end)."""
+    """Actual EPS (offset 0) and the consensus estimate of the next period (offset 1) per (id, period_end);
+    both are known from the day the period's statements are published."""
     from pyspark.sql import Window
 
     f = v_facts(spark, d).where(F.col("item_no") == EPS_ITEM_NO)
-    w = Window.partitionBy("k").orderBy("period_end")
+    w = Window.partitionBy("id").orderBy("period_end")
     f = f.withColumn("next_eps", F.lead("value").over(w))
-    act = f.select("id", "period_end", F.lit("A").alias("act_est"), F.lit(0).alias("offset"), F.col("value"))
+    act = f.select("id", "period_end", "publish_date", F.lit("A").alias("act_est"), F.lit(0).alias("offset"), F.col("value"))
     est = f.where(F.col("next_eps").isNotNull()).select(
-        "id", "period_end", F.lit("E").alias("act_est"), F.lit(1).alias("offset"),
+        "id", "period_end", "publish_date", F.lit("E").alias("act_est"), F.lit(1).alias("offset"),
         r4(F.col("next_eps") * (1 + ((F.col("k") % 7) - 3) / 50.0)).alias("value"),
     )
     return act.unionByName(est)
@@ -203,6 +212,8 @@ def v_fx(spark: SparkSession, d: str) -> DataFrame:
     qe = o.select(quarter_end(F.to_date("o_orderdate")).alias("rate_date")).distinct()
     groups = qe.select("rate_date", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("ccy_group"))
     qn = F.year("rate_date") * 4 + F.quarter("rate_date")
+    # group 1 has no rate for second quarters, so the last one before holds
+    groups = groups.where((F.col("ccy_group") != 1) | (F.quarter("rate_date") != 2))
     return groups.select("rate_date", "ccy_group", (1 + ((qn + F.col("ccy_group")) % 5) / 100.0).alias("rate"))
 
 
@@ -213,6 +224,14 @@ def v_prices(spark: SparkSession, d: str) -> DataFrame:
         r4(100 + F.avg("value")).alias("px"))
 
 
+def v_stock_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Daily prices over the years of the reports, from all orders, for both listings of a company."""
+    o = table(spark, d, "orders")
+    p = o.groupBy(cust_key("o_custkey").alias("k"), F.to_date("o_orderdate").alias("date")).agg(
+        r4(F.avg("o_totalprice") / 1000).alias("px"))
+    return p.withColumn("listing", both_listings()).select(listing_id().alias("id"), "date", "px")
+
+
 def v_calendar(spark: SparkSession, d: str) -> DataFrame:
     """Trading calendar: every weekday between the first and last event day, with a dense index."""
     from pyspark.sql import Window
@@ -245,10 +264,17 @@ def v_trades(spark: SparkSession, d: str) -> DataFrame:
     return ev.select(
         F.to_date("ts").alias("date"), sec_id(user_key()).alias("security"), dec.alias("decision"),
         F.floor(F.col("value") / 10).cast("string").alias("confidence"),
-        ((F.col("event_id") * 7919) % 1000003).alias("seq"),
+        F.col("event_id").alias("seq"), "event_type",
     )
 
 
+def v_event_days(spark: SparkSession, d: str) -> DataFrame:
+    """The busiest day of each week (the earliest, if tied), weekends included."""
+    days = table(spark, d, "events").groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias("n"))
+    first = F.struct(-F.col("n"), F.col("date"))
+    return days.groupBy(F.date_trunc("week", "date").alias("week")).agg(F.min_by("date", first).alias("date")).select("date")
+
+
 # -------------------------------------------------- model responses
 def v_responses(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
@@ -285,12 +311,11 @@ def v_earnings_responses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_agent_results(spark: SparkSession, d: str) -> DataFrame:
-    ev = table(spark, d, "events")
     ed = F.element_at(F.array(*[F.lit(x) for x in ("increase", "INCREASE", " Increase ", "decrease")]),
-                      (F.col("event_id") % 4 + 1).cast("int"))
-    return v_trades(spark, d).alias("t").select("date", "security", "decision", "confidence", "seq") \
-        .join(ev.select(((F.col("event_id") * 7919) % 1000003).alias("seq"), ed.alias("earning_decision"),
-                        F.upper(F.col("event_type")).alias("earning_magnitude")), "seq")
+                      (F.col("seq") % 4 + 1).cast("int"))
+    return v_trades(spark, d).select(
+        "date", "security", "decision", "confidence", "seq", ed.alias("earning_decision"),
+        F.upper("event_type").alias("earning_magnitude"))
 
 
 def v_ft_text(spark: SparkSession, d: str) -> DataFrame:

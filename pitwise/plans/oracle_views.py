@@ -32,8 +32,9 @@ SELECT 'S' || CAST(event_id // 3 AS VARCHAR) AS suid,
 FROM events"""
 
 VIEWS["v_securities"] = f"""
-SELECT {SEC.format(k='k')} AS id, 'F' || CAST(k AS VARCHAR) AS figi, name, sector, nation, k
-FROM (SELECT {CKEY.format(c='c_custkey')} AS k, min(c_name) AS name,
+SELECT 'T' || CAST(k AS VARCHAR) || ' ' || listing || ' Equity' AS id,
+       'F' || CAST(k AS VARCHAR) || CASE WHEN listing = 'UW' THEN 'W' ELSE '' END AS figi, name, sector, nation, k
+FROM (SELECT UNNEST(['UN', 'UW']) AS listing), (SELECT {CKEY.format(c='c_custkey')} AS k, min(c_name) AS name,
              arg_min(c_mktsegment, c_custkey) AS sector, arg_min(c_nationkey, c_custkey) AS nation
       FROM customer GROUP BY 1)"""
 
@@ -63,9 +64,9 @@ GROUP BY 1, 2"""
 
 _PRETAX = "(gross - 0.95 * rev)"
 VIEWS["v_facts"] = f"""
-SELECT k, {SEC.format(k='k')} AS id, statement, item_no, item, period_end,
+SELECT k, 'T' || CAST(k AS VARCHAR) || ' ' || listing || ' Equity' AS id, statement, item_no, item, period_end,
        CAST(period_end + CAST(k % 25 + 20 AS INTEGER) AS DATE) AS publish_date, CAST(value AS DOUBLE) AS value
-FROM v_qsums,
+FROM v_qsums, (SELECT UNNEST(['UN', 'UW']) AS listing),
      (SELECT UNNEST([
         {{'statement': 'is', 'item_no': 1, 'item': '01 Revenue (Adj)', 'sel': 1}},
         {{'statement': 'is', 'item_no': 8, 'item': '08 Gross Profit (Adj)', 'sel': 2}},
@@ -92,22 +93,29 @@ SELECT *, publish_date AS revision_date FROM (
   FROM v_facts WHERE k % 4 = 0)"""
 
 VIEWS["v_estimates"] = f"""
-SELECT id, period_end, 'A' AS act_est, 0 AS "offset", value FROM v_facts WHERE item_no = 47
+SELECT id, period_end, publish_date, 'A' AS act_est, 0 AS "offset", value FROM v_facts WHERE item_no = 47
 UNION ALL
-SELECT id, period_end, 'E' AS act_est, 1 AS "offset", {r4('next_eps * (1 + ((k % 7) - 3) / 50.0)')} AS value
-FROM (SELECT id, k, period_end, lead(value) OVER (PARTITION BY k ORDER BY period_end) AS next_eps
+SELECT id, period_end, publish_date, 'E' AS act_est, 1 AS "offset", {r4('next_eps * (1 + ((k % 7) - 3) / 50.0)')} AS value
+FROM (SELECT id, k, period_end, publish_date, lead(value) OVER (PARTITION BY id ORDER BY period_end) AS next_eps
       FROM v_facts WHERE item_no = 47)
 WHERE next_eps IS NOT NULL"""
 
 VIEWS["v_fx"] = """
 SELECT rate_date, ccy_group, 1 + ((year(rate_date) * 4 + quarter(rate_date) + ccy_group) % 5) / 100.0 AS rate
 FROM (SELECT DISTINCT last_day(CAST(date_trunc('quarter', CAST(o_orderdate AS DATE)) + INTERVAL 2 MONTH AS DATE)) AS rate_date FROM orders),
-     (SELECT UNNEST([0, 1, 2]) AS ccy_group)"""
+     (SELECT UNNEST([0, 1, 2]) AS ccy_group)
+WHERE ccy_group <> 1 OR quarter(rate_date) <> 2"""
 
 VIEWS["v_prices"] = f"""
 SELECT {SEC.format(k=UKEY)} AS id, CAST(ts AS DATE) AS date, {r4('100 + avg(value)')} AS px
 FROM events GROUP BY 1, 2"""
 
+VIEWS["v_stock_prices"] = f"""
+SELECT 'T' || CAST(k AS VARCHAR) || ' ' || listing || ' Equity' AS id, date, px
+FROM (SELECT UNNEST(['UN', 'UW']) AS listing),
+     (SELECT {CKEY.format(c='o_custkey')} AS k, CAST(o_orderdate AS DATE) AS date, {r4('avg(o_totalprice) / 1000')} AS px
+      FROM orders GROUP BY 1, 2)"""
+
 VIEWS["v_calendar"] = """
 SELECT date, row_number() OVER (ORDER BY date) AS idx
 FROM (SELECT CAST(unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE), INTERVAL 1 DAY)) AS DATE) AS date FROM events)
@@ -125,9 +133,13 @@ VIEWS["v_trades"] = f"""
 SELECT CAST(ts AS DATE) AS date, {SEC.format(k=UKEY)} AS security,
        CASE event_type WHEN 'purchase' THEN 'BUY' WHEN 'error' THEN 'SELL' WHEN 'view' THEN 'HOLD' ELSE 'Missing' END AS decision,
        CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS confidence,
-       (event_id * 7919) % 1000003 AS seq
+       event_id AS seq, event_type
 FROM events"""
 
+VIEWS["v_event_days"] = """
+SELECT arg_min(date, (-n, date)) AS date
+FROM (SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY 1) GROUP BY date_trunc('week', date)"""
+
 VIEWS["v_responses"] = f"""
 SELECT 'run' || CAST(event_id % 3 AS VARCHAR) AS run_name, CAST(ts AS DATE) AS date,
        {SEC.format(k=UKEY)} AS security, event_id,
@@ -151,12 +163,10 @@ SELECT 'run' || CAST(event_id % 3 AS VARCHAR) AS run_name, CAST(ts AS DATE) AS d
 FROM events"""
 
 VIEWS["v_agent_results"] = """
-SELECT t.date, t.security, t.decision, t.confidence, t.seq, e.earning_decision, e.earning_magnitude
-FROM v_trades t JOIN (
-  SELECT (event_id * 7919) % 1000003 AS seq,
-         CASE event_id % 4 WHEN 0 THEN 'increase' WHEN 1 THEN 'INCREASE' WHEN 2 THEN ' Increase ' ELSE 'decrease' END AS earning_decision,
-         upper(event_type) AS earning_magnitude
-  FROM events) e ON t.seq = e.seq"""
+SELECT date, security, decision, confidence, seq,
+       CASE seq % 4 WHEN 0 THEN 'increase' WHEN 1 THEN 'INCREASE' WHEN 2 THEN ' Increase ' ELSE 'decrease' END AS earning_decision,
+       upper(event_type) AS earning_magnitude
+FROM v_trades"""
 
 VIEWS["v_ft_text"] = """
 SELECT id, period_end,
@@ -226,7 +236,7 @@ FROM (SELECT r.as_of, r.id, max(a.period_end) AS latest
 
 VIEWS["v_pit"] = """
 SELECT c.as_of, c.id, v.statement, v.item_no, arg_max(v.item, v.publish_date) AS item, c.period_end,
-       max(v.publish_date) AS publish_date, arg_max(v.value, v.publish_date) AS value
+       max(v.publish_date) AS publish_date, arg_max(v.value, (v.publish_date, v.value)) AS value
 FROM v_pit_cand c JOIN v_vintages v ON v.id = c.id AND v.period_end = c.period_end
 WHERE v.publish_date <= c.as_of
 GROUP BY c.as_of, c.id, v.statement, v.item_no, c.period_end"""
@@ -263,9 +273,9 @@ FROM (SELECT security, date, value AS current_eps, lead(value) OVER (PARTITION B
 
 VIEWS["v_pairs"] = """
 SELECT c.id AS security, c.as_of AS date,
-       max(CASE WHEN e.act_est = 'A' AND e."offset" = 0 THEN e.value END) AS current_reported_eps,
-       max(CASE WHEN e.act_est = 'E' AND e."offset" = 1 THEN e.value END) AS analyst_estimated_eps
-FROM v_cal c JOIN v_estimates e ON e.id = c.id AND e.period_end = c.period_end
+       arg_max(e.value, (e.period_end, e.publish_date)) FILTER (WHERE e.act_est = 'A' AND e."offset" = 0) AS current_reported_eps,
+       arg_max(e.value, (e.period_end, e.publish_date)) FILTER (WHERE e.act_est = 'E' AND e."offset" = 1) AS analyst_estimated_eps
+FROM (SELECT DISTINCT id, as_of FROM v_cal) c JOIN v_estimates e ON e.id = c.id AND e.publish_date <= c.as_of
 GROUP BY c.id, c.as_of"""
 
 VIEWS["v_baseline"] = f"""
@@ -313,8 +323,7 @@ GROUP BY date, security"""
 
 VIEWS["v_px"] = f"""
 SELECT g.id, g.date,
-       (SELECT arg_max(p.px, p.date) FROM v_prices p JOIN v_calendar c2 ON c2.date = p.date
-        WHERE p.id = g.id AND p.date <= g.date) AS px
+       (SELECT arg_max(p.px, p.date) FROM v_prices p WHERE p.id = g.id AND p.date <= g.date) AS px
 FROM (SELECT f.id, CAST(unnest(generate_series(f.start, {BT_END}, INTERVAL 1 DAY)) AS DATE) AS date
       FROM (SELECT id, min(date) AS start FROM v_prices GROUP BY id) f) g
 JOIN v_calendar c ON c.date = g.date"""

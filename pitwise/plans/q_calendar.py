@@ -77,7 +77,7 @@ def universe_anti(spark, d):
 
 
 @query("metadata_join", """
-SELECT c.as_of, c.id, s.figi, s.name, s.sector FROM v_cal c JOIN v_securities s ON s.id = c.id""")
+SELECT c.as_of, c.id, s.figi, s.name, s.sector FROM v_cal c LEFT JOIN v_securities s ON s.id = c.id""")
 def metadata_join(spark, d):
     secs = fx.v_securities(spark, d).select("id", "figi", "name", "sector")
     return st.attach_metadata(calendar(spark, d), secs).select("as_of", "id", "figi", "name", "sector")

@@ -111,19 +111,3 @@ def company_context(spark, d):
     sampled = news.sample_news_window(_requests(spark, d), _clean_news(spark, d))
     ctx = news.company_context(snap, sampled)
     return ctx.select("figi", "as_of", "id", "name", "sector", "n_headlines", F.element_at("headlines", 1).alias("newest"))
-
-
-@query("headline_stream")
-def headline_stream(spark, d):
-    """DOM16 on a file stream (rows-only check: within the watermark the first
-    copy processed is kept, so the kept suid can differ from the batch key)."""
-    from pitwise.session import scratch_path
-    from pitwise.streaming.headlines import headline_stream as stream, run_to_parquet
-
-    src = scratch_path(spark, "stream-in")
-    h = fx.v_headlines(spark, d)
-    h.repartition(4, F.to_date("arrival")).write.mode("overwrite").parquet(src)
-    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    q = run_to_parquet(stream(spark, src, h.schema, fx.v_universe(spark, d), START), out, ckpt)
-    q.awaitTermination()
-    return spark.read.parquet(out)

@@ -104,13 +104,13 @@ def rebalance_hold(spark, d):
 @query("rebalance_events", """
 WITH anchors AS (
   SELECT date, max(r) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS anchor FROM (
-    SELECT c.date, e.r FROM v_calendar c LEFT JOIN (SELECT DISTINCT date AS r FROM v_trades) e ON e.r = c.date))
+    SELECT c.date, e.r FROM v_calendar c LEFT JOIN (
+      SELECT DISTINCT (SELECT min(t.date) FROM v_calendar t WHERE t.date >= d.date) AS r FROM v_event_days d) e ON e.r = c.date))
 SELECT a.date, w.security, round(w.weight, 6) AS weight
 FROM anchors a JOIN v_ls w ON w.date = a.anchor""")
 def rebalance_events(spark, d):
-    """WIN10 with the reference's ``use_trading_dts``: rebalance on the event dates."""
-    return round_doubles(pf.rebalance_hold(ls_weights(spark, d), fx.v_calendar(spark, d),
-                                           rebalance_dates=fx.v_trades(spark, d).select("date")))
+    """WIN10 with the reference's ``use_trading_dts``: rebalance on event dates (each week's busiest day)."""
+    return round_doubles(pf.rebalance_hold(ls_weights(spark, d), fx.v_calendar(spark, d), rebalance_dates=fx.v_event_days(spark, d)))
 
 
 @query("price_ffill", "SELECT id, date, px FROM v_px")
@@ -120,8 +120,7 @@ def price_ffill(spark, d):
 
 @query("beta_ffill", f"""
 SELECT g.id, g.date,
-       (SELECT arg_max(b.beta, b.date) FROM v_beta b JOIN v_calendar c2 ON c2.date = b.date
-        WHERE b.id = g.id AND b.date <= g.date) AS beta
+       (SELECT arg_max(b.beta, b.date) FROM v_beta b WHERE b.id = g.id AND b.date <= g.date) AS beta
 FROM (SELECT f.id, CAST(unnest(generate_series(f.start, DATE '{END}', INTERVAL 1 DAY)) AS DATE) AS date
       FROM (SELECT id, min(date) AS start FROM v_beta GROUP BY id) f) g
 JOIN v_calendar c ON c.date = g.date""")
@@ -173,7 +172,7 @@ WITH d AS (
 dd AS (SELECT *, wealth / greatest(max(wealth) OVER (PARTITION BY year ORDER BY date ROWS UNBOUNDED PRECEDING), 1.0) - 1 AS ddn
        FROM d)
 SELECT 'events' AS run_name, year, count(strategy_return) AS n_days,
-       round(exp(sum(ln(1 + strategy_return))) - 1, 6) AS total_return,
+       round(CASE WHEN min(strategy_return) <= -1 THEN -1.0 ELSE exp(sum(ln(1 + strategy_return))) - 1 END, 6) AS total_return,
        round(CASE WHEN count(strategy_return) >= 2 AND stddev_samp(strategy_return) > 0
                   THEN stddev_samp(strategy_return) * sqrt(252) END, 6) AS volatility,
        round(CASE WHEN count(strategy_return) >= 2 AND stddev_samp(strategy_return) > 0

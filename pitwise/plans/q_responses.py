@@ -10,27 +10,24 @@ from pitwise.plans.catalog import query
 
 
 def parsed_sql(view: str) -> str:
-    """DuckDB mirror of DOM5 over a view with ``response_raw``."""
+    """DOM5 over a view with ``response_raw``, in DuckDB SQL."""
+    closed = r"(?s)^.*?```json(.*?\})```(.*)$"
     return f"""
 SELECT *, CASE WHEN json_text IS NOT NULL AND json_valid(json_text) AND json_type(json_text) = 'OBJECT'
                THEN json_text END AS pj
 FROM (
   SELECT *,
-         CASE WHEN soj > 0 THEN CASE WHEN eoj > 0 THEN substr(form, soj + 7, eoj - soj - 6)
-                                     ELSE substr(form, soj + 7, length(form)) END END AS json_text,
-         CASE WHEN soj > 0 THEN substr(form, 1, soj - 1) ||
-                                CASE WHEN eoj > 0 THEN substr(form, eoj + 4, length(form)) ELSE '' END END AS additional_context
-  FROM (
-    SELECT *, CASE WHEN soj > 0 AND instr(substr(form, soj), '}}```') > 0
-                   THEN instr(substr(form, soj), '}}```') + soj - 1 ELSE 0 END AS eoj
-    FROM (SELECT *, instr(form, '```json') AS soj
-          FROM (SELECT *, replace(response_raw, chr(10), '') AS form FROM {view}))))"""
+         CASE WHEN regexp_matches(line, '{closed}') THEN regexp_extract(line, '{closed}', 1)
+              WHEN contains(line, '```json') THEN regexp_extract(line, '(?s)```json(.*)$', 1) END AS json_text,
+         CASE WHEN contains(line, '```json') THEN split_part(line, '```json', 1) ||
+              CASE WHEN regexp_matches(line, '{closed}') THEN regexp_extract(line, '{closed}', 2) ELSE '' END END AS additional_context
+  FROM (SELECT *, replace(response_raw, chr(10), '') AS line FROM {view}))"""
 
 
 @query("response_json", f"""
 SELECT run_name, date, security, event_id, json_text, additional_context, pj IS NOT NULL AS is_parsed,
        json_extract_string(pj, '$.decision') AS decision_key
-FROM ({parsed_sql('v_responses')})""".replace("}}```", "}```"))
+FROM ({parsed_sql('v_responses')})""")
 def response_json(spark, d):
     p = rs.parse_responses(fx.v_responses(spark, d))
     return p.select("run_name", "date", "security", "event_id", "json_text", "additional_context",
@@ -50,7 +47,7 @@ SELECT run_name, date, security, event_id,
        CASE WHEN pj IS NOT NULL THEN coalesce(json_extract_string(pj, '$.decision'), 'Missing') ELSE {_KEYWORD} END AS decision,
        CASE WHEN pj IS NOT NULL THEN coalesce(json_extract_string(pj, '$."confidence score"'),
                                               json_extract_string(pj, '$.confidence')) END AS confidence
-FROM ({parsed_sql('v_responses')})""".replace("}}```", "}```"))
+FROM ({parsed_sql('v_responses')})""")
 def trade_report(spark, d):
     return rs.trade_report(rs.parse_responses(fx.v_responses(spark, d)))
 
@@ -74,7 +71,7 @@ SELECT run_name, date, security, event_id,
        {_dir("coalesce(json_extract_string(pj, '$.earnings'), json_extract_string(pj, '$.analyst_direction'), " + _quoted('earnings') + ")")} AS analyst_direction,
        coalesce(json_extract_string(pj, '$.magnitude'), json_extract_string(pj, '$.analyst_magnitude'), {_quoted('magnitude')}) AS analyst_magnitude,
        coalesce(json_extract_string(pj, '$.confidence'), {_number('confidence')}) AS confidence
-FROM ({parsed_sql('v_earnings_responses')})""".replace("}}```", "}```"))
+FROM ({parsed_sql('v_earnings_responses')})""")
 def earnings_report(spark, d):
     return rs.earnings_report(rs.parse_responses(fx.v_earnings_responses(spark, d)))
 

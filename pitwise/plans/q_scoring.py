@@ -35,7 +35,7 @@ FROM (SELECT as_of, id,
 JOIN v_securities s ON s.id = l.id
 LEFT JOIN (
   SELECT r.as_of, r.id, string_agg(strftime(p.date, '%Y-%m-%d') || ': ' || printf('%.4f', p.px), chr(10) ORDER BY p.date) AS prices
-  FROM (SELECT DISTINCT as_of, id FROM v_matrix) r JOIN v_prices p
+  FROM (SELECT DISTINCT as_of, id FROM v_matrix) r JOIN v_stock_prices p
     ON p.id = r.id AND p.date >= CAST(r.as_of - INTERVAL 12 MONTH AS DATE) AND p.date <= r.as_of
   GROUP BY r.as_of, r.id) h ON h.as_of = l.as_of AND h.id = l.id"""
 
@@ -49,7 +49,7 @@ def _stub_sql(p: str, resp: str, err: str) -> str:
 
 
 def prompts(spark, d):
-    return sc.prompt_table(matrix(spark, d), fx.v_securities(spark, d), prices=fx.v_prices(spark, d))
+    return sc.prompt_table(matrix(spark, d), fx.v_securities(spark, d), prices=fx.v_stock_prices(spark, d))
 
 
 @query("prompt_table", "SELECT as_of, id, prompt, length(prompt) AS n_chars, md5(prompt) AS prompt_md5 FROM v_prompts")
@@ -89,7 +89,7 @@ CHUNK = 500
 SELECT date, security, decision, confidence, seq, ordinal, CAST(floor(ordinal / {CHUNK}) AS BIGINT) AS chunk
 FROM (SELECT *, row_number() OVER (ORDER BY date, security, seq) - 1 AS ordinal FROM v_trades)""")
 def chunk_assign(spark, d):
-    return sc.chunk_assign(fx.v_trades(spark, d), ["date", "security", "seq"], CHUNK)
+    return sc.chunk_assign(fx.v_trades(spark, d).drop("event_type"), ["date", "security", "seq"], CHUNK)
 
 
 @query("scoring_throughput", """
@@ -124,20 +124,20 @@ def train_records(spark, d):
 
 @query("training_sample", f"SELECT date, security FROM ({_SAMPLE})")
 def training_sample(spark, d):
-    return tr.sample_records(train_records(spark, d), seed="42").select("date", "security")
+    return tr.sample_records(train_records(spark, d), n=tr.MAX_RECORDS, seed="42").select("date", "security")
 
 
 @query("train_test_split", f"""
-SELECT date, security, CASE WHEN {_BUCKET} < 205 THEN 'train' ELSE 'test' END AS split FROM ({_SAMPLE})""")
+SELECT date, security, CASE WHEN {_BUCKET} < 205 THEN 'train' ELSE 'test' END AS split FROM v_train_records""")
 def train_test_split(spark, d):
-    s = tr.sample_records(train_records(spark, d), seed="42").select("date", "security")
+    s = train_records(spark, d).select("date", "security")
     return tr.train_test_split(s, ["date", "security"])
 
 
 @query("training_set", f"""
 SELECT date, security, split_part(prompt, 'Balance Sheet:', 1) || chr(10) || 'The next period EPS is:' AS prompt,
        CASE WHEN e.analyst_estimated_eps IS NOT NULL
-            THEN printf('%.3f', floor(e.analyst_estimated_eps * 1000.0 + 0.5) / 1000.0) END AS completion,
+            THEN CAST(floor(e.analyst_estimated_eps * 1000.0 + 0.5) / 1000.0 AS VARCHAR) END AS completion,
        CASE WHEN {_BUCKET} < 205 THEN 'train' ELSE 'test' END AS split
 FROM ({_SAMPLE}) s LEFT JOIN v_pairs e USING (security, date)""")
 def training_set(spark, d):

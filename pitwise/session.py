@@ -40,8 +40,9 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator of the job sets it to a shared filesystem
-    path; we only pick a local folder when it is unset (local tests).
+    On a cluster whoever runs the job sets it to a path all executors share;
+    a local folder is picked only where it is unset and the master is local
+    (tests, bench).
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -51,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf
     if current:
         return current.replace("file:", "", 1) if current.startswith("file:") else current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="pitwise-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

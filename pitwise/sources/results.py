@@ -39,7 +39,11 @@ def save_run(results: DataFrame, path: str, *, run_name: str | None = None, mode
         sizes = df.groupBy("run_name", "date").agg(F.count("*").alias("__n"))  # partial aggregation
         parts = F.ceil(F.col("__n") / F.lit(envelope_results))
         part = F.pmod(F.xxhash64(*[F.col(c) for c in fields]), parts)
-        out = df.join(sizes, ["run_name", "date"]).groupBy("run_name", F.col("date").alias("__d"), part.alias("__p")).agg(
+        # null-safe, so results without a date or run are written too; the hint puts
+        # an exchange between the counts and the join, whose hot keys Spark splits
+        sizes = sizes.withColumnsRenamed({"run_name": "__run", "date": "__day"}).hint("rebalance")
+        same = df["run_name"].eqNullSafe(sizes["__run"]) & df["date"].eqNullSafe(sizes["__day"])
+        out = df.join(sizes, same).groupBy("run_name", F.col("date").alias("__d"), part.alias("__p")).agg(
             F.collect_list(F.struct(*fields)).alias("results")).select(
             "run_name", *[v.alias(k) for k, v in meta.items()], "results")
     else:
@@ -48,19 +52,16 @@ def save_run(results: DataFrame, path: str, *, run_name: str | None = None, mode
 
 
 def load_results(spark: SparkSession, path: str, result_schema: T.StructType, multiline: bool = False) -> DataFrame:
-    """SRC6: read saved runs in either layout and return one row per result
-    (``explode(results)`` for envelopes).  The schema is given, never inferred."""
-    env = T.StructType([T.StructField("run_name", T.StringType()), T.StructField("run_date", T.StringType()),
-                        T.StructField("model", T.StringType()), T.StructField("results", T.ArrayType(result_schema))])
-    probe = spark.read.option("multiLine", multiline).schema(env).json(path)
+    """SRC6: read saved runs in either layout, in one scan, and return one row
+    per result (the elements of ``results`` for envelopes, else the row
+    itself, whatever of it is NULL).  The schema is given, never inferred."""
+    meta = [T.StructField(c, T.StringType()) for c in ("run_name", "run_date", "model")]
+    fields = [f for f in result_schema.fields if f.name not in ("run_name", "run_date", "model")]
     rows = spark.read.option("multiLine", multiline).schema(
-        T.StructType(env.fields[:3] + list(result_schema.fields))).json(path)
-    exploded = probe.where(F.col("results").isNotNull()).select("run_name", "run_date", "model",
-                                                                F.explode("results").alias("r")).select(
+        T.StructType([*meta, T.StructField("results", T.ArrayType(T.StructType(fields))), *fields])).json(path)
+    itself = F.array(F.struct(*[F.col(f.name) for f in fields]))
+    return rows.select("run_name", "run_date", "model", F.explode(F.coalesce("results", itself)).alias("r")).select(
         "run_name", "run_date", "model", "r.*")
-    keep = [f.name for f in result_schema.fields]
-    flat = rows.where(F.col(keep[0]).isNotNull())
-    return exploded.unionByName(flat.select("run_name", "run_date", "model", *keep))
 
 
 def fan_in_logs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -82,14 +83,12 @@ def write_training_set(df: DataFrame, path: str) -> None:
 
 def materialise(spark: SparkSession, path: str, build: Callable[[], DataFrame], *, force_refresh: bool = False) -> DataFrame:
     """SRC12: reuse a dataset written earlier, or build and write it
-    (``force_refresh`` rebuilds).  The written table also cuts lineage."""
-    exists = False
-    if not force_refresh:
-        try:
-            spark.read.parquet(path).schema  # noqa: B018 - probe only
-            exists = True
-        except Exception:  # noqa: BLE001
-            exists = False
-    if not exists:
+    (``force_refresh`` rebuilds).  The written table also cuts lineage.  It is
+    there if its file system has the writer's success marker; errors of the
+    file system, or of reading, are raised, never taken for absence."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    exists = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    if force_refresh or not exists:
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -287,7 +287,7 @@ def test_split_stable_and_disjoint(spark):
 
 def test_chunk_assign_is_a_permutation(spark):
     df = spark.createDataFrame([(i * 7 % 101, f"k{i}") for i in range(101)], "a long, b string")
-    out = sc.chunk_assign(df, ["a", "b"], 10, n_partitions=4).collect()
+    out = sc.chunk_assign(df, ["a", "b"], 10).collect()
     ords = sorted(r.ordinal for r in out)
     assert ords == list(range(101))
     first = min(out, key=lambda r: (r.a, r.b))
