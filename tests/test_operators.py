@@ -82,8 +82,8 @@ def test_rebalance_on_event_dates(spark):
     w = spark.createDataFrame([(d, "A", float(i)) for i, d in enumerate(WEEK)], "date date, security string, weight double")
     events = spark.createDataFrame([(D(2024, 1, 3),), (D(2024, 1, 3),), (D(2024, 1, 6),), (D(2024, 1, 9),)], "date date")
     held = {r.date: r.weight for r in pf.rebalance_hold(w, c, rebalance_dates=events).collect()}
-    # Jan 6 is a Saturday (no weights, no trading day): Jan 3's weights hold until Jan 9
-    assert held == {D(2024, 1, 3): 2.0, D(2024, 1, 4): 2.0, D(2024, 1, 5): 2.0, D(2024, 1, 8): 2.0,
+    # Jan 6 is a Saturday, so its event takes effect on Monday, Jan 8
+    assert held == {D(2024, 1, 3): 2.0, D(2024, 1, 4): 2.0, D(2024, 1, 5): 2.0, D(2024, 1, 8): 5.0,
                     D(2024, 1, 9): 6.0, D(2024, 1, 10): 6.0, D(2024, 1, 11): 6.0, D(2024, 1, 12): 6.0}
 
 
