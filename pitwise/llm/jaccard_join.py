@@ -17,7 +17,7 @@ words the whole sequence).  Two documents link when
    (the least class) is paired with the others, so a group of thousands of
    near copies costs one pair for each, not all pairs.
 4. Filters: length; positional (what can still match after the first common
-   n-gram); suffix (n-grams after it, by 16 regions of their hashes: the sum
+   n-gram); suffix (n-grams after it, by 64 regions of their hashes: the sum
    of size differences bounds the overlap).
 5. Verification: the exact sets of both whole texts, once per pair.
 6. Components of the links so far.  Any n-gram whose classes are still in
@@ -46,7 +46,7 @@ from pitwise.llm.tables import settle, spread
 from pitwise.llm.tokens import Words, chunks
 
 BUCKETS = 1 << 18
-REGIONS = 16
+REGIONS = 64
 FILTER_BITS = 24
 
 
@@ -133,10 +133,10 @@ def _prefixes(n: int, percent: int, counts: np.ndarray):
                     sizes.append(size)
                     a.append(int(np.frombuffer(hashlib.md5(u.tobytes()).digest(), np.int64)[0]))
                     prefix.append(u[order[:keep]].view(np.int64))
-                    regions.append(np.bincount((u & np.uint64(REGIONS - 1)).astype(np.int64), minlength=REGIONS).astype(np.int32))
+                    regions.append(np.minimum(np.bincount((u & np.uint64(REGIONS - 1)).astype(np.int64), minlength=REGIONS), 32767).astype(np.int16))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.array(a, pa.int64()),
-                     pa.array(prefix, pa.list_(pa.int64())), pa.array(regions, pa.list_(pa.int32()))],
+                     pa.array(prefix, pa.list_(pa.int64())), pa.array(regions, pa.list_(pa.int16()))],
                     ["doc_id", "size", "a", "prefix", "regions"])
 
     return run
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     prefix_schema = T.StructType([
         id_field, T.StructField("size", T.IntegerType()), *longs("a"), T.StructField("prefix", T.ArrayType(T.LongType())),
-        T.StructField("regions", T.ArrayType(T.IntegerType()))])
+        T.StructField("regions", T.ArrayType(T.ShortType()))])
     made = rows.filter("doc_id is not null").mapInArrow(_prefixes(n, percent, counts), prefix_schema)
     heads = settle(made.join(classes.select("id", F.col("n_shingles").cast("int").alias("size"), "a").withColumnRenamed("id", "doc_id"), ["doc_id", "size", "a"], "left_semi")
                    .select(F.col("doc_id").alias("id"), "size", "prefix", "regions").dropDuplicates(["id", "size", "prefix"]), "jaccard-heads")
