@@ -32,7 +32,7 @@ from pitwise.llm.tokens import Words, chunks
 
 BITS = 18
 SIZE = 1 << BITS
-BOUND = 8192
+BOUND = 4096
 
 
 def features(texts: list[str | None]) -> Iterator[np.ndarray]:
