@@ -5,9 +5,9 @@ the tiktoken library does: a piece that is a token is that token, else its
 bytes are merged, the pair of least rank (the leftmost, if tied) first, until
 no pair is a token.
 
-- The merge is a fold over a piece's bytes.  Its state is the parts and the
-  ranks of neighbouring parts; a step merges one pair and looks up the two new
-  neighbours.  Bytes are held as a string of code points 0-255.
+- The merge is a fold over a piece's bytes.  Its state is the starts of the
+  parts, the ranks of neighbouring parts and the least of these; a step merges
+  one pair and looks up the two new neighbours.  Bytes are held as a string of code points 0-255.
 - Ranks are a literal map, dealt by hash to an array of 2**16 small maps, since
   Spark searches a map from its start.  It enters the plan as a scalar
   subquery over one row.
@@ -74,25 +74,29 @@ def _fold(data: Column, first: Column, left: Column, right: Column) -> Column:
     """The tokens of a piece's bytes.  The three maps are one rank table, each
     column used once, so that the optimizer can put it in place."""
     rank = lambda maps, key: F.coalesce(_find(maps, key), F.lit(NONE))
-    parts = F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.substr(data, i, F.lit(1)))
+    between = lambda at, i, j: F.substr(data, F.get(at, i), F.get(at, j) - F.get(at, i))
+    starts = F.sequence(F.lit(1), F.length(data) + 1)
     ranks = F.transform(F.sequence(F.lit(1), F.length(data) - 1), lambda i: rank(first, F.substr(data, i, F.lit(2))))
     no_ranks = F.array().cast("array<int>")
 
-    def merge(p: Column, r: Column, i: Column, merged: Column) -> Column:
-        n = F.size(p)
-        before = F.when(i > 1, F.array(rank(left, F.concat(F.get(p, i - 2), merged)))).otherwise(no_ranks)
-        after = F.when(i < n - 1, F.array(rank(right, F.concat(merged, F.get(p, i + 1))))).otherwise(no_ranks)
-        return F.struct(
-            F.concat(F.slice(p, F.lit(1), i - 1), F.array(merged), F.slice(p, i + 2, n)).alias("p"),
-            F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, n)).alias("r"))
+    def state(at: Column, r: Column) -> Column:
+        return F.struct(at.alias("at"), r.alias("r"), F.coalesce(F.array_min(r), F.lit(NONE)).alias("least"))
+
+    def merge(at: Column, r: Column, i: Column) -> Column:
+        """Merges the i-th pair: the start between its parts goes, and its neighbours are ranked anew."""
+        before = F.when(i > 1, F.array(rank(left, between(at, i - 2, i + 1)))).otherwise(no_ranks)
+        after = F.when(i < F.size(r), F.array(rank(right, between(at, i - 1, i + 2)))).otherwise(no_ranks)
+        new = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, F.size(r)))
+        return _let(new, lambda x: state(F.array_remove(at, F.get(at, i)), x))
 
     def step(acc: Column, _: Column) -> Column:
-        p, r = acc["p"], acc["r"]
-        place = F.array_position(r, F.array_min(r)).cast("int")
-        moved = _let(place, lambda i: _let(F.concat(F.get(p, i - 1), F.get(p, i)), lambda merged: merge(p, r, i, merged)))
-        return F.when(F.array_min(r) < NONE, moved).otherwise(acc)
+        moved = _let(F.array_position(acc["r"], acc["least"]).cast("int"), lambda i: merge(acc["at"], acc["r"], i))
+        return F.when(acc["least"] < NONE, moved).otherwise(acc)
+
+    def parts(acc: Column) -> Column:
+        return F.transform(F.slice(acc["at"], F.lit(1), F.size(acc["at"]) - 1), lambda x, j: F.substr(data, x, F.get(acc["at"], j + 1) - x))
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(data) - 1), F.struct(parts.alias("p"), ranks.alias("r")), step, lambda acc: acc["p"])
+    folded = F.aggregate(F.sequence(F.lit(1), F.length(data) - 1), _let(ranks, lambda r: state(starts, r)), step, parts)
     return F.when(F.length(data) > 1, folded).otherwise(F.array(data))
 
 
