@@ -32,7 +32,7 @@ import base64
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwise.llm.tables import settle
+from pitwise.llm.tables import let, settle
 
 BOUND = 1 << 20
 BUCKETS = 1 << 16
@@ -65,11 +65,6 @@ def _as_bytes(piece: Column) -> Column:
     return F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _fold(data: Column, first: Column, left: Column, right: Column) -> Column:
     """The tokens of a piece's bytes.  The three maps are one rank table, each
     column used once, so that the optimizer can put it in place."""
@@ -87,16 +82,16 @@ def _fold(data: Column, first: Column, left: Column, right: Column) -> Column:
         before = F.when(i > 1, F.array(rank(left, between(at, i - 2, i + 1)))).otherwise(no_ranks)
         after = F.when(i < F.size(r), F.array(rank(right, between(at, i - 1, i + 2)))).otherwise(no_ranks)
         new = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, F.size(r)))
-        return _let(new, lambda x: state(F.array_remove(at, F.get(at, i)), x))
+        return let(new, lambda x: state(F.array_remove(at, F.get(at, i)), x))
 
     def step(acc: Column, _: Column) -> Column:
-        moved = _let(F.array_position(acc["r"], acc["least"]).cast("int"), lambda i: merge(acc["at"], acc["r"], i))
+        moved = let(F.array_position(acc["r"], acc["least"]).cast("int"), lambda i: merge(acc["at"], acc["r"], i))
         return F.when(acc["least"] < NONE, moved).otherwise(acc)
 
     def parts(acc: Column) -> Column:
         return F.transform(F.slice(acc["at"], F.lit(1), F.size(acc["at"]) - 1), lambda x, j: F.substr(data, x, F.get(acc["at"], j + 1) - x))
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(data) - 1), _let(ranks, lambda r: state(starts, r)), step, parts)
+    folded = F.aggregate(F.sequence(F.lit(1), F.length(data) - 1), let(ranks, lambda r: state(starts, r)), step, parts)
     return F.when(F.length(data) > 1, folded).otherwise(F.array(data))
 
 
@@ -120,7 +115,7 @@ class Tokenizer:
     @staticmethod
     def _ids(piece: Column) -> Column:
         """A piece's ids, joined by commas; _r0 to _r4 must be in the row."""
-        return _let(_as_bytes(piece), lambda data: F.coalesce(
+        return let(_as_bytes(piece), lambda data: F.coalesce(
             _find(F.col("_r0"), data).cast("string"),
             F.array_join(F.transform(_fold(data, F.col("_r1"), F.col("_r2"), F.col("_r3")), lambda x: _find(F.col("_r4"), x).cast("string")), ",")))
 

@@ -22,6 +22,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitwise.llm.tables import let
+
 # The wording of public licence notices.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -65,24 +67,27 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent:
     least, most = min(lo for lo, _ in limits), max(hi for _, hi in limits)
 
     flat = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
-    rows = docs.select("doc_id", flat.alias("flat"))
-    paragraphs = F.transform(F.split("flat", r"\n *\n"), lambda x: F.translate(x, "\n", " "))
-    units = F.concat(F.split("flat", "\n"), paragraphs, F.array(F.translate("flat", "\n", " ")))
-    n_lines = F.size(F.filter(F.split("flat", "\n"), lambda x: F.trim(x) != ""))
-    rows = rows.select("doc_id", n_lines.cast("long").alias("n_lines"), units.alias("units"))
+    rows = docs.select("doc_id", flat.alias("flat")).select("doc_id", "flat", F.split("flat", "\n").alias("lines"), F.split("flat", r"\n *\n").alias("paragraphs"))
+    # one line is its own paragraph, and one paragraph the text: the later unit of two alike never is the first
+    none = F.array().cast("array<string>")
+    paragraphs = F.when(F.size("lines") > 1, F.transform("paragraphs", lambda x: F.translate(x, "\n", " "))).otherwise(none)
+    whole = F.when(F.size("paragraphs") > 1, F.array(F.translate("flat", "\n", " "))).otherwise(none)
+    n_lines = F.size(F.filter("lines", lambda x: F.trim(x) != ""))
+    rows = rows.select("doc_id", n_lines.cast("long").alias("n_lines"), F.concat("lines", paragraphs, whole).alias("units"))
 
     def words(unit: Column) -> Column:
-        return F.filter(F.split(unit, " +"), lambda w: w != "")
+        return F.filter(F.split(unit, " "), lambda w: w != "")
+
+    def pairs(w: Column) -> Column:
+        two = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(w) > least, F.array_distinct(two)).otherwise(none)
 
     def grams(unit: Column) -> Column:
-        w = words(unit)
-        # characters first, then words: a unit longer than any template is not split
-        pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.when(F.size(w) > least, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+        return let(words(unit), pairs)
 
     # 2-gram sets repeat words, so only the lower bound of a unit's word count is
     # strict; the upper bound holds for the set, which is checked per template
-    rows = rows.select("doc_id", "n_lines", F.transform("units", lambda u: F.when(F.length(u) >= least, grams(u)).otherwise(F.array().cast("array<string>"))).alias("sets"))
+    rows = rows.select("doc_id", "n_lines", F.transform("units", lambda u: F.when(F.length(u) >= least, grams(u)).otherwise(none)).alias("sets"))
 
     def matches(unit: Column, i: Column) -> Column:
         size, out = F.size(unit), []
