@@ -19,6 +19,7 @@ Only doc_id and text are read; labels, lang, source and doc_id are no inputs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -108,14 +109,15 @@ def fit(indices: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs
         counts[int(t > 0)][f] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     norms = [float(np.sqrt((ratio[f] ** 2).sum())) or 1.0 for f in indices]
-    values = [ratio[f] / z for f, z in zip(indices, norms, strict=True)]
-    q = np.array([float(v @ v) + 1.0 for v in values])
+    # scaled features are made anew at each step: the driver holds the feature numbers alone
+    scaled = lambda i: ratio[indices[i]] / norms[i]
+    q = np.array([float(v @ v) + 1.0 for v in map(scaled, range(len(y)))])
     upper = np.where(y > 0, cost * len(y) / (2 * pos), cost * len(y) / (2 * neg))
     weight, bias, alpha, rng = np.zeros(SIZE), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(y)):
-            f, v = indices[i], values[i]
+            f, v = indices[i], scaled(i)
             g = y[i] * (float(weight[f] @ v) + bias) - 1.0
             new = min(max(alpha[i] - g / q[i], 0.0), upper[i])
             if (step := new - alpha[i]):
@@ -125,7 +127,7 @@ def fit(indices: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs
                 most = max(most, abs(step))
         if most < 1e-3:
             break
-    margin = np.array([float(weight[f] @ v) + bias for f, v in zip(indices, values, strict=True)])
+    margin = np.array([float(weight[f] @ scaled(i)) + bias for i, f in enumerate(indices)])
     return Model(weight, ratio, bias, *_logistic(margin, y))
 
 
@@ -138,26 +140,23 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     """Fit on at most ``bound`` labelled documents outside the held-out fold."""
     usable = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    schema = T.StructType([T.StructField("quality", T.IntegerType()), T.StructField("f", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("quality", T.IntegerType()), T.StructField("f", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.sort(f).astype(np.int32) for f in features(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(lists, pa.list_(pa.int32()))], ["quality", "f"])
+            lists = [np.sort(f).astype(np.int32).tobytes() for f in features(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(lists, pa.binary())], ["quality", "f"])
 
     # at most bound rows of 12 bytes are broadcast, and as many feature lists come back
     known = chosen.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
     got = texts.select("quality", "text").mapInArrow(run, schema).toArrow()
-    lists = [x.values.to_numpy()[x.offsets[0].as_py():x.offsets[-1].as_py()] for x in got.column("f").chunks]
-    bounds = [np.diff(x.offsets.to_numpy()) for x in got.column("f").chunks]
-    indices: list[np.ndarray] = []
-    for flat, sizes in zip(lists, bounds, strict=True):
-        indices += np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-    # a fixed order of examples, whatever the order of the partitions
+    # views of the received buffers, in a fixed order whatever that of the partitions
     y = got.column("quality").to_numpy()
-    order = sorted(range(len(y)), key=lambda i: (y[i], indices[i].tobytes()))
-    return fit([indices[i] for i in order], y[order] if len(order) else np.empty(0))
+    indices = [np.frombuffer(f.as_buffer(), np.int32) for f in got.column("f")]
+    digests = [hashlib.blake2b(f, digest_size=16).digest() for f in indices]
+    order = sorted(range(len(y)), key=lambda i: (y[i], digests[i]))
+    return fit([indices[i] for i in order], y[order])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
