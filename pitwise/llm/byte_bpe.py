@@ -6,8 +6,8 @@ bytes are merged, the pair of least rank (the leftmost, if tied) first, until
 no pair is a token.
 
 - The merge is a fold over a piece's bytes.  Its state is the starts of the
-  parts, the ranks of neighbouring parts and the least of these; a step merges
-  one pair and looks up the two new neighbours.  Bytes are held as a string of code points 0-255.
+  parts and the ranks of neighbouring parts, with a rank of nothing at each
+  end; a step merges one pair and looks up the two new neighbours.  Bytes are held as a string of code points 0-255.
 - Ranks are a literal map, dealt by hash to an array of 2**16 small maps, since
   Spark searches a map from its start.  It enters the plan as a scalar
   subquery over one row.
@@ -36,6 +36,7 @@ from pitwise.llm.tables import let, settle
 
 BOUND = 1 << 20
 BUCKETS = 1 << 16
+WORD_BUCKETS = 1 << 18  # at BOUND words, four to a map
 NONE = 1 << 30
 
 
@@ -44,20 +45,20 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in f if line.strip())]
 
 
-def _bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def _bucket(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _buckets(entries: DataFrame) -> DataFrame:
-    """One row with an array of BUCKETS maps from entries (key, value)."""
+def _buckets(entries: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row with an array of so many maps from entries (key, value)."""
     spark = entries.sparkSession
-    lists = entries.groupBy(_bucket(F.col("key")).alias("b")).agg(F.collect_list(F.struct("key", "value")).alias("m"))
-    filled = spark.range(BUCKETS).join(lists, F.col("id") == F.col("b"), "left").select("id", "m")
+    lists = entries.groupBy(_bucket(F.col("key"), buckets).alias("b")).agg(F.collect_list(F.struct("key", "value")).alias("m"))
+    filled = spark.range(buckets).join(lists, F.col("id") == F.col("b"), "left").select("id", "m")
     return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda p: F.map_from_entries(p["m"])).alias("maps"))
 
 
-def _find(maps: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(maps, _bucket(key)), key)
+def _find(maps: Column, key: Column, buckets: int = BUCKETS) -> Column:
+    return F.try_element_at(F.get(maps, _bucket(key, buckets)), key)
 
 
 def _as_bytes(piece: Column) -> Column:
@@ -72,26 +73,26 @@ def _fold(data: Column, first: Column, left: Column, right: Column) -> Column:
     between = lambda at, i, j: F.substr(data, F.get(at, i), F.get(at, j) - F.get(at, i))
     starts = F.sequence(F.lit(1), F.length(data) + 1)
     ranks = F.transform(F.sequence(F.lit(1), F.length(data) - 1), lambda i: rank(first, F.substr(data, i, F.lit(2))))
-    no_ranks = F.array().cast("array<int>")
+    none = F.array(F.lit(NONE))
 
-    def state(at: Column, r: Column) -> Column:
-        return F.struct(at.alias("at"), r.alias("r"), F.coalesce(F.array_min(r), F.lit(NONE)).alias("least"))
-
-    def merge(at: Column, r: Column, i: Column) -> Column:
-        """Merges the i-th pair: the start between its parts goes, and its neighbours are ranked anew."""
-        before = F.when(i > 1, F.array(rank(left, between(at, i - 2, i + 1)))).otherwise(no_ranks)
-        after = F.when(i < F.size(r), F.array(rank(right, between(at, i - 1, i + 2)))).otherwise(no_ranks)
-        new = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, F.size(r)))
-        return let(new, lambda x: state(F.array_remove(at, F.get(at, i)), x))
+    def merge(acc: Column, p: Column) -> Column:
+        """Merges the pair whose rank is the p-th: the start between its parts
+        goes, and its neighbours are ranked anew; beyond the ends there is
+        nothing to take, and so no rank."""
+        at, r = acc["at"], acc["r"]
+        new = F.array(rank(left, between(at, p - 3, p)), rank(right, between(at, p - 2, p + 1)))
+        r = F.flatten(F.array(F.slice(r, F.lit(1), p - 2), new, F.slice(r, p + 2, F.size(r))))
+        return F.struct(F.array_remove(at, F.get(at, p - 1)).alias("at"), r.alias("r"))
 
     def step(acc: Column, _: Column) -> Column:
-        moved = let(F.array_position(acc["r"], acc["least"]).cast("int"), lambda i: merge(acc["at"], acc["r"], i))
-        return F.when(acc["least"] < NONE, moved).otherwise(acc)
+        least = F.array_position(acc["r"], F.array_min(acc["r"])).cast("int")
+        return let(least, lambda p: F.when(F.get(acc["r"], p - 1) < NONE, merge(acc, p)).otherwise(acc))
 
     def parts(acc: Column) -> Column:
         return F.transform(F.slice(acc["at"], F.lit(1), F.size(acc["at"]) - 1), lambda x, j: F.substr(data, x, F.get(acc["at"], j + 1) - x))
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(data) - 1), let(ranks, lambda r: state(starts, r)), step, parts)
+    start = F.struct(starts.alias("at"), F.concat(none, ranks, none).alias("r"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.length(data) - 1), start, step, parts)
     return F.when(F.length(data) > 1, folded).otherwise(F.array(data))
 
 
@@ -133,13 +134,13 @@ class Tokenizer:
             least = row["class"]
         chosen = often.filter(F.floor(16 * F.log2("n")) >= least) if least is not None else often.limit(0)
         encoded = chosen.repartition("key").select("key", *self._tables()).select("key", self._ids(F.col("key")).alias("value"))
-        return settle(_buckets(encoded), "bpe-table")
+        return settle(_buckets(encoded, WORD_BUCKETS), "bpe-table")
 
     def encode(self, docs: DataFrame, bound: int = BOUND) -> DataFrame:
         """Per row of docs: doc_id, ids (decimal, joined by commas), n_tokens."""
         words = self.words(docs, bound)
         rows = docs.select("doc_id", self.pieces(F.col("text").cast("string")).alias("pieces"), words.scalar().alias("_words"), *self._tables())
-        ids = F.transform("pieces", lambda p: F.coalesce(_find(F.col("_words"), p), self._ids(p)))
+        ids = F.transform("pieces", lambda p: F.coalesce(_find(F.col("_words"), p, WORD_BUCKETS), self._ids(p)))
         rows = rows.select("doc_id", F.array_join(ids, ",").alias("ids"))
         n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.replace("ids", F.lit(","), F.lit(""))) + 1)
         return rows.select("doc_id", "ids", n.cast("long").alias("n_tokens"))
