@@ -5,12 +5,13 @@ end, with A-Z lower-cased; its path is the rest up to ``?`` or ``#``.  A rule
 (host, path) fits its host and all subdomains if the path starts with the
 rule's; the longest rule that fits wins (of two equally long, an allow rule).
 
-Urls that no rule fits get the decision of their aliases: canonical links and
-meta refreshes are edges between urls (without scheme and fragment), and
-connected components over them are the sets of aliases.  A component with a
-url that a rule allows is allowed (explicit allow takes precedence), else one
-with a blocked url is blocked, else the default holds.  Urls that are only
-link targets take part with their own rules.
+Urls that no rule fits get the decision of their aliases: all canonical links
+(canonical may be one of several rel values) and meta refreshes of a page are
+edges between urls (without scheme and fragment), with character references
+such as &amp; decoded, and connected components over them are the sets of
+aliases.  A component with a url that a rule allows is allowed (explicit allow
+takes precedence), else one with a blocked url is blocked, else the default
+holds.  Urls that are only link targets take part with their own rules.
 
 All steps are DataFrame operations; edges are extracted where the html is
 read, so no html is shuffled.  A null url, or one without ``://``, has an empty
@@ -21,18 +22,21 @@ read; no rows give no rows.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitwise.llm.components import connected_components
-from pitwise.llm.tables import settle
+from pitwise.llm.tables import let, settle
 
 Rules = list[tuple[str, str]]  # (verdict, host + path), as ("block", "example.org/es/")
 
-CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
+TAG = r"""(?is)<(?:link|meta)(?=[\s/])(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+>"""
+VALUE = r"""("[^"]*+"|'[^']*+'|[^\s>]*+)"""
+REFRESH = r"(?is)^\s*(?:[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?|[;,\s]*url\s*=\s*)(.*)$"
+PIECE = r"(?is)&(?:#x[0-9a-f]{1,12}|#[0-9]{1,12}|[a-z][a-z0-9]*+);|[^&]++|&"
+NAMED = "\x01".join(f"{k[:-1]}\x02{v}" for k, v in sorted(html5.items()) if k.endswith(";"))
 
 
 def _after(url: Column) -> Column:
@@ -85,13 +89,47 @@ def _verdict(rule: Column, rules: Rules) -> Column:
     return out
 
 
+def _unquoted(value: Column) -> Column:
+    """What stands up to the closing quote of a value that begins with one."""
+    return F.when(value.startswith('"'), F.regexp_extract(value, '^"([^"]*)', 1)).when(
+        value.startswith("'"), F.regexp_extract(value, "^'([^']*)", 1)).otherwise(value)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of this name, else ''; names within
+    other names or values do not count."""
+    others = rf"(?:[\s/]*+(?!{name}[\s=/>])[^\s=>/]++(?:\s*+=\s*+(?:{VALUE.replace('(', '(?:', 1)}))?+)*+"
+    return _unquoted(F.regexp_extract(tag, rf"(?is)^<(?:link|meta){others}[\s/]*+{name}\s*+=\s*+{VALUE}", 1))
+
+
+def _decoded(value: Column) -> Column:
+    """value with its character references (named, or by number) decoded once."""
+    named = F.str_to_map(F.lit(NAMED), F.lit("\x01"), F.lit("\x02"))
+
+    def char(piece: Column) -> Column:
+        body = F.regexp_extract(piece, "^&(.*);$", 1)
+        code = F.when(body.rlike("^#[xX]"), F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2))).cast("long")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        by_number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(~piece.rlike("^&.+;$"), piece).when(body.startswith("#"), by_number).otherwise(F.coalesce(F.try_element_at(named, body), piece))
+
+    return F.when(F.instr(value, "&") > 0, F.array_join(F.transform(F.regexp_extract_all(value, F.lit(PIECE), 0), char), "")).otherwise(value)
+
+
+def _link(tag: Column) -> Column:
+    """The url of a canonical link or a meta refresh as written (without blanks around it), '' or null of other tags."""
+    canonical = _attribute(tag, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")
+    refresh = _attribute(tag, "http-equiv").rlike(r"(?i)^\s*refresh\s*$")
+    target = let(F.regexp_extract(_decoded(_attribute(tag, "content")), REFRESH, 1), _unquoted)
+    url = F.when(tag.rlike("(?i)^<link"), F.when(canonical, _decoded(_attribute(tag, "href")))).otherwise(F.when(refresh, target))
+    return F.replace(F.trim(F.translate(url, "\t\n\r\f", "")), F.lit(" "), F.lit("%20"))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(u, v): nodes joined by a page's canonical link or meta refresh."""
+    """(u, v): nodes joined by a page's canonical links and meta refreshes, all of them."""
     url = F.col("url").cast("string")
-    links = F.array(
-        F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1))
-    found = pages.select(url.alias("url"), F.explode(links).alias("link")).filter("link <> ''")
+    tags = pages.select(url.alias("url"), F.explode(F.regexp_extract_all("html", F.lit(TAG), 0)).alias("tag"))
+    found = tags.select("url", _link(F.col("tag")).alias("link")).filter("link <> ''")
     return found.select(_node(F.col("url")).alias("u"), _node(_absolute(F.col("link"), F.col("url"))).alias("v")).filter("u <> v").distinct()
 
 

@@ -219,6 +219,36 @@ def test_url_rules_and_aliases(spark):
     assert url_filters.judge(df.limit(0), rules).count() == 0
 
 
+def test_url_aliases_of_all_links_as_browsers_read_them(spark):
+    rules = [("allow", "good.com/"), ("block", "bad.com/")]
+    pages = [
+        # several canonical links and refreshes: each is an edge
+        (1, "http://a.net/1", '<link rel="canonical" href="http://a.net/one"><LINK REL=canonical HREF=http://bad.com/1>'),
+        (2, "http://a.net/2", """<meta http-equiv=refresh content="5; url=/two"><meta http-equiv="Refresh" content="0;URL='http://bad.com/;s=1'">"""),
+        (3, "http://a.net/two", ""),
+        # character references
+        (4, "http://b.com/de/x?a=1&b=2", '<link rel="canonical" href="http://bad.com/4">'),
+        (5, "http://b.com/5", '<link rel="canonical" href="http://b.com/de/x?a=1&amp;b=2">'),
+        (6, "http://b.com/6", "<meta http-equiv=refresh content='0; url=http:&#x2F;&#47;b.com&sol;de/x?a=1&#38;b=2'>"),
+        (7, "http://b.com/7", '<link rel="canonical" href="http://b.com/de/x?a=1&amp;amp;b=2">'),  # decoded once: another url
+        (8, "http://b.com/8", '<link rel="canonical" href="http://b.com/ä?a=1&b=2&bogus;&#0;">'),
+        (9, "http://b.com/ä?a=1&b=2&bogus;\ufffd", '<link rel="canonical" href="http://bad.com/9">'),
+        # canonical anywhere among the values of rel, and not as a part of one
+        (10, "http://c.net/10", '<link rel="alternate canonical" href="http://bad.com/10">'),
+        (11, "http://c.net/11", "<link href='http://bad.com/11' rel='Canonical\nnofollow'/>"),
+        (12, "http://c.net/12", '<link rel="canonical-ish" href="http://bad.com/12"><link rel="no" title="rel=canonical" href="http://bad.com/12">'),
+        # other attributes' names and values are no href
+        (13, "http://d.net/13", '<link data-href="http://good.com/" rel="canonical" title="a > b href=http://good.com/" href=" http://bad.com/13 ">'),
+        (14, "http://d.net/14", '<link rel="canonical"href="http://bad.com/14"><linked rel="canonical" href="http://good.com/">'),
+        (15, "http://d.net/15", '<link rel="canonical" data-href="http://bad.com/15"><meta http-equiv="refresh" content="300">'),
+        (16, "http://d.net/16", '<meta name="refresh" content="0; url=http://bad.com/"><link rel="canonical" href>' + "<link " + "a " * 20000 + ">"),
+        (17, "http://d.net/17", "<link title=don't rel=canonical href=http://good.com/17>it's")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.alias) for r in url_filters.judge(df, rules, "default").collect()}
+    blocked, free = {1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 13, 14}, {7, 12, 15, 16}
+    assert got == {i: ("block", True) for i in blocked} | {i: ("default", False) for i in free} | {17: ("allow", True)}
+
+
 # ---------------------------------------------------------------- archives
 
 def test_warc_round_trip_revisits_and_rolled_files(spark, tmp_path):
