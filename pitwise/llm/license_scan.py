@@ -8,11 +8,21 @@ and the whole text.  A unit matches a template if
 |B| * p / (200 - p) <= |A| <= |B| * (200 - p) / p, so a unit whose size fits no
 template is never compared, and each unit only meets templates of its size.
 
-The best match of a document is that of the highest coefficient, then the
-first name, then the first unit.  All steps are DataFrame functions on a row;
-nothing is shuffled.  Null and empty texts have no units and no licence; units
-of one word have no bigrams; repeated rows are scanned one by one.  Only doc_id
-and text are read.
+Notices that share their lines or paragraphs with other words: of a licence
+that no unit matches, all windows of the text are compared, that is all runs
+of bigrams, across lines too, that begin with one of the template's and are up
+to (200 - p) / p times as long as the template.  (A run that begins otherwise
+matches less well than without its beginning.)
+
+Any match shares |B| * p / (200 - p) bigrams or more with its template, so a
+document is looked at further only for templates of which it holds as many.
+
+All licences that match are returned, each with its best match: units come
+before windows, then the highest coefficient, then the first unit.  The best
+match of a document is the first of these, then the first name.  All steps are
+DataFrame functions on a row; nothing is shuffled.  Null and empty texts have
+no units and no licence; units of one word have no bigrams; repeated rows are
+scanned one by one.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -47,9 +57,13 @@ TEMPLATES = [
 ]
 
 
+def _words(text: str) -> list[str]:
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
+
+
 def bigrams(text: str) -> list[str]:
     """Sorted distinct word bigrams of a normalised text."""
-    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    words = _words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
@@ -58,46 +72,119 @@ def bounds(size: int, percent: int) -> tuple[int, int]:
     return -(-size * percent // (200 - percent)), size * (200 - percent) // percent
 
 
+def _template(name: str, text: str, percent: int) -> Column:
+    """A template, the bounds of its matches' sizes, and the most bigrams of a window (repeated ones count)."""
+    grams = bigrams(text)
+    least, most = bounds(len(grams), percent)
+    return F.struct(
+        F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(least).alias("least"), F.lit(most).alias("most"),
+        F.lit(bounds(len(_words(text)) - 1, percent)[1]).alias("reach"))
+
+
+def _matches(both: Column, size: Column, template: Column, percent: int) -> Column:
+    return F.lit(200) * both >= F.lit(percent) * (size + F.size(template["grams"]))
+
+
+def _dice(both: Column, size: Column, template: Column) -> Column:
+    return 2 * both / (size + F.size(template["grams"]))
+
+
+def _match(window: int, dice: Column, template: Column, unit: Column) -> Column:
+    return F.struct(F.lit(window).alias("window"), (-dice).alias("minus"), template["name"].alias("name"), unit.cast("long").alias("unit"))
+
+
+def _of_unit(grams: Column, unit: Column, template: Column, percent: int) -> Column:
+    """The match of a unit's set of bigrams, else null."""
+    size = F.size(grams)
+    found = let(F.size(F.array_intersect(grams, template["grams"])), lambda both: F.when(
+        _matches(both, size, template, percent), _match(0, _dice(both, size, template), template, unit)))
+    return F.when(size.between(template["least"], template["most"]), found)
+
+
+def _of_windows(cells: Column, sizes: Column, template: Column, percent: int) -> Column:
+    """The best match of the windows, else null.  cells: per bigram of the text
+    (gram, prev: where it last occurred, or -1); sizes: the lines' words."""
+
+    def from_start(marks: Column, i: Column) -> Column:
+        """(minus, i) of the best window that begins with bigram i."""
+
+        def longer(acc: Column, mark: Column) -> Column:
+            new = mark["prev"] < i
+            size, both = acc["size"] + new.cast("int"), acc["both"] + (new & mark["hit"]).cast("int")
+            best = F.when(_matches(both, size, template, percent), F.greatest(acc["best"], _dice(both, size, template))).otherwise(acc["best"])
+            return F.struct(size.alias("size"), both.alias("both"), best.alias("best"))
+
+        zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("both"), F.lit(0.0).alias("best"))
+        return F.struct((-F.aggregate(F.slice(marks, i + 1, template["reach"]), zero, longer, lambda acc: acc["best"])).alias("minus"), i.alias("i"))
+
+    def best_of(marks: Column, hits: Column) -> Column:
+        near = F.filter(hits, lambda i, k: F.get(hits, k + template["least"] - 1) - i < template["reach"])
+        return F.array_min(F.filter(F.transform(near, lambda i: from_start(marks, i)), lambda x: x["minus"] < 0))
+
+    def line_of(i: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("line"))
+        return F.aggregate(sizes, zero, lambda acc, n: F.struct(
+            (acc["end"] + n).alias("end"), (acc["line"] + (acc["end"] + n <= i).cast("int")).alias("line")), lambda acc: acc["line"])
+
+    marks = F.transform(cells, lambda c: F.struct(c["prev"].alias("prev"), F.array_contains(template["grams"], c["gram"]).alias("hit")))
+    best = let(marks, lambda m: let(
+        F.filter(F.transform(m, lambda x, i: F.when(x["hit"], i)), lambda i: i.isNotNull()), lambda hits: best_of(m, hits)))
+    return let(best, lambda b: F.when(b.isNotNull(), _match(1, -b["minus"], template, line_of(b["i"]))))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_lines (lines with a word), license (null if
     none), dice (null if none), unit (the number of the unit: lines from 0,
-    then paragraphs, then the text; -1 if none)."""
-    known = [(name, bigrams(text)) for name, text in templates]
-    limits = [bounds(len(grams), percent) for _, grams in known]
-    least, most = min(lo for lo, _ in limits), max(hi for _, hi in limits)
-
-    flat = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
-    rows = docs.select("doc_id", flat.alias("flat")).select("doc_id", "flat", F.split("flat", "\n").alias("lines"), F.split("flat", r"\n *\n").alias("paragraphs"))
-    # one line is its own paragraph, and one paragraph the text: the later unit of two alike never is the first
+    then paragraphs, then the text; the line where a window begins; -1 if
+    none) of the best match, and licenses: array of (name, dice, unit, window)
+    of all licences that match, the best first."""
+    known = F.array(*(_template(name, text, percent) for name, text in templates))
+    all_grams = F.array(*map(F.lit, sorted({g for _, text in templates for g in bigrams(text)})))
+    least = min(bounds(len(bigrams(text)), percent)[0] for _, text in templates)
     none = F.array().cast("array<string>")
-    paragraphs = F.when(F.size("lines") > 1, F.transform("paragraphs", lambda x: F.translate(x, "\n", " "))).otherwise(none)
-    whole = F.when(F.size("paragraphs") > 1, F.array(F.translate("flat", "\n", " "))).otherwise(none)
-    n_lines = F.size(F.filter("lines", lambda x: F.trim(x) != ""))
-    rows = rows.select("doc_id", n_lines.cast("long").alias("n_lines"), F.concat("lines", paragraphs, whole).alias("units"))
 
     def words(unit: Column) -> Column:
         return F.filter(F.split(unit, " "), lambda w: w != "")
 
     def pairs(w: Column) -> Column:
         two = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.when(F.size(w) > least, F.array_distinct(two)).otherwise(none)
+        return F.when(F.size(w) > least, two).otherwise(none)
 
     def grams(unit: Column) -> Column:
-        return let(words(unit), pairs)
+        return F.array_distinct(let(words(unit), pairs))
 
-    # 2-gram sets repeat words, so only the lower bound of a unit's word count is
+    flat = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+    rows = docs.select("doc_id", flat.alias("flat")).select("doc_id", "flat", F.split("flat", "\n").alias("lines"), let(words(F.translate("flat", "\n", " ")), pairs).alias("places"))
+    # a column that lambdas use, or that is used more than once, gets a projection of its own, so that it is evaluated once
+    rows = rows.select("doc_id", "flat", "lines", "places", F.array_intersect("places", all_grams).alias("common"))
+    near = F.when(F.size("common") >= least, F.filter(known, lambda t: F.size(F.array_intersect("common", t["grams"])) >= t["least"]))
+    n_lines = F.size(F.filter("lines", lambda x: F.trim(x) != ""))
+    rows = rows.select("doc_id", "flat", "lines", "places", n_lines.cast("long").alias("n_lines"), near.alias("near"))
+
+    # one line is its own paragraph, and one paragraph the text: the later unit of two alike never is the first
+    paragraphs = let(F.split("flat", r"\n *\n"), lambda p: F.concat(
+        F.when(F.size("lines") > 1, F.transform(p, lambda x: F.translate(x, "\n", " "))).otherwise(none),
+        F.when(F.size(p) > 1, F.array(F.translate("flat", "\n", " "))).otherwise(none)))
+    # sets repeat no words, so only the lower bound of a unit's word count is
     # strict; the upper bound holds for the set, which is checked per template
-    rows = rows.select("doc_id", "n_lines", F.transform("units", lambda u: F.when(F.length(u) >= least, grams(u)).otherwise(none)).alias("sets"))
-
-    def matches(unit: Column, i: Column) -> Column:
-        size, out = F.size(unit), []
-        for (name, template), (lo, hi) in zip(known, limits, strict=True):
-            both = 2 * F.size(F.array_intersect(unit, F.array(*map(F.lit, template))))
-            dice = both / (size + len(template))
-            out.append(F.when((size >= lo) & (size <= hi) & (F.lit(100) * both >= F.lit(percent) * (size + len(template))),
-                              F.struct((-dice).alias("minus"), F.lit(name).alias("name"), i.cast("long").alias("unit"))))
-        return F.when((size >= least) & (size <= most), F.array_min(F.array(*out)))
-
-    best = F.array_min(F.transform("sets", matches))
-    return rows.select("doc_id", "n_lines", best.alias("b")).select(
-        "doc_id", "n_lines", F.col("b.name").alias("license"), F.round(-F.col("b.minus"), 6).alias("dice"), F.coalesce("b.unit", F.lit(-1)).cast("long").alias("unit"))
+    sets = F.transform(F.concat("lines", paragraphs), lambda u: F.when(F.length(u) >= least, grams(u)).otherwise(none))
+    of_units = F.filter(F.flatten(F.transform(sets, lambda s, i: F.transform("near", lambda t: _of_unit(s, i, t, percent)))), lambda m: m.isNotNull())
+    rows = rows.select("doc_id", "n_lines", "lines", "places", "near", F.when(F.size("near") > 0, of_units).alias("found"))
+    rest = F.when(F.size("near") > 0, F.filter("near", lambda t: ~F.exists("found", lambda m: m["name"] == t["name"])))
+    rows = rows.select("doc_id", "n_lines", "lines", "places", "found", rest.alias("rest"))
+
+    placed = F.sort_array(F.transform("places", lambda g, i: F.struct(g.alias("gram"), i.alias("i"))))
+    cells = let(placed, lambda p: F.sort_array(F.transform(p, lambda x, k: F.struct(
+        x["i"].alias("i"), F.when(F.get(p, k - 1)["gram"] == x["gram"], F.get(p, k - 1)["i"]).otherwise(-1).alias("prev"), x["gram"].alias("gram")))))
+    sizes = F.transform("lines", lambda x: F.size(words(x)))
+    of_windows = let(cells, lambda c: let(sizes, lambda n: F.filter(
+        F.transform("rest", lambda t: _of_windows(c, n, t, percent)), lambda m: m.isNotNull())))
+    found = F.when(F.size("rest") > 0, F.concat("found", of_windows)).otherwise(F.col("found"))
+    best = lambda f: F.transform(F.array_distinct(F.transform(f, lambda m: m["name"])), lambda name: F.array_min(F.filter(f, lambda m: m["name"] == name)))
+    rows = rows.select("doc_id", "n_lines", F.when(F.size("found") + F.size("rest") > 0, F.sort_array(let(found, best))).alias("all"))
+    rows = rows.select("doc_id", "n_lines", "all", F.get("all", F.lit(0)).alias("b"))
+    licenses = F.transform("all", lambda m: F.struct(
+        m["name"].alias("name"), F.round(-m["minus"], 6).alias("dice"), m["unit"].alias("unit"), (m["window"] == 1).alias("window")))
+    return rows.select(
+        "doc_id", "n_lines", F.col("b.name").alias("license"), F.round(-F.col("b.minus"), 6).alias("dice"), F.coalesce("b.unit", F.lit(-1)).cast("long").alias("unit"),
+        F.coalesce(licenses, F.array().cast("array<struct<name:string,dice:double,unit:bigint,window:boolean>>")).alias("licenses"))

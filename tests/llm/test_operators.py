@@ -394,6 +394,57 @@ def test_license_scan_matches_brute_force(docs):
     assert {w[1] for w in want} >= {"Apache-2.0", "MIT", "CC-BY-4.0", "Proprietary", None}
 
 
+def test_license_scan_returns_all_licences_and_those_within_other_words(docs):
+    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 100)
+    rng = random.Random(4)
+    rows = [
+        (1, "Released under the MIT License.\nsome words\nLicensed under CC BY-NC 4.0."),
+        (2, "Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0."),
+        (3, f"{prose(rng, 40)}\n\n{prose(rng, 40)} released under the mit license {prose(rng, 40)}\nCopyright. All rights reserved."),
+        (4, f"{prose(rng, 30)} {mit.replace(' ', chr(10), 9)} {prose(rng, 300)}"),
+        (5, f"{prose(rng, 30)}\nwords Licensed\nunder the Apache License,\nVersion 2.0 {prose(rng, 30)}"),
+        (6, "the the released under license mit the words all words rights words reserved " * 20),
+        (7, f"{prose(rng, 30)} Licensed under the Apache Version 2.0. {prose(rng, 30)}")]
+    got = {r.doc_id: ((r.license, r.dice, r.unit), [tuple(x) for x in r.licenses]) for r in license_scan.scan(docs(rows, CLASHING)).collect()}
+    want = {
+        1: [("CC-BY-NC-4.0", 1.0, 2, False), ("MIT", 1.0, 0, False)],
+        2: [("Apache-2.0", 1.0, 0, True)],
+        3: [("Proprietary", 1.0, 3, False), ("MIT", 1.0, 2, True)],
+        4: [("MIT", 1.0, 0, True)],
+        5: [("Apache-2.0", 1.0, 1, True)],
+        6: [], 7: []}
+    assert {i: x for i, (_, x) in got.items()} == want
+    assert {i: b for i, (b, _) in got.items()} == {i: x[0][:3] if x else (None, None, -1) for i, x in want.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_license_windows_match_brute_force(docs, seed):
+    rng = random.Random(seed)
+    templates = [("A", "a b c d"), ("B", "b c a b c e f"), ("B", "f e d")]
+
+    def piece():
+        words = [x for x in rng.choice(templates)[1].split() if rng.random() < 0.95]
+        return " ".join(words + words[-2:] * rng.choice((0, 0, 1)) if rng.random() < 0.6 else [prose(rng, rng.randint(1, 9), list("abcdefxyz"))])
+
+    rows = [(i, " ".join(filter(None, (piece() for _ in range(rng.choice((1, 3, 6))))))) for i in range(80)]
+    want = {}
+    for doc, text in rows:
+        w, best = text.split(" "), {}
+        p = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        for name, t in templates:
+            b = license_scan.bigrams(t)
+            reach = license_scan.bounds(len(t.split()) - 1, 80)[1]
+            whole = {(0, 0, len(p))}
+            runs = {(1, i, j) for i in range(len(p)) for j in range(i + 1, min(i + reach, len(p)) + 1)}
+            for window, i, j in whole | runs:
+                s = set(p[i:j])
+                if 200 * len(s & set(b)) >= 80 * (len(s) + len(b)):
+                    best[name] = min(best.get(name, (2,)), (window, -round(2 * len(s & set(b)) / (len(s) + len(b)), 6)))
+        want[doc] = {n: (-d, bool(k)) for n, (k, d) in best.items()}
+    got = {r.doc_id: {x.name: (x.dice, x.window) for x in r.licenses} for r in license_scan.scan(docs(rows), templates).collect()}
+    assert got == want and any(k for x in want.values() for _, k in x.values()) and any(len(x) > 1 for x in want.values())
+
+
 @given(st.integers(1, 300), st.integers(1, 100))
 def test_license_size_bounds_lose_no_match(size, percent):
     lo, hi = license_scan.bounds(size, percent)
