@@ -26,8 +26,9 @@ words the whole sequence).  Two documents link when
    components is lost; links within one would change nothing.
 
 Rows: null and empty texts, or texts without words, have an empty set and link
-with nothing; rows with one doc_id are one document of the graph; rows without
-doc_id keep their set size and a null component.  Only doc_id and text are read.
+with nothing; rows with one doc_id are one document of the graph, which links
+by any of its sets (steps 3, 4 and 6 go by set, step 5 by all texts of the two
+ids); rows without doc_id keep their set size and a null component.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -197,13 +198,14 @@ def _least_common(x: Column, y: Column, percent: int) -> Column:
 
 
 def _filtered(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """One row (x, y) per pair that passes the positional and suffix filters.
-    pairs: x, y, sizes xs, ys and positions xp, yp of a common prefix n-gram."""
-    first = pairs.groupBy("x", "y").agg(F.min(F.struct("xp", "yp", "xs", "ys")).alias("f"), F.count("*").alias("met")).select("x", "y", "f.*", "met")
+    """One row (x, y) per pair of ids of which two sets pass the positional and
+    suffix filters.  pairs: x, y, the sets' digests xa, ya, sizes xs, ys and
+    positions xp, yp of a common prefix n-gram."""
+    first = pairs.groupBy("x", "y", "xa", "ya").agg(F.min(F.struct("xp", "yp", "xs", "ys")).alias("f")).select("x", "y", "xa", "ya", "f.*")
     need = _least_common(F.col("xs"), F.col("ys"), percent)
     first = first.filter(1 + F.least(F.col("xs") - F.col("xp") - 1, F.col("ys") - F.col("yp") - 1) >= need)
-    both = first.join(heads.select(F.col("id").alias("x"), F.col("regions").alias("xr")), "x").join(
-        heads.select(F.col("id").alias("y"), F.col("regions").alias("yr")), "y")
+    both = first.join(heads.select(F.col("id").alias("x"), F.col("a").alias("xa"), F.col("regions").alias("xr")), ["x", "xa"]).join(
+        heads.select(F.col("id").alias("y"), F.col("a").alias("ya"), F.col("regions").alias("yr")), ["y", "ya"])
     apart = F.aggregate(F.zip_with("xr", "yr", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
     return both.filter((F.col("xs") + F.col("ys") - apart) / 2 >= need).select("x", "y").distinct()
 
@@ -242,28 +244,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         T.StructField("regions", T.ArrayType(T.ShortType()))])
     made = rows.filter("doc_id is not null").mapInArrow(_prefixes(n, percent, counts), prefix_schema)
     heads = settle(made.join(classes.select("id", F.col("n_shingles").cast("int").alias("size"), "a").withColumnRenamed("id", "doc_id"), ["doc_id", "size", "a"], "left_semi")
-                   .select(F.col("doc_id").alias("id"), "size", "prefix", "regions").dropDuplicates(["id", "size", "prefix"]), "jaccard-heads")
-    entries = heads.select("id", "size", F.posexplode("prefix").alias("pos", "gram"))
+                   .select(F.col("doc_id").alias("id"), "a", "size", "prefix", "regions").dropDuplicates(["id", "a", "size"]), "jaccard-heads")
+    # an id has a head, and so entries, for each of its sets
+    entries = heads.select("id", "a", "size", F.posexplode("prefix").alias("pos", "gram"))
     # counts alone are shuffled for every entry; leaders are found among those that meet another
     often = spread(entries.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
     met = settle(entries.join(often, "gram", "left_semi"), "jaccard-met")
-    lead = spread(met.groupBy("gram").agg(F.min(F.struct("id", "size", "pos")).alias("lead")))
+    lead = spread(met.groupBy("gram").agg(F.min(F.struct("id", "a", "size", "pos")).alias("lead")))
     long_enough = lambda p, q: (F.lit(100) * F.least(p, q) >= F.lit(percent) * F.greatest(p, q))
 
     star = met.join(lead, "gram").filter("lead.id <> id").select(
-        F.col("lead.id").alias("x"), F.col("id").alias("y"), F.col("lead.size").alias("xs"), F.col("size").alias("ys"),
+        F.col("lead.id").alias("x"), F.col("id").alias("y"), F.col("lead.a").alias("xa"), F.col("a").alias("ya"), F.col("lead.size").alias("xs"), F.col("size").alias("ys"),
         F.col("lead.pos").alias("xp"), F.col("pos").alias("yp")).filter(long_enough(F.col("xs"), F.col("ys")))
     tried, links = _links(rows, _filtered(star, heads, percent), n, percent, "jaccard-star")
     parts = settle(connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "jaccard-parts")
 
     part = F.coalesce("component", "id")
-    placed = met.select("gram", "id", "size", "pos").join(parts, met["id"] == parts["node"], "left").select("gram", "id", "size", "pos", part.alias("part"))
+    placed = met.select("gram", "id", "a", "size", "pos").join(parts, met["id"] == parts["node"], "left").select("gram", "id", "a", "size", "pos", part.alias("part"))
     open_ = spread(placed.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("gram"))
     rest = settle(placed.join(open_, "gram", "left_semi"), "jaccard-open")
     l, r = rest.alias("l"), rest.alias("r")
     across = l.join(r, F.expr(
         f"l.gram = r.gram and l.part <> r.part and l.id < r.id and 100 * least(l.size, r.size) >= {percent} * greatest(l.size, r.size)")).select(
-        F.col("l.id").alias("x"), F.col("r.id").alias("y"), F.col("l.size").alias("xs"), F.col("r.size").alias("ys"),
+        F.col("l.id").alias("x"), F.col("r.id").alias("y"), F.col("l.a").alias("xa"), F.col("r.a").alias("ya"), F.col("l.size").alias("xs"), F.col("r.size").alias("ys"),
         F.col("l.pos").alias("xp"), F.col("r.pos").alias("yp"))
     left_over = _filtered(across, heads, percent).join(tried, ["x", "y"], "left_anti")
     _, more = _links(rows, left_over, n, percent, "jaccard-rest")

@@ -159,6 +159,20 @@ def test_near_duplicates_of_repeated_rows_and_null_ids(docs):
     assert kept == sorted([(3,), (3,), (3,), (None,), (None,)], key=repr)
 
 
+def test_near_duplicates_of_ids_with_several_texts(docs):
+    """Id 5's first text shares only words with id 9 that rule out a link between these two; its second text links."""
+    words = lambda c, lo, hi: [f"{c}{i}" for i in range(lo, hi)]
+    a, b = words("a", 0, 108), words("b", 0, 95)
+    rows = [(5, [*a, "c0", "c1"]), (5, [*b, *words("e", 0, 5)]), (9, [*b, *words("d", 0, 3), "c0", "c1"])]
+    # makes the words a and b frequent
+    rows += [(100 + 10 * k + j, [*part, *words(f"j{k}_{j}_", 0, 100)]) for k in range(6) for j, part in enumerate((a[:54], a[54:], b[:47], b[47:]))]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    got = jaccard_join.near_duplicates(docs(rows), 1, 90)
+    want = brute.near_duplicates(rows, 1, 90)
+    assert (9, 100, 5) in want
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+
+
 # ---------------------------------------------------------------- personal data
 
 PII_TEXT = st.lists(st.sampled_from([
