@@ -106,6 +106,41 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least_.b, doc_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON least_.a = doc_id
 """
 
+_PHRASES = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda s: array_to_string(w[s : s + k - 1], ' '))) AS phrase
+  FROM p, range(1, 5) t(k) WHERE len(w) >= k),
+every AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+f AS MATERIALIZED (SELECT * FROM every WHERE f >= 30),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM every WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS j FROM c),
+score AS (
+  SELECT cut.lang, cut.phrase, cut.a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * cut.a) // (x.f::HUGEINT + y.f) AS score
+  FROM cut
+  JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1 : j], ' ')
+  JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[j + 1 : cut.k], ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM score) WHERE o = 1),
+inside AS (
+  SELECT lang, array_to_string(w[s : s + m - 1], ' ') AS phrase, max(a) AS longest
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS s FROM c, range(2, 4) t(m) WHERE m < k) GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase)
+  WHERE longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+_MINHASH = (
+    "SELECT *, doc_id = component_id AS kept FROM ("
+    + _JACCARD.replace("w[i : i + 2]", "w[i : i + 3]").replace("greatest(1, len(w) - 2)", "greatest(1, len(w) - 3)").replace(">= 90 *", ">= 80 *")
+    + ")")
+
 _REPEATS = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (
@@ -148,5 +183,5 @@ FROM d LEFT JOIN best ON best.r = d.r AND o = 1
 
 ORACLES = {
     "op3_url_filters": _URL, "op5_decontamination": _DECONTAMINATION, "op6_warc": _WARC, "op7_jaccard_join": _JACCARD,
-    "op9_substring_dedup": _REPEATS, "op10_license_scan": _license(),
+    "op9_substring_dedup": _REPEATS, "op10_license_scan": _license(), "op11_minhash_near_dedup": _MINHASH, "op12_phrase_collocation": _PHRASES,
 }

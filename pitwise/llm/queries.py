@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwise.llm import (
-    decontamination, jaccard_join, license_scan, pii, quality_classifier, quality_rules, substring_dedup, url_filters, warc,
+    decontamination, jaccard_join, license_scan, minhash, phrases, pii, quality_classifier, quality_rules, substring_dedup, url_filters, warc, whitening,
 )
 from pitwise.llm.byte_bpe import Tokenizer
 from pitwise.llm.oracles import ORACLES  # noqa: F401
@@ -74,8 +74,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("licenses")
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
+def op12_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, percent=80, top=2000)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where it passes 64 bits; deviation_wide has it there too."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
+    return rows.withColumnRenamed("deviation", "deviation_wide").withColumn("deviation", F.col("deviation_wide").try_cast("long")).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error", "deviation_wide")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_pii_anchors, op3_url_filters, op4_byte_bpe, op5_decontamination, op6_warc, op7_jaccard_join,
-        op8_quality_rules, op9_substring_dedup, op10_license_scan)
+        op8_quality_rules, op9_substring_dedup, op10_license_scan, op11_minhash_near_dedup, op12_phrase_collocation, op13_embedding_whitening)
 }

@@ -103,3 +103,36 @@ def base_counts(text):
     words = SPACE_WORD.findall(text)
     lines = [x for x in text.split("\n") if SPACE_WORD.search(x)]
     return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), repeat_words(words))
+
+
+PIECE = re.compile(r"[.,;:!?\x0a-\x0d]")
+BLANK_WORD = re.compile(r"[^\x20\x09]+")
+
+
+def collocations(rows, least=30, percent=80, top=2000):
+    """rows: (lang, text)."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in PIECE.split((text or "").translate(LOWER)):
+            w = BLANK_WORD.findall(piece)
+            n[lang] += len(w)
+            for k in range(1, 5):
+                f[lang].update(tuple(w[s:s + k]) for s in range(len(w) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        found = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        longest = Counter()
+        for p, a in found.items():
+            for m in range(2, len(p)):
+                for s in range(len(p) - m + 1):
+                    longest[p[s:s + m]] = max(longest[p[s:s + m]], a)
+        kept = []
+        for p, a in found.items():
+            if 100 * longest[p] >= percent * a:
+                continue
+            score, j = min((2000000 * a // (counts[p[:j]] + counts[p[j:]]), j) for j in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), counts[p[:j]], counts[p[j:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(kept)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, n[lang], -score))
+    return out
