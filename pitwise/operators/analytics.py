@@ -8,15 +8,19 @@ d + lag; cumulative return is ``exp(sum(log1p r)) - 1``; yearly figures use
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwise.operators import portfolio as pf
+from pitwise.operators.asof import asof_join
 
 TRADING_DAYS = 252
 ROLLING_SHARPE_WINDOW = 63
 N_QUANTILES = 5
+INDUSTRY_LEVELS = ("level_1", "level_2", "level_3", "level_4")
+UNCLASSIFIED = "unclassified"
 
 
 def forward_fill(series: DataFrame, calendar: DataFrame, end, value: str, *, key: str = "id") -> DataFrame:
@@ -24,11 +28,12 @@ def forward_fill(series: DataFrame, calendar: DataFrame, end, value: str, *, key
     first observation to ``end``, gaps filled with the last value
     (``last(ignorenulls)`` over the key's own days).  Observations of other
     days (weekends, holidays) are carried to the next trading day: they and
-    the trading days are ordered together, observations first on a day."""
+    the trading days are ordered together, observations first on a day.  Of
+    several observations of one day the greatest counts."""
     first = series.groupBy(key).agg(F.min("date").alias("start"))
     grid = pf.trading_grid(first, calendar, end, key=key).select(key, "date", F.lit(1).alias("__kind"))
     seen = series.select(key, "date", F.lit(0).alias("__kind"), value)
-    w = Window.partitionBy(key).orderBy("date", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy("date", "__kind", value).rowsBetween(Window.unboundedPreceding, 0)
     u = seen.unionByName(grid, allowMissingColumns=True).select(
         key, "date", "__kind", F.last(value, ignorenulls=True).over(w).alias(value))
     return u.where(F.col("__kind") == 1).select(key, "date", value)
@@ -135,19 +140,109 @@ def quantile_returns(returns: DataFrame, n: int = N_QUANTILES, key: str = "id")
     return b.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("fwd").alias("mean_fwd_return"))
 
 
-def sector_exposure(weights: DataFrame, securities: DataFrame) -> DataFrame:
-    """JN14: net and gross exposure per date and industry level (level 1 =
-    sector, level 2 = sector/nation)."""
-    dim = securities.select(F.col("id").alias("security"), "sector", "nation")
-    j = weights.join(dim, "security")
-    lv = j.select("date", "weight", F.explode(F.array(
-        F.struct(F.lit(1).alias("level"), F.col("sector").alias("industry")),
-        F.struct(F.lit(2).alias("level"), F.concat_ws("/", "sector", F.col("nation").cast("string")).alias("industry")),
-    )).alias("__l"))
+def industry_exposure(weights: DataFrame, industries: DataFrame, *, levels=INDUSTRY_LEVELS, valid_from: str = "valid_from",
+                      version=()) -> DataFrame:
+    """JN14: net and gross exposure per date and industry level.
+
+    ``industries``: ``(security, valid_from, *levels)``, dated: a weight is
+    classified by the last row of its security on or before its date.  What
+    has no classification then, or none at a level, counts as UNCLASSIFIED,
+    so each level adds up to the whole portfolio."""
+    j = asof_join(weights.select("date", "security", "weight"), industries, ["security"], "date", valid_from, list(levels), version=version)
+    lv = j.select("date", "weight", F.explode(F.array(*(
+        F.struct(F.lit(i + 1).alias("level"), F.coalesce(F.col(c), F.lit(UNCLASSIFIED)).alias("industry")) for i, c in enumerate(levels)))).alias("__l"))
     return lv.groupBy("date", F.col("__l.level").alias("level"), F.col("__l.industry").alias("industry")).agg(
         F.sum("weight").alias("net_weight"), F.sum(F.abs("weight")).alias("gross_weight"))
 
 
+def sector_exposure(weights: DataFrame, securities: DataFrame) -> DataFrame:
+    """JN14 with an undated dimension: level 1 = sector, level 2 =
+    sector/nation; holdings without a row count as UNCLASSIFIED."""
+    dim = securities.groupBy(F.col("id").alias("security")).agg(F.min(F.struct("sector", "nation")).alias("__c")).select(
+        "security", F.col("__c.sector").alias("level_1"),
+        F.when(F.col("__c.sector").isNotNull(), F.concat_ws("/", "__c.sector", F.col("__c.nation").cast("string"))).alias("level_2"),
+        F.lit("0001-01-01").cast("date").alias("valid_from"))
+    return industry_exposure(weights, dim, levels=("level_1", "level_2"))
+
+
+def benchmark_statistics(daily: DataFrame, col: str = "strategy_return", benchmark: str = "benchmark_return", by=("run_name",)) -> DataFrame:
+    """AGG19, benchmark columns: per run and year the benchmark's compounded
+    return, volatility and Sharpe, the excess return (difference of the two
+    compounded returns), beta, tracking error and information ratio (of the
+    daily differences, annualised).  Days count where both returns are there.
+    Grouped co-moments, which Spark merges from partial ones; ratios are NULL
+    when n < 2 or their deviation is 0."""
+    d = daily.where(F.col(col).isNotNull() & F.col(benchmark).isNotNull()).withColumn("year", F.year("date")).withColumn("__e", F.col(col) - F.col(benchmark))
+    whole = lambda c: F.when(F.min(c) <= -1, F.lit(-1.0)).otherwise(F.exp(F.sum(F.log1p(F.col(c)))) - 1)
+    sd, te, var = F.stddev_samp(benchmark), F.stddev_samp("__e"), F.var_samp(benchmark)
+    two = F.count("__e") >= 2
+    return d.groupBy(*by, "year").agg(
+        F.count("__e").alias("n_days"),
+        whole(benchmark).alias("benchmark_return"),
+        F.when(two & (sd > 0), sd * math.sqrt(TRADING_DAYS)).alias("benchmark_volatility"),
+        F.when(two & (sd > 0), F.avg(benchmark) / sd * math.sqrt(TRADING_DAYS)).alias("benchmark_sharpe"),
+        (whole(col) - whole(benchmark)).alias("excess_return"),
+        F.when(two & (var > 0), F.covar_samp(col, benchmark) / var).alias("beta"),
+        F.when(two & (te > 0), te * math.sqrt(TRADING_DAYS)).alias("tracking_error"),
+        F.when(two & (te > 0), F.avg("__e") / te * math.sqrt(TRADING_DAYS)).alias("information_ratio"),
+    )
+
+
+def rolling_benchmark(daily: DataFrame, n: int = ROLLING_SHARPE_WINDOW, col: str = "strategy_return", benchmark: str = "benchmark_return",
+                      by=("run_name",)) -> DataFrame:
+    """WIN11, benchmark series: over the last ``n`` days the benchmark's
+    Sharpe, beta, tracking error and information ratio; NULL until ``n`` days
+    with both returns exist or where the deviation is 0.  A window holds one
+    run's days."""
+    w = Window.partitionBy(*by).orderBy("date").rowsBetween(-(n - 1), 0)
+    excess = F.col(col) - F.col(benchmark)
+    full = F.count(excess).over(w) == n
+    sd, te, var = F.stddev_samp(benchmark).over(w), F.stddev_samp(excess).over(w), F.var_samp(benchmark).over(w)
+    return daily.select(
+        *by, "date",
+        F.when(full & (sd > 0), F.avg(benchmark).over(w) / sd * math.sqrt(TRADING_DAYS)).alias("benchmark_sharpe"),
+        F.when(full & (var > 0), F.covar_samp(col, benchmark).over(w) / var).alias("beta"),
+        F.when(full & (te > 0), te * math.sqrt(TRADING_DAYS)).alias("tracking_error"),
+        F.when(full & (te > 0), F.avg(excess).over(w) / te * math.sqrt(TRADING_DAYS)).alias("information_ratio"))
+
+
+def distributed_ntile(df: DataFrame, n: int, group: str, value: str, tie: str, *, cells: int = 256, name: str = "bucket") -> DataFrame:
+    """``ntile(n)`` over (partition by group order by value, tie), NULL values
+    first, without a window over a whole group.
+
+    A group's values are cut into cells at its approximate quantiles (a
+    mergeable summary of bounded size; only the balance depends on it).  Cells
+    are counted, a row's rank is its rank within its cell plus the rows of the
+    cells before it, and the tile follows from rank and size.  Exact for any
+    cut.  Rows of one value share a cell."""
+    cuts = df.groupBy(F.col(group).alias("__g")).agg(F.percentile_approx(value, [i / cells for i in range(1, cells)], 10 * cells).alias("__q"))
+    placed = df.join(cuts, df[group].eqNullSafe(cuts["__g"]), "left").withColumn(
+        "__cell", F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array_distinct("__q"), lambda q: q < F.col(value))))).drop("__q", "__g")
+    counts = placed.groupBy(F.col(group).alias("__g"), F.col("__cell").alias("__c")).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy("__g")
+    counts = counts.withColumn("__before", F.sum("__n").over(w.orderBy("__c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).withColumn(
+        "__size", F.sum("__n").over(w)).drop("__n")
+    at = F.row_number().over(Window.partitionBy(group, "__cell").orderBy(value, tie))
+    j = placed.withColumn("__at", at)
+    j = j.join(counts, j[group].eqNullSafe(counts["__g"]) & (j["__cell"] == counts["__c"]))
+    rank, base, rest = F.col("__at") + F.col("__before") - 1, F.expr(f"__size div {n}"), F.expr(f"__size % {n}")
+    long = rest * (base + 1)
+    tile = F.when(rank < long, F.floor(F.try_divide(rank, base + 1))).otherwise(rest + F.floor(F.try_divide(rank - long, base))) + 1
+    return j.withColumn(name, tile.cast("int")).select(*df.columns, name)
+
+
+def signal_quantile_returns(returns: DataFrame, signal: DataFrame, n: int = N_QUANTILES, key: str = "id") -> DataFrame:
+    """AGG20 by a signal ``(id, date, signal)``: securities bucketed by the
+    day's signal (``ntile`` per date, ties by id) and the mean next-day return
+    per bucket.  Days without a signal or a next return don't count; of several
+    signals of one (id, date) the greatest."""
+    w = Window.partitionBy(key).orderBy("date")
+    r = returns.withColumn("fwd", F.lead("ret").over(w)).where(F.col("fwd").isNotNull()).select(key, "date", "fwd")
+    s = signal.where(F.col("signal").isNotNull()).groupBy(key, "date").agg(F.max("signal").alias("signal"))
+    b = distributed_ntile(r.join(s, [key, "date"]), n, "date", "signal", key)
+    return b.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("fwd").alias("mean_fwd_return"))
+
+
 def event_backtest(
     trades: DataFrame,
     securities: DataFrame,
@@ -162,18 +257,29 @@ def event_backtest(
     rebalance_freq: str = "D",
     use_trading_dts: bool = False,
     scheme=pf.EQUAL,
+    signal_fn: Callable[[DataFrame], DataFrame] | None = None,
+    portfolio_fn: pf.PortfolioFn | None = None,
 ) -> DataFrame:
     """DOM13: trades -> FIGI check -> long/short weights -> rebalance -> lag ->
     daily strategy and benchmark returns -> cumulative returns.
     ``use_trading_dts`` rebalances on the event dates only (instead of
     ``rebalance_freq``), holding the weights in between.  Trades of a
     security without a price series are skipped, as in the reference, where
-    such a security is not a column of the price frame."""
+    such a security is not a column of the price frame.
+
+    ``signal_fn`` (U1) gets the filled prices ``(id, date, px)`` and returns
+    ``(security, date, signal[, published])``, which ``checked_signal`` checks
+    within the plan; the signal sizes the positions of ``scheme``.
+    ``portfolio_fn`` (U3) turns each security's target weights into the weights
+    held, day by day (``portfolio.user_portfolio``)."""
     priced = prices.select(F.col("id").alias("security")).distinct()
     t = pf.map_to_figi(trades, securities).join(priced, "security", "left_semi")
-    w = pf.build_port_weights(t, calendar, end, scheme)
-    w = pf.rebalance_hold(w, calendar, rebalance_freq, rebalance_dates=trades.select("date") if use_trading_dts else None)
     px = forward_fill(prices, calendar, end, "px")
+    signal = None if signal_fn is None else pf.checked_signal(signal_fn(px), calendar)
+    w = pf.build_port_weights(t, calendar, end, scheme, signal)
+    w = pf.rebalance_hold(w, calendar, rebalance_freq, rebalance_dates=trades.select("date") if use_trading_dts else None)
+    if portfolio_fn is not None:
+        w = pf.user_portfolio(w, calendar, end, portfolio_fn)
     rets = daily_returns(px)
     daily = portfolio_returns(w, bench_weights.withColumnRenamed("id", "security").withColumnRenamed("w", "weight"),
                               rets, calendar, lag=implementation_lag, start=start, end=end)

@@ -115,7 +115,16 @@ def news_window(
     carry their arrival month, the join is on (security, month) and the
     exact range is checked afterwards.  A popular security is spread over
     many (security, month) keys, so AQE can split skewed keys further.
+
+    FLT11: a request without a date gets all headlines of its security, by an
+    equi-join on the security.
     """
+    undated = requests.where(F.col(req_date).isNull())
+    keep = [c for c in requests.columns if c not in (req_id, req_date)]
+    more = [c for c in news.columns if c != news_id and c not in keep]
+    every = undated.alias("r").join(news.alias("n"), F.col(f"r.{req_id}") == F.col(f"n.{news_id}")).select(
+        F.col(f"r.{req_id}").alias(req_id), F.col(f"r.{req_date}").cast("date").alias(req_date), *[F.col(f"r.{c}") for c in keep], *[F.col(f"n.{c}") for c in more])
+    requests = requests.where(F.col(req_date).isNotNull())
     req = requests.select(F.col(req_id).alias("__rid"), F.col(req_date).cast("date").alias("__asof"), *[
         F.col(c) for c in requests.columns if c not in (req_id, req_date)
     ]).withColumn("__lo", F.add_months("__asof", -months))
@@ -132,7 +141,7 @@ def news_window(
     keep_news = [c for c in news.columns if c != news_id and c not in keep_req]
     return j.select(
         F.col("__rid").alias(req_id), F.col("__asof").alias(req_date), *[req[c] for c in keep_req], *[nw[c] for c in keep_news]
-    )
+    ).unionByName(every)
 
 
 def sample_news(window: DataFrame, *, n: int = NEWS_SAMPLE_SIZE, seed: str = "0", keys=("figi", "as_of")) -> DataFrame:
@@ -173,9 +182,13 @@ def sample_news_window(requests: DataFrame, news: DataFrame, *, n: int = NEWS_SA
     whole days and the sample order is a hash of the story id, independent of
     the request; so the first ``n`` of a window are among the first ``n`` of
     each of its days.  Headlines are cut to that per (security, day) first,
-    which bounds the join input of a hot security by ``n`` per day."""
+    which bounds the join input of a hot security by ``n`` per day.  A request
+    without a date (FLT11) samples all headlines of its security: the first
+    ``n`` of each security, cut per task before the shuffle."""
+    dated, undated = requests.where(F.col(req_date).isNotNull()), requests.where(F.col(req_date).isNull())
     pre = top_per_day(news, n=n, seed=seed, news_id=news_id)
-    w = news_window(requests, pre, months=months, req_id=req_id, req_date=req_date, news_id=news_id)
+    w = news_window(dated, pre, months=months, req_id=req_id, req_date=req_date, news_id=news_id)
+    w = w.unionByName(news_window(undated, sample_news(news, n=n, seed=seed, keys=(news_id,)), months=months, req_id=req_id, req_date=req_date, news_id=news_id))
     return sample_news(w, n=n, seed=seed, keys=(req_id, req_date))
 
 

@@ -10,6 +10,7 @@ row per security and day), never a data-sized group.
 from __future__ import annotations
 
 import inspect
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,9 +25,9 @@ EQUAL, PROPORTIONAL = "EQUAL", "PROPORTIONAL"
 
 
 def map_to_figi(trades: DataFrame, securities: DataFrame, sec_col: str = "security") -> DataFrame:
-    """JN2: attach the FIGI of each traded security (inner join; the dimension
-    is de-duplicated first so a repeated ticker cannot fan out)."""
-    dim = securities.select(F.col("id").alias(sec_col), "figi").dropDuplicates([sec_col])
+    """JN2: attach the FIGI of each traded security (inner join; of several
+    FIGIs of one ticker the least, so none fans out or changes between runs)."""
+    dim = securities.groupBy(F.col("id").alias(sec_col)).agg(F.min("figi").alias("figi"))
     return trades.join(dim, sec_col)
 
 
@@ -107,6 +108,64 @@ def leg_portfolio(
     return j.select("date", "security", F.try_divide(F.col("__w"), F.lit(sign) * F.col("__tot")).alias("weight"))
 
 
+def checked_signal(signal: DataFrame, calendar: DataFrame) -> DataFrame:
+    """U1: a user's signal ``(security, date, signal[, published])``, checked
+    while the query runs: an error for a row without security or date, a value
+    that is NaN, several rows of one (security, date), a date that is no
+    trading day, and a value ``published`` after its date.  A NULL signal holds
+    nothing that day."""
+    published = F.col("published").cast("date") if "published" in signal.columns else F.lit(None).cast("date")
+    g = signal.groupBy("security", F.col("date").cast("date").alias("date")).agg(
+        F.count("*").alias("__n"), F.max(F.col("signal").cast("double")).alias("__s"), F.max(published).alias("__p"))
+    days = broadcast_bounded(calendar.select("date", F.lit(True).alias("__open")).distinct())  # one row per day
+    where = F.concat_ws(" ", F.lit(" at"), "security", F.col("date").cast("string"))
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), where))
+    value = (
+        F.when(F.col("security").isNull() | F.col("date").isNull(), fail("signal without security or date"))
+        .when(F.col("__n") > 1, fail("several signals"))
+        .when(F.col("__open").isNull(), fail("signal on a day without trading"))
+        .when(F.col("__p") > F.col("date"), fail("signal uses data published later"))
+        .when(F.isnan("__s"), fail("signal is no number"))
+        .otherwise(F.col("__s")))
+    return g.join(days, "date", "left").select("security", "date", value.alias("signal"))
+
+
+#: (weight held yesterday, today's target, the security's own state) -> weight held today
+PortfolioFn = Callable[[float, float, dict], float]
+
+
+def turnover_limit(limit: float) -> PortfolioFn:
+    """Moves a weight towards its target by at most ``limit`` a day."""
+    return lambda held, target, state: held + max(-limit, min(limit, target - held))
+
+
+def user_portfolio(weights: DataFrame, calendar: DataFrame, end, fn: PortfolioFn) -> DataFrame:
+    """U3: weights held day by day under a user's rule, ``(date, security, weight)``.
+
+    Per security, in date order from its first target to ``end``, ``fn`` gets
+    yesterday's weight (0 at first), today's target (0 without one, or a NULL
+    one) and a dict that it may keep from day to day.  A group holds one
+    security's trading days, which the calendar bounds; the rule sees no other
+    security.  A weight that is no finite number is an error.  Rows without
+    security or date are left out; of several targets of one day their sum is."""
+    targets = weights.where(F.col("security").isNotNull() & F.col("date").isNotNull()).groupBy("security", "date").agg(F.sum("weight").alias("target"))
+    grid = trading_grid(targets.groupBy("security").agg(F.min("date").alias("start")), calendar, end).select("security", "date")
+    days = grid.join(targets, ["security", "date"], "left")
+
+    def held(rows):
+        rows = rows.sort_values("date")
+        out, now, state = [], 0.0, {}
+        for target in rows["target"].fillna(0.0):
+            now = float(fn(now, float(target), state))
+            if not math.isfinite(now):
+                raise ValueError("the portfolio function returned no finite weight")
+            out.append(now)
+        return rows.assign(weight=out)[["date", "security", "weight"]]
+
+    schema = f"date date, security {weights.schema['security'].dataType.simpleString()}, weight double"
+    return days.groupBy("security").applyInPandas(held, schema)
+
+
 def long_short(long_w: DataFrame, short_w: DataFrame) -> DataFrame:
     """JN11: combine the legs; a side missing counts as 0 (long form: rows
     exist only where at least one leg holds the security)."""

@@ -58,8 +58,8 @@ def prompt_table(matrix: DataFrame, securities: DataFrame, template: str = PROMP
     duplicates and all-zero items removed, labels cleaned) rendered as text
     lines in item order, then the trailing price history (``prices``:
     ``(id, date, px)``; empty without it), filled into a template with the
-    company metadata.  Lines are gathered per company and date, a bounded
-    group."""
+    company metadata (empty where a company has none).  Lines are gathered per
+    company and date, a bounded group."""
     m = st.drop_all_zero_items(st.dedupe_item_values(matrix)).withColumn("__line", statement_line())
     is_line = F.when(F.col("statement") == "is", F.col("__line"))
     bs_line = F.when(F.col("statement") == "bs", F.col("__line"))
@@ -76,7 +76,7 @@ def prompt_table(matrix: DataFrame, securities: DataFrame, template: str = PROMP
     else:
         g = g.withColumn("prices", F.lit(None).cast("string"))
     meta = securities.select("id", "name", "sector")
-    j = g.join(meta, "id")
+    j = g.join(meta, "id", "left")
     prompt = fill_template(template, name=F.col("name"), sector=F.col("sector"), date=F.date_format("as_of", "yyyy-MM-dd"),
                            income=F.col("income"), balance=F.col("balance"), prices=F.col("prices"))
     return j.select("as_of", "id", prompt.alias("prompt"))

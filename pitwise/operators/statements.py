@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwise.functions.dates import fiscal_quarter_end
+from pitwise.operators.asof import asof_join
 from pitwise.sizing import broadcast_bounded
 
 N_PERIODS = 6
@@ -23,19 +24,13 @@ def latest_available_period(requests: DataFrame, vintages: DataFrame) -> DataFra
     """Per ``(as_of, id)`` request: the newest period end whose first vintage
     was published on or before ``as_of`` (NULL before the first report).
 
-    An as-of lookup written as one window per security: requests and the
-    security's period first-publication events are unioned and ordered by
-    date (events before requests on the same day, so ``publish_date <=
-    as_of`` is inclusive); a running ``max(period_end)`` carries the answer.
-    A partition holds one security's request days and period ends, which
-    the calendar bounds, never the number of facts or vintages."""
-    first = vintages.groupBy("id", "period_end").agg(F.min("publish_date").alias("__d"))
-    ev = first.select("id", "__d", "period_end", F.lit(0).alias("__kind"))
-    rq = requests.select("id", F.col("as_of").alias("__d"), F.lit(None).cast("date").alias("period_end"),
-                         F.lit(1).alias("__kind"))
-    w = Window.partitionBy("id").orderBy("__d", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    u = ev.unionByName(rq).withColumn("__latest", F.max("period_end").over(w))
-    return u.where(F.col("__kind") == 1).select(F.col("__d").alias("as_of"), "id", F.col("__latest").alias("latest"))
+    An as-of lookup (``asof_join``) of the greatest period so far among the
+    periods' first publications; ``publish_date <= as_of`` is inclusive.  Its
+    ordered pass holds one security's request days and period ends, which the
+    calendar bounds, never the number of facts or vintages."""
+    first = vintages.groupBy("id", "period_end").agg(F.min("publish_date").alias("first_published")).select(
+        "id", "first_published", F.col("period_end").alias("latest"))
+    return asof_join(requests.select("as_of", "id"), first, ["id"], "as_of", "first_published", ["latest"], greatest=True)
 
 
 def candidate_periods(requests: DataFrame, vintages: DataFrame, n: int = N_PERIODS) -> DataFrame:
@@ -198,26 +193,15 @@ def ltm(facts: DataFrame, flow_statements=("is",), quarters: int = 4, by: tuple[
     )
 
 
-def fx_convert(facts: DataFrame, fx: DataFrame, ccy: DataFrame, share_items=(44,)) -> DataFrame:
+def fx_convert(facts: DataFrame, fx: DataFrame, ccy: DataFrame, share_items=(44,), version=()) -> DataFrame:
     """JN17: convert monetary items with the last rate of the fact's currency
     group on or before its period end; share counts are exempt.  Facts without
     such a rate (or without a currency group) stay, with a NULL rate and, but
-    for share counts, a NULL value.
-
-    The as-of lookup is an equi-join: each rate is spread over the days until
-    the next (a table bounded by days x groups), and the last one of a group
-    holds from its day on."""
-    w = Window.partitionBy("ccy_group").orderBy("rate_date")
-    until = fx.select("ccy_group", "rate_date", "rate", F.lead("rate_date").over(w).alias("__next")).where(F.col("__next").isNotNull())
-    daily = until.select("ccy_group", F.col("rate").alias("__rate"), F.explode(
-        F.sequence("rate_date", F.date_sub("__next", 1))).alias("period_end"))
-    last = fx.groupBy("ccy_group").agg(F.max("rate_date").alias("__from"), F.max_by("rate", "rate_date").alias("__last"))
-    f = facts.join(ccy, "id", "left")
-    j = f.join(daily, ["ccy_group", "period_end"], "left").join(last, "ccy_group", "left")
-    rate = F.coalesce("__rate", F.when(F.col("period_end") >= F.col("__from"), F.col("__last")))
-    conv = F.when(F.col("item_no").isin(list(share_items)), F.col("value")).otherwise(F.col("value") * rate)
-    return j.select("id", "statement", "item_no", "period_end", F.col("value").alias("value_local"), rate.alias("rate"),
-                    conv.alias("value"))
+    for share counts, a NULL value.  Of several rates of a group on one day the
+    greatest ``version`` counts, then the greatest rate."""
+    j = asof_join(facts.join(ccy, "id", "left"), fx, ["ccy_group"], "period_end", "rate_date", ["rate"], version=version)
+    conv = F.when(F.col("item_no").isin(list(share_items)), F.col("value")).otherwise(F.col("value") * F.col("rate"))
+    return j.select("id", "statement", "item_no", "period_end", F.col("value").alias("value_local"), "rate", conv.alias("value"))
 
 
 # ------------------------------------------------------- nested PIT store

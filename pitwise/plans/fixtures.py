@@ -214,7 +214,24 @@ def v_fx(spark: SparkSession, d: str) -> DataFrame:
     qn = F.year("rate_date") * 4 + F.quarter("rate_date")
     # group 1 has no rate for second quarters, so the last one before holds
     groups = groups.where((F.col("ccy_group") != 1) | (F.quarter("rate_date") != 2))
-    return groups.select("rate_date", "ccy_group", (1 + ((qn + F.col("ccy_group")) % 5) / 100.0).alias("rate"))
+    # group 2 has an earlier version of every rate, on the same day
+    groups = groups.withColumn("version", F.explode(F.when(F.col("ccy_group") == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))))
+    return groups.select("rate_date", "ccy_group", "version", (1 + ((qn + F.col("ccy_group") + 3 * (2 - F.col("version"))) % 5) / 100.0).alias("rate"))
+
+
+def v_industries(spark: SparkSession, d: str) -> DataFrame:
+    """Dated industry levels: a first version replaced on its own day, a new
+    classification in mid January 2024, and securities with two levels or none."""
+    s = v_securities(spark, d).where(F.col("k") % 7 != 6)
+    rows = s.withColumn("r", F.explode(F.array(
+        F.struct(F.lit("2023-01-02").cast("date").alias("valid_from"), F.lit(1).alias("version"), F.lit("old ").alias("tag")),
+        F.struct(F.lit("2023-01-02").cast("date").alias("valid_from"), F.lit(2).alias("version"), F.lit("").alias("tag")),
+        F.struct(F.lit("2024-01-15").cast("date").alias("valid_from"), F.lit(1).alias("version"), F.lit("new ").alias("tag")))))
+    one = F.concat("r.tag", "sector")
+    two = F.concat_ws("/", one, F.col("nation").cast("string"))
+    three = F.when(F.col("k") % 5 != 4, F.concat_ws("/", two, (F.col("k") % 3).cast("string")))
+    return rows.select(F.col("id").alias("security"), "r.valid_from", "r.version", one.alias("level_1"), two.alias("level_2"), three.alias("level_3"),
+                       F.concat(three, F.lit("/"), (F.col("k") % 2).cast("string")).alias("level_4"))
 
 
 # -------------------------------------------------- prices and trades

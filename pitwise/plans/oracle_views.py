@@ -100,10 +100,17 @@ FROM (SELECT id, k, period_end, publish_date, lead(value) OVER (PARTITION BY id
       FROM v_facts WHERE item_no = 47)
 WHERE next_eps IS NOT NULL"""
 
+VIEWS["v_industries"] = """
+SELECT security, valid_from, version, level_1, level_2, level_3, level_3 || '/' || CAST(k % 2 AS VARCHAR) AS level_4
+FROM (SELECT id AS security, k, valid_from, version, tag || sector AS level_1, tag || sector || '/' || CAST(nation AS VARCHAR) AS level_2,
+             CASE WHEN k % 5 <> 4 THEN tag || sector || '/' || CAST(nation AS VARCHAR) || '/' || CAST(k % 3 AS VARCHAR) END AS level_3
+      FROM v_securities, (VALUES (DATE '2023-01-02', 1, 'old '), (DATE '2023-01-02', 2, ''), (DATE '2024-01-15', 1, 'new ')) r(valid_from, version, tag)
+      WHERE k % 7 <> 6)"""
+
 VIEWS["v_fx"] = """
-SELECT rate_date, ccy_group, 1 + ((year(rate_date) * 4 + quarter(rate_date) + ccy_group) % 5) / 100.0 AS rate
+SELECT rate_date, ccy_group, version, 1 + ((year(rate_date) * 4 + quarter(rate_date) + ccy_group + 3 * (2 - version)) % 5) / 100.0 AS rate
 FROM (SELECT DISTINCT last_day(CAST(date_trunc('quarter', CAST(o_orderdate AS DATE)) + INTERVAL 2 MONTH AS DATE)) AS rate_date FROM orders),
-     (SELECT UNNEST([0, 1, 2]) AS ccy_group)
+     (VALUES (0, 2), (1, 2), (2, 1), (2, 2)) g(ccy_group, version)
 WHERE ccy_group <> 1 OR quarter(rate_date) <> 2"""
 
 VIEWS["v_prices"] = f"""

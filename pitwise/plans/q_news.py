@@ -100,6 +100,31 @@ def news_sample(spark, d):
     return news.sample_news_window(_requests(spark, d), _clean_news(spark, d))
 
 
+_UNDATED_SQL = f"""
+SELECT r.figi, CAST(NULL AS DATE) AS as_of, n.suid, n.headline, n.arrival
+FROM (SELECT DISTINCT figi FROM ({_REQ_SQL})) r JOIN ({_CLEAN_SQL}) n ON n.figi = r.figi"""
+
+
+def _requests_some_undated(spark, d):
+    """Every request, and one without a date for each security."""
+    r = _requests(spark, d)
+    return r.unionByName(r.select("figi", F.lit(None).cast("date").alias("as_of")).distinct())
+
+
+@query("news_sample_undated", f"""
+SELECT figi, as_of, suid, headline, arrival FROM (
+  SELECT *, row_number() OVER (PARTITION BY figi, as_of ORDER BY md5(suid || '|' || '0'), suid) AS rn
+  FROM ({_WINDOW_SQL} UNION ALL {_UNDATED_SQL})) WHERE rn <= 50""")
+def news_sample_undated(spark, d):
+    """FLT11: requests without a date take from all headlines of their security."""
+    return news.sample_news_window(_requests_some_undated(spark, d), _clean_news(spark, d))
+
+
+@query("news_window_undated", f"{_UNDATED_SQL}")
+def news_window_undated(spark, d):
+    return news.news_window(_requests_some_undated(spark, d).where("as_of is null"), _clean_news(spark, d))
+
+
 @query("company_context", f"""
 SELECT r.figi, r.as_of, s.id, s.name, s.sector, coalesce(h.n, 0) AS n_headlines, h.newest
 FROM ({_REQ_SQL}) r

@@ -223,3 +223,95 @@ FROM v_ls w JOIN v_securities s ON s.id = w.security,
 GROUP BY 1, 2, 3""")
 def sector_exposure(spark, d):
     return round_doubles(an.sector_exposure(ls_weights(spark, d), fx.v_securities(spark, d)))
+
+
+@query("industry_exposure", """
+WITH i AS (SELECT security, valid_from, unnest([1, 2, 3, 4]) AS level,
+                  unnest([arg_max(level_1, version), arg_max(level_2, version), arg_max(level_3, version), arg_max(level_4, version)]) AS industry
+           FROM (SELECT * REPLACE (coalesce(level_1, 'unclassified') AS level_1, coalesce(level_2, 'unclassified') AS level_2,
+                                   coalesce(level_3, 'unclassified') AS level_3, coalesce(level_4, 'unclassified') AS level_4) FROM v_industries)
+           GROUP BY 1, 2),
+w AS (SELECT date, security, weight, unnest([1, 2, 3, 4]) AS level FROM v_ls),
+j AS (SELECT w.date, w.level, w.weight, coalesce(i.industry, 'unclassified') AS industry
+      FROM w ASOF LEFT JOIN i ON w.security = i.security AND w.level = i.level AND i.valid_from <= w.date)
+SELECT date, level, industry, CASE WHEN round(sum(weight), 6) = 0 THEN 0.0 ELSE round(sum(weight), 6) END AS net_weight,
+       round(sum(abs(weight)), 6) AS gross_weight
+FROM j GROUP BY 1, 2, 3""")
+def industry_exposure(spark, d):
+    """JN14: four dated levels."""
+    return round_doubles(an.industry_exposure(ls_weights(spark, d), fx.v_industries(spark, d), version=("version",)))
+
+
+@query("benchmark_statistics", """
+WITH d AS (SELECT year(date) AS year, strategy_return AS s, benchmark_return AS b, strategy_return - benchmark_return AS e FROM v_daily)
+SELECT 'events' AS run_name, year, count(e) AS n_days, round(exp(sum(ln(1 + b))) - 1, 6) AS benchmark_return,
+       round(stddev_samp(b) * sqrt(252), 6) AS benchmark_volatility, round(avg(b) / stddev_samp(b) * sqrt(252), 6) AS benchmark_sharpe,
+       round(exp(sum(ln(1 + s))) - exp(sum(ln(1 + b))), 6) AS excess_return, round(covar_samp(s, b) / var_samp(b), 6) AS beta,
+       round(stddev_samp(e) * sqrt(252), 6) AS tracking_error, round(avg(e) / stddev_samp(e) * sqrt(252), 6) AS information_ratio
+FROM d GROUP BY year""")
+def benchmark_statistics(spark, d):
+    """AGG19, benchmark columns."""
+    return round_doubles(an.benchmark_statistics(daily(spark, d)))
+
+
+@query("rolling_benchmark", f"""
+WITH d AS (SELECT date, strategy_return AS s, benchmark_return AS b, strategy_return - benchmark_return AS e FROM v_daily)
+SELECT 'events' AS run_name, date,
+       CASE WHEN count(e) OVER w = {ROLLING_N} AND stddev_samp(b) OVER w > 0 THEN round(avg(b) OVER w / stddev_samp(b) OVER w * sqrt(252), 5) END AS benchmark_sharpe,
+       CASE WHEN count(e) OVER w = {ROLLING_N} AND var_samp(b) OVER w > 0 THEN round(covar_samp(s, b) OVER w / var_samp(b) OVER w, 5) END AS beta,
+       CASE WHEN count(e) OVER w = {ROLLING_N} AND stddev_samp(e) OVER w > 0 THEN round(stddev_samp(e) OVER w * sqrt(252), 5) END AS tracking_error,
+       CASE WHEN count(e) OVER w = {ROLLING_N} AND stddev_samp(e) OVER w > 0 THEN round(avg(e) OVER w / stddev_samp(e) OVER w * sqrt(252), 5) END AS information_ratio
+FROM d WINDOW w AS (ORDER BY date ROWS BETWEEN {ROLLING_N - 1} PRECEDING AND CURRENT ROW)""")
+def rolling_benchmark(spark, d):
+    """WIN11, benchmark series."""
+    return round_doubles(an.rolling_benchmark(daily(spark, d), ROLLING_N), 5)
+
+
+def _px_signal(px):
+    """The price itself, published on its own day."""
+    return px.select(F.col("id").alias("security"), "date", F.col("px").alias("signal"), F.col("date").alias("published"))
+
+
+@query("signal_quantile_returns", """
+WITH f AS (SELECT id, date, lead(ret) OVER (PARTITION BY id ORDER BY date) AS fwd FROM v_rets),
+b AS (SELECT f.*, ntile(5) OVER (PARTITION BY f.date ORDER BY floor(p.px), f.id) AS bucket
+      FROM f JOIN v_px p ON p.id = f.id AND p.date = f.date WHERE fwd IS NOT NULL)
+SELECT bucket::INTEGER AS bucket, count(*) AS n, round(avg(fwd), 6) AS mean_fwd_return FROM b GROUP BY bucket""")
+def signal_quantile_returns(spark, d):
+    """AGG20 by a signal with ties: whole prices."""
+    px = prices_filled(spark, d)
+    signal = px.select("id", "date", F.floor("px").cast("double").alias("signal"))
+    return round_doubles(an.signal_quantile_returns(an.daily_returns(px), signal))
+
+
+@query("event_backtest_signal", f"""
+WITH pos AS (SELECT p.date, p.security, p.state, x.px FROM v_pos p LEFT JOIN v_px x ON x.id = p.security AND x.date = p.date),
+ls AS (SELECT date, security, px / (CASE state WHEN 'LONG' THEN 1.0 ELSE -1.0 END * sum(px) OVER (PARTITION BY date, state)) AS weight FROM pos),
+lagged AS (SELECT c2.date, w.security, w.weight FROM ls w JOIN v_calendar c1 ON c1.date = w.date JOIN v_calendar c2 ON c2.idx = c1.idx + 1),
+s AS (SELECT l.date, sum(l.weight * coalesce(r.ret, 0.0)) AS r FROM lagged l LEFT JOIN v_rets r ON r.id = l.security AND r.date = l.date GROUP BY 1),
+d AS (SELECT v.date, coalesce(s.r, 0.0) AS strategy_return, v.benchmark_return FROM v_daily v LEFT JOIN s USING (date))
+SELECT 'events' AS run_name, date, round(strategy_return, 6) AS strategy_return, round(benchmark_return, 6) AS benchmark_return,
+       round({_CUM.format(c='strategy_return')}, 6) AS strategy_cum, round({_CUM.format(c='benchmark_return')}, 6) AS benchmark_cum
+FROM d WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)""")
+def event_backtest_signal(spark, d):
+    """DOM13 with a user's signal (U1), which sizes the positions."""
+    out = an.event_backtest(
+        fx.v_trades(spark, d), fx.v_securities(spark, d), fx.v_prices(spark, d), fx.v_weights_bm(spark, d),
+        fx.v_calendar(spark, d), run_name=RUN, start=START, end=END, scheme=pf.PROPORTIONAL, signal_fn=_px_signal)
+    return round_doubles(out)
+
+
+_LIMIT = 0.005
+
+
+@query("user_portfolio", f"""
+SELECT * FROM (WITH RECURSIVE t AS (SELECT w.security, w.date, c.idx, w.weight AS target, row_number() OVER (PARTITION BY w.security ORDER BY c.idx) AS i
+                     FROM v_ls w JOIN v_calendar c ON c.date = w.date),
+h AS (SELECT security, date, i, 0.0::DOUBLE + greatest(-{_LIMIT}, least({_LIMIT}, target)) AS weight FROM t WHERE i = 1
+      UNION ALL
+      SELECT t.security, t.date, t.i, h.weight + greatest(-{_LIMIT}, least({_LIMIT}, t.target - h.weight))
+      FROM h JOIN t ON t.security = h.security AND t.i = h.i + 1)
+SELECT date, security, CASE WHEN round(weight, 6) = 0 THEN 0.0 ELSE round(weight, 6) END AS weight FROM h)""")
+def user_portfolio(spark, d):
+    """U3: weights that move by at most 0.005 a day."""
+    return round_doubles(pf.user_portfolio(ls_weights(spark, d), fx.v_calendar(spark, d), END, pf.turnover_limit(_LIMIT)))

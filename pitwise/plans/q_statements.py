@@ -97,11 +97,12 @@ def ltm_rolling(spark, d):
 @query("fx_convert", """
 SELECT f.id, f.statement, f.item_no, f.period_end, f.value AS value_local, x.rate,
        round(CASE WHEN f.item_no IN (44) THEN f.value ELSE f.value * x.rate END, 6) AS value
-FROM v_facts f ASOF LEFT JOIN v_fx x ON x.ccy_group = f.k % 3 AND x.rate_date <= f.period_end""")
+FROM v_facts f ASOF LEFT JOIN (
+  SELECT ccy_group, rate_date, arg_max(rate, version) AS rate FROM v_fx GROUP BY 1, 2) x ON x.ccy_group = f.k % 3 AND x.rate_date <= f.period_end""")
 def fx_convert(spark, d):
     facts = fx.v_facts(spark, d)
     ccy = fx.v_securities(spark, d).select("id", (F.col("k") % 3).alias("ccy_group"))
-    out = st.fx_convert(facts.drop("k"), fx.v_fx(spark, d), ccy)
+    out = st.fx_convert(facts.drop("k"), fx.v_fx(spark, d), ccy, version=("version",))
     return out.withColumn("value", F.round("value", 6))
 
 
