@@ -9,11 +9,13 @@ from pitwise.operators import calendar as cal
 from pitwise.operators import committee as cm
 from pitwise.operators import scoring as sc
 from pitwise.operators import training as tr
+from pitwise.operators.stages import Stage, run_stages
 from pitwise.plans import fixtures as fx
 from pitwise.plans.catalog import query
 from pitwise.plans.oracle_views import VIEWS
 from pitwise.plans.q_estimates import pairs
 from pitwise.plans.q_statements import matrix
+from pitwise.session import scratch_path
 
 _T = ["t", "t_1", "t_2", "t_3", "t_4", "t_5"]
 _LINE = ("replace(substr(item, 4), ' (Adj)', '') || ': ' || "
@@ -74,6 +76,34 @@ def staged_score(spark, d):
     return sc.staged_score(prompts(spark, d), sc.length_rule_scorer, keys=["as_of", "id"], stages=2, batch_size=16)
 
 
+# The five stages of the reference's analyst graph, with wording of our own.
+_FIVE = [
+    ("financial_report", "Analyse the statements of a company.\n{prompt}", "'Analyse the statements of a company.' || chr(10) || prompt"),
+    ("cleaned_headlines", "Keep what is about {id}.\n{headlines}", "'Keep what is about ' || id || '.' || chr(10) || coalesce(headlines, '')"),
+    ("news_report", "Sum up the news for the sector {sector}.\n{cleaned_headlines}",
+     "'Sum up the news for the sector ' || sector || '.' || chr(10) || coalesce(cleaned_headlines, '')"),
+    ("senior_report", "Sector {sector}\nStatements: {financial_report}\nNews: {news_report}",
+     "'Sector ' || sector || chr(10) || 'Statements: ' || coalesce(financial_report, '') || chr(10) || 'News: ' || coalesce(news_report, '')"),
+    ("final_output", "Put this into fields, with the headlines {cleaned_headlines}:\n{senior_report}",
+     "'Put this into fields, with the headlines ' || coalesce(cleaned_headlines, '') || ':' || chr(10) || coalesce(senior_report, '')"),
+]
+
+
+def _five_sql() -> str:
+    sql = "SELECT p.as_of, p.id, p.prompt, s.sector, s.name || ' reports' AS headlines FROM v_prompts p JOIN v_securities s ON s.id = p.id"
+    for name, _, expr in _FIVE:
+        sql = f"SELECT *, {_stub_sql(f'({expr})', name, name + '_error')} FROM ({sql})"
+    return f"SELECT as_of, id, {', '.join(f'{n}, {n}_error' for n, _, _ in _FIVE)} FROM ({sql})"
+
+
+@query("staged_score_five", _five_sql())
+def staged_score_five(spark, d):
+    """U8: five stages, of which the later ones read several earlier outputs."""
+    secs = fx.v_securities(spark, d).select("id", "sector", F.concat("name", F.lit(" reports")).alias("headlines"))
+    base = prompts(spark, d).join(secs, "id")
+    return run_stages(base, [Stage(n, t, sc.length_rule_scorer) for n, t, _ in _FIVE], scratch_path(spark, "stages"), keys=["as_of", "id"], batch_size=16)
+
+
 @query("resume_anti", """
 SELECT DISTINCT t.date, t.security FROM v_trades t
 WHERE NOT EXISTS (SELECT 1 FROM v_done d WHERE d.date = t.date AND d.security = t.security)""")

@@ -81,14 +81,18 @@ def write_training_set(df: DataFrame, path: str) -> None:
     df.select("prompt", "completion", "split").write.mode("overwrite").partitionBy("split").json(path)
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there: its file system has the writer's success marker."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def materialise(spark: SparkSession, path: str, build: Callable[[], DataFrame], *, force_refresh: bool = False) -> DataFrame:
     """SRC12: reuse a dataset written earlier, or build and write it
     (``force_refresh`` rebuilds).  The written table also cuts lineage.  It is
     there if its file system has the writer's success marker; errors of the
     file system, or of reading, are raised, never taken for absence."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    exists = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
-    if force_refresh or not exists:
+    if force_refresh or not written(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
