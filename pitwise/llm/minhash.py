@@ -19,7 +19,11 @@ words the whole sequence).  Two documents link when
    components are taken and a second star tries other leaders (by hash).
 4. Rest: buckets whose members are still in different components give their
    pairs across components, less those tried before, so no link between
-   components is lost; links within one would change nothing.
+   components is lost; links within one would change nothing.  A pair is
+   given in the first of its common bands only.  A shingle that only one of
+   these members has is in no common part, so the others bound what the
+   member can share with any: members and pairs below the bound go out,
+   exactly, and so do members that fall below it when those are gone.
 5. Each pair is tested by size and by one bit of each signature value (linked
    sets differ in more bits with probability 1e-12 at most), in step 4 within
    the join, and then confirmed once on the full sets of both whole texts.
@@ -220,6 +224,11 @@ def _differing(x: str, y: str) -> Column:
     return F.expr(" + ".join(f"bit_count({x}s{i} ^ {y}s{i})" for i in range(SKETCH)))
 
 
+def _first_common(key: str, x: str, y: str) -> Column:
+    """Whether key is the first band key that x and y share."""
+    return F.expr(f"get(filter(zip_with({x}, {y}, (p, q) -> if(p = q, p, null)), p -> p is not null), 0) = {key}")
+
+
 def _alike(pairs: DataFrame, heads: DataFrame, plan: Banding) -> DataFrame:
     """(x, y) of the pairs x, xa, y, ya whose sketches are alike."""
     bits = lambda side: heads.select(F.col("id").alias(side), F.col("a").alias(f"{side}a"), *(F.col(f"s{i}").alias(f"{side}s{i}") for i in range(SKETCH)))
@@ -234,6 +243,38 @@ def _confirmed(rows: DataFrame, pairs: DataFrame, n: int, percent: int, name: st
     return settle(sides.mapInArrow(_confirm(n, percent), T.StructType([pairs.schema["x"], pairs.schema["y"]])).distinct(), f"{name}-links")
 
 
+def _grams(n: int):
+    """Per text its id, its set's digest and its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
+                sets = list(sets_of(batch.column("text").to_pylist(), n))
+                a = [int(np.frombuffer(hashlib.md5(u.tobytes()).digest(), np.int64)[0]) for u in sets]
+                offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a, pa.int64()), grams], ["id", "a", "grams"])
+
+    return run
+
+
+def _shareable(rows: DataFrame, members: DataFrame, n: int, percent: int, rounds: int = 2) -> DataFrame:
+    """id, a, most: the members that can link, and how many of their shingles another member has."""
+    texts = _texts_of(rows, members.select(F.col("id").alias("x"), F.col("id").alias("y")))
+    schema = T.StructType([T.StructField("id", rows.schema["doc_id"].dataType), T.StructField("a", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+    # rows that repeat one id and text would hide what is theirs alone
+    sets = texts.select("doc_id", "text").distinct().mapInArrow(_grams(n), schema).join(members, ["id", "a"], "left_semi")
+    sets = settle(sets, "minhash-sets")
+    for _ in range(rounds):
+        owners = sets.select(F.struct("id", "a").alias("m"), F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("m").alias("m"), F.max("m").alias("o"))
+        alone = owners.filter("m = o").groupBy("m").agg(F.count("*").alias("alone")).select("m.id", "m.a", "alone")
+        most = (F.size("grams") - F.coalesce("alone", F.lit(0))).cast("int")
+        sets = settle(sets.drop("most").join(spread(alone), ["id", "a"], "left").withColumn("most", most).drop("alone").filter(
+            F.expr(f"100 * most >= {percent} * size(grams)")), "minhash-sets")
+    return sets.drop("grams")
+
+
 def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("x").alias("u"), F.col("y").alias("v"))
 
@@ -297,9 +338,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
         edges = edges.union(_edges(_confirmed(rows, pairs, n, percent, name)))
 
     rest = _open(met, edges, "minhash-rest")
-    rest = settle(rest.join(heads.drop("bands", "size"), ["id", "a"]), "minhash-rest")
+    able = _shareable(rows, settle(rest.select("id", "a").distinct(), "minhash-members"), n, percent)
+    rest = settle(rest.join(able, ["id", "a"]).join(heads.drop("size"), ["id", "a"]), "minhash-rest")
     l, r = rest.alias("l"), rest.alias("r")
-    across = l.join(r, F.expr("l.key = r.key and l.part <> r.part and l.id < r.id") & _alike_sizes("l.size", "r.size", percent) & (_differing("l.", "r.") <= plan.limit))
+    enough = F.expr(f"100 * least(l.most, r.most) >= {percent} * (l.size + r.size - least(l.most, r.most))")
+    across = l.join(r, F.expr("l.key = r.key and l.part <> r.part and l.id < r.id") & _alike_sizes("l.size", "r.size", percent) & enough & (
+        _differing("l.", "r.") <= plan.limit) & _first_common("l.key", "l.bands", "r.bands"))
     pairs = settle(across.select(F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"), "minhash-rest-pairs")
     edges = edges.union(_edges(_confirmed(rows, pairs, n, percent, "minhash-rest")))
 
