@@ -14,11 +14,18 @@ of bigrams, across lines too, that begin with one of the template's and are up
 to (200 - p) / p times as long as the template.  (A run that begins otherwise
 matches less well than without its beginning.)
 
+Licences whose notices differ in few words are told apart by ``required``
+bigrams, all of which a match of this licence must hold as far as the template
+does (version numbers, Lesser, Affero, the parts of Creative Commons names), and
+by ``absent`` ones, none of which it may hold.  So another version's notice is
+not taken for this one's.  A ``families`` entry names a family only, as the
+words that all BSD licences share, and comes after all other matches.
+
 Any match shares |B| * p / (200 - p) bigrams or more with its template, so a
 document is looked at further only for templates of which it holds as many.
 
-All licences that match are returned, each with its best match: units come
-before windows, then the highest coefficient, then the first unit.  The best
+All licences that match are returned, each with its best match: families
+come last, units before windows, then the highest coefficient, then the first unit.  The best
 match of a document is the first of these, then the first name.  All steps are
 DataFrame functions on a row; nothing is shuffled.  Null and empty texts have
 no units and no licence; units of one word have no bigrams; repeated rows are
@@ -35,26 +42,76 @@ from pyspark.sql import functions as F
 from pitwise.llm.tables import let
 
 # The wording of public licence notices.
+_BSD_START = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
 TEMPLATES = [
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", _BSD_START + _BSD_END),
+    ("BSD-3-Clause", _BSD_START + _BSD_THIRD + _BSD_END),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("MPL-1.1", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
 ]
+REQUIRED = {
+    "AGPL-3.0": ["affero general", "version 3"],
+    "Apache-2.0": ["apache license", "version 2"],
+    "BSD-2-Clause": ["bsd 2"],
+    "BSD-3-Clause": ["bsd 3", "3 neither"],
+    "CC-BY-4.0": ["attribution 4", "by 4"],
+    "CC-BY-NC-4.0": ["attribution noncommercial", "by nc", "nc 4", "noncommercial 4"],
+    "CC-BY-NC-ND-4.0": ["nc nd", "nd 4", "noderivatives 4", "noncommercial noderivatives"],
+    "CC-BY-NC-SA-4.0": ["nc sa", "noncommercial sharealike", "sa 4", "sharealike 4"],
+    "CC-BY-ND-4.0": ["attribution noderivatives", "by nd", "nd 4", "noderivatives 4"],
+    "CC-BY-SA-4.0": ["attribution sharealike", "by sa", "sa 4", "sharealike 4"],
+    "GPL-2.0": ["gnu general", "version 2"],
+    "GPL-3.0": ["gnu general", "version 3"],
+    "LGPL-2.1": ["2 1", "lesser general"],
+    "LGPL-3.0": ["lesser general", "version 3"],
+    "MIT": ["mit license"],
+    "MPL-1.1": ["1 1", "mozilla public"],
+    "MPL-2.0": ["2 0", "mozilla public"],
+}
+ABSENT = {"BSD-2-Clause": ["neither the"]}
+FAMILIES = ["BSD"]
 
 
 def _words(text: str) -> list[str]:
@@ -72,12 +129,22 @@ def bounds(size: int, percent: int) -> tuple[int, int]:
     return -(-size * percent // (200 - percent)), size * (200 - percent) // percent
 
 
+def marks(name: str, text: str) -> tuple[list[str], list[str]]:
+    """The bigrams that a match of this template must hold, and those it must not."""
+    grams = bigrams(text)
+    return [g for g in REQUIRED.get(name, []) if g in grams], ABSENT.get(name, [])
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
 def _template(name: str, text: str, percent: int) -> Column:
     """A template, the bounds of its matches' sizes, and the most bigrams of a window (repeated ones count)."""
-    grams = bigrams(text)
+    grams, (must, never) = bigrams(text), marks(name, text)
     least, most = bounds(len(grams), percent)
     return F.struct(
-        F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(least).alias("least"), F.lit(most).alias("most"),
+        F.lit(name).alias("name"), F.lit(int(name in FAMILIES)).alias("family"), _strings(must).alias("must"), _strings(never).alias("never"), _strings(grams).alias("grams"), F.lit(least).alias("least"), F.lit(most).alias("most"),
         F.lit(bounds(len(_words(text)) - 1, percent)[1]).alias("reach"))
 
 
@@ -90,14 +157,19 @@ def _dice(both: Column, size: Column, template: Column) -> Column:
 
 
 def _match(window: int, dice: Column, template: Column, unit: Column) -> Column:
-    return F.struct(F.lit(window).alias("window"), (-dice).alias("minus"), template["name"].alias("name"), unit.cast("long").alias("unit"))
+    return F.struct(template["family"].alias("family"), F.lit(window).alias("window"), (-dice).alias("minus"), template["name"].alias("name"), unit.cast("long").alias("unit"))
+
+
+def _marked(grams: Column, template: Column) -> Column:
+    """Whether grams hold all that the template requires and nothing it excludes."""
+    return (F.size(F.array_intersect(grams, template["must"])) == F.size(template["must"])) & ~F.arrays_overlap(grams, template["never"])
 
 
 def _of_unit(grams: Column, unit: Column, template: Column, percent: int) -> Column:
     """The match of a unit's set of bigrams, else null."""
     size = F.size(grams)
     found = let(F.size(F.array_intersect(grams, template["grams"])), lambda both: F.when(
-        _matches(both, size, template, percent), _match(0, _dice(both, size, template), template, unit)))
+        _matches(both, size, template, percent) & _marked(grams, template), _match(0, _dice(both, size, template), template, unit)))
     return F.when(size.between(template["least"], template["most"]), found)
 
 
@@ -111,10 +183,11 @@ def _of_windows(cells: Column, sizes: Column, template: Column, percent: int) ->
         def longer(acc: Column, mark: Column) -> Column:
             new = mark["prev"] < i
             size, both = acc["size"] + new.cast("int"), acc["both"] + (new & mark["hit"]).cast("int")
-            best = F.when(_matches(both, size, template, percent), F.greatest(acc["best"], _dice(both, size, template))).otherwise(acc["best"])
-            return F.struct(size.alias("size"), both.alias("both"), best.alias("best"))
+            must, never = acc["must"] + (new & mark["must"]).cast("int"), acc["never"] | mark["never"]
+            best = F.when(_matches(both, size, template, percent) & (must == F.size(template["must"])) & ~never, F.greatest(acc["best"], _dice(both, size, template))).otherwise(acc["best"])
+            return F.struct(size.alias("size"), both.alias("both"), must.alias("must"), never.alias("never"), best.alias("best"))
 
-        zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("both"), F.lit(0.0).alias("best"))
+        zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("both"), F.lit(0).alias("must"), F.lit(False).alias("never"), F.lit(0.0).alias("best"))
         return F.struct((-F.aggregate(F.slice(marks, i + 1, template["reach"]), zero, longer, lambda acc: acc["best"])).alias("minus"), i.alias("i"))
 
     def best_of(marks: Column, hits: Column) -> Column:
@@ -126,8 +199,9 @@ def _of_windows(cells: Column, sizes: Column, template: Column, percent: int) ->
         return F.aggregate(sizes, zero, lambda acc, n: F.struct(
             (acc["end"] + n).alias("end"), (acc["line"] + (acc["end"] + n <= i).cast("int")).alias("line")), lambda acc: acc["line"])
 
-    marks = F.transform(cells, lambda c: F.struct(c["prev"].alias("prev"), F.array_contains(template["grams"], c["gram"]).alias("hit")))
-    best = let(marks, lambda m: let(
+    known = F.transform(cells, lambda c: F.struct(
+        c["prev"].alias("prev"), *(F.array_contains(template[of], c["gram"]).alias(to) for of, to in (("grams", "hit"), ("must", "must"), ("never", "never")))))
+    best = let(known, lambda m: let(
         F.filter(F.transform(m, lambda x, i: F.when(x["hit"], i)), lambda i: i.isNotNull()), lambda hits: best_of(m, hits)))
     return let(best, lambda b: F.when(b.isNotNull(), _match(1, -b["minus"], template, line_of(b["i"]))))
 
@@ -157,7 +231,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent:
     rows = docs.select("doc_id", flat.alias("flat")).select("doc_id", "flat", F.split("flat", "\n").alias("lines"), let(words(F.translate("flat", "\n", " ")), pairs).alias("places"))
     # a column that lambdas use, or that is used more than once, gets a projection of its own, so that it is evaluated once
     rows = rows.select("doc_id", "flat", "lines", "places", F.array_intersect("places", all_grams).alias("common"))
-    near = F.when(F.size("common") >= least, F.filter(known, lambda t: F.size(F.array_intersect("common", t["grams"])) >= t["least"]))
+    near = F.when(F.size("common") >= least, F.filter(known, lambda t: (F.size(F.array_intersect("common", t["grams"])) >= t["least"]) & (
+        F.size(F.array_intersect("common", t["must"])) == F.size(t["must"]))))
     n_lines = F.size(F.filter("lines", lambda x: F.trim(x) != ""))
     rows = rows.select("doc_id", "flat", "lines", "places", n_lines.cast("long").alias("n_lines"), near.alias("near"))
 
