@@ -7,9 +7,12 @@ rule's; the longest rule that fits wins (of two equally long, an allow rule).
 
 Urls that no rule fits get the decision of their aliases: all canonical links
 (canonical may be one of several rel values) and meta refreshes of a page are
-edges between urls (without scheme and fragment), with character references
-such as &amp; decoded, and connected components over them are the sets of
-aliases.  A component with a url that a rule allows is allowed (explicit allow
+edges between urls, with character references such as &amp; decoded.  Tags in
+comments, scripts, styles, titles, text areas and templates are none; links are
+relative to the page's first base.  Two urls are one node if they differ only in
+scheme, fragment, an empty query, the scheme's own port, or dot segments
+(host, path and rule of a page are of its url as written).  The connected components of these edges are the sets
+of aliases.  A component with a url that a rule allows is allowed (explicit allow
 takes precedence), else one with a blocked url is blocked, else the default
 holds.  Urls that are only link targets take part with their own rules.
 
@@ -32,7 +35,8 @@ from pitwise.llm.tables import let, settle
 
 Rules = list[tuple[str, str]]  # (verdict, host + path), as ("block", "example.org/es/")
 
-TAG = r"""(?is)<(?:link|meta)(?=[\s/])(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+>"""
+UNREAD = r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style|title|textarea|template)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*+>|\z)"
+TAG = r"""(?is)<(?:link|meta|base)(?=[\s/])(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+>"""
 VALUE = r"""("[^"]*+"|'[^']*+'|[^\s>]*+)"""
 REFRESH = r"(?is)^\s*(?:[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?|[;,\s]*url\s*=\s*)(.*)$"
 PIECE = r"(?is)&(?:#x[0-9a-f]{1,12}|#[0-9]{1,12}|[a-z][a-z0-9]*+);|[^&]++|&"
@@ -52,10 +56,26 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _without_dots(path: Column) -> Column:
+    """path with its . and .. segments resolved."""
+
+    def step(kept: Column, segment: Column) -> Column:
+        return F.when(segment == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(segment == ".", kept).otherwise(
+            F.concat(kept, F.array(segment)))
+
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+    folder = F.when(path.rlike(r"/\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    kept = F.concat(F.aggregate(segments, F.array().cast("array<string>"), step), folder)
+    return F.when(path.rlike(r"^/(?:.*/)?\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def _node(url: Column) -> Column:
-    """host, path and query of an absolute url, else null."""
-    rest = F.regexp_extract(_after(url), r"^[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), rest))
+    """host, path and query of an absolute url, else null: without an empty
+    query, the scheme's own port, and dot segments."""
+    secure = url.rlike("(?i)^https://")
+    host = F.regexp_replace(host_of(url), F.when(secure, ":(?:443)?$").otherwise(":(?:80)?$"), F.lit(""))
+    query = F.regexp_extract(_after(url), r"^[^/?#]*[^?#]*(\?[^#]+)?", 1)
+    return F.when(host != "", F.concat(host, _without_dots(path_of(url)), query))
 
 
 def _absolute(link: Column, base: Column) -> Column:
@@ -64,9 +84,11 @@ def _absolute(link: Column, base: Column) -> Column:
     folder = F.regexp_extract(path_of(base), r"^(.*/)?", 0)
     return (
         F.when(link == "", None)
-        .when(F.instr(link, "://") > 0, link)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(scheme, F.lit("://"), authority, link))
+        .when(link.startswith("?"), F.concat(scheme, F.lit("://"), authority, path_of(base), link))
+        .when(link.startswith("#"), F.concat(F.regexp_extract(base, "(?s)^[^#]*", 0), link))
         .otherwise(F.concat(scheme, F.lit("://"), authority, F.when(folder == "", "/").otherwise(folder), link))
     )
 
@@ -99,7 +121,7 @@ def _attribute(tag: Column, name: str) -> Column:
     """The value of a tag's first attribute of this name, else ''; names within
     other names or values do not count."""
     others = rf"(?:[\s/]*+(?!{name}[\s=/>])[^\s=>/]++(?:\s*+=\s*+(?:{VALUE.replace('(', '(?:', 1)}))?+)*+"
-    return _unquoted(F.regexp_extract(tag, rf"(?is)^<(?:link|meta){others}[\s/]*+{name}\s*+=\s*+{VALUE}", 1))
+    return _unquoted(F.regexp_extract(tag, rf"(?is)^<(?:link|meta|base){others}[\s/]*+{name}\s*+=\s*+{VALUE}", 1))
 
 
 def _decoded(value: Column) -> Column:
@@ -122,15 +144,25 @@ def _link(tag: Column) -> Column:
     refresh = _attribute(tag, "http-equiv").rlike(r"(?i)^\s*refresh\s*$")
     target = let(F.regexp_extract(_decoded(_attribute(tag, "content")), REFRESH, 1), _unquoted)
     url = F.when(tag.rlike("(?i)^<link"), F.when(canonical, _decoded(_attribute(tag, "href")))).otherwise(F.when(refresh, target))
+    return _tidy(url)
+
+
+def _tidy(url: Column) -> Column:
+    """A url as written in a tag, without blanks around it and line ends within."""
     return F.replace(F.trim(F.translate(url, "\t\n\r\f", "")), F.lit(" "), F.lit("%20"))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(u, v): nodes joined by a page's canonical links and meta refreshes, all of them."""
     url = F.col("url").cast("string")
-    tags = pages.select(url.alias("url"), F.explode(F.regexp_extract_all("html", F.lit(TAG), 0)).alias("tag"))
-    found = tags.select("url", _link(F.col("tag")).alias("link")).filter("link <> ''")
-    return found.select(_node(F.col("url")).alias("u"), _node(_absolute(F.col("link"), F.col("url"))).alias("v")).filter("u <> v").distinct()
+    tags = pages.select(url.alias("url"), F.regexp_extract_all(F.regexp_replace(F.col("html").cast("string"), UNREAD, " "), F.lit(TAG), 0).alias("tags"))
+    tags = tags.filter(F.exists("tags", lambda t: t.rlike("(?i)canonical|refresh|&")))
+    bases = F.transform(F.filter("tags", lambda t: t.rlike("(?i)^<base")), lambda t: _tidy(_decoded(_attribute(t, "href"))))
+    base = F.get(F.filter(bases, lambda b: b != ""), F.lit(0))
+    rows = tags.select("url", "tags", base.alias("base")).select(
+        "url", F.coalesce(_absolute(F.col("base"), F.col("url")), "url").alias("base"), F.explode("tags").alias("tag"))
+    found = rows.select("url", "base", _link(F.col("tag")).alias("link")).filter("link <> ''")
+    return found.select(_node(F.col("url")).alias("u"), _node(_absolute(F.col("link"), F.col("base"))).alias("v")).filter("u <> v").distinct()
 
 
 def judge(pages: DataFrame, rules: Rules, default: str = "allow") -> DataFrame:
