@@ -3,13 +3,16 @@
 Words are ``[^\\x20\\x09-\\x0D]+``.  Word 1- and 2-grams are hashed to ``buckets``
 counts, once over all documents (the raw corpus) and once over the trusted
 ones (the target).  A document's ratio is the mean, over its n-grams, of
-log(target share / raw share) with add-one smoothing; it is kept if the base
-rules pass and the ratio is at least ``threshold``.  The threshold is fixed, so
-the same document and counts give the same verdict, without sampling.
+log(target share / raw share); it is kept if the base rules pass and the ratio
+is at least ``threshold``.  Raw shares are smoothed by one each; the target's
+are drawn towards the raw shares with a weight of ``prior`` words, so what a
+small target has not seen says little, and what a large one has not seen says
+much.  The threshold is fixed, so the same document and counts give the same
+verdict, without sampling.
 
 Counts: one pass that explodes n-grams and combines them before the shuffle,
 which is bounded by the buckets; the trusted flags join by doc_id (texts are
-shuffled, flags are the hash side).  Scores: one pass without a shuffle; the
+shuffled, flags are the hash side; a hot doc_id can be split).  Scores: one pass without a shuffle; the
 ratio table, of ``buckets`` doubles, is a scalar subquery.
 
 Rows: null and empty texts have no words, fail the base rules and have ratio
@@ -23,9 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.llm.tables import settle
+from pitwise.llm.tables import settle, spread
 
 BUCKETS = 1 << 16
+PRIOR = 4 * BUCKETS
 THRESHOLD = -0.15
 SYMBOLS = "[#*$%&|<>]"
 
@@ -88,27 +92,29 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     """(bucket, raw, target) over all documents and the trusted ones (a table of doc_id)."""
     flags = trusted.filter("doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = rows.join(flags.hint("shuffle_hash"), rows["doc_id"] == flags["_trusted"], "left")
+    rows = rows.join(spread(flags).hint("shuffle_hash"), rows["doc_id"] == flags["_trusted"], "left")
     rows = rows.select(F.col("_trusted").isNotNull().cast("long").alias("t"), words_of(F.col("text")).alias("words"))
     grams = rows.select("t", F.explode(_grams(F.col("words"), buckets)).alias("bucket"))
     return settle(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")), "gram-counts")
 
 
-def ratio_table(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def ratio_table(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """One row: an array with the log ratio of each bucket."""
     spark = counts.sparkSession
     sums = counts.select(F.sum("raw").alias("r"), F.sum("target").alias("t"))
-    log_share = lambda n, total: F.log(F.coalesce(n, F.lit(0)) + F.lit(1.0)) - F.log(F.coalesce(total, F.lit(0)) + F.lit(float(buckets)))
     filled = spark.range(buckets).join(counts, F.col("id") == F.col("bucket"), "left").select("id", "raw", "target")
     ordered = filled.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")))).alias("x"))
     both = ordered.select("x", sums.select("r").scalar().alias("r"), sums.select("t").scalar().alias("t"))
-    return both.select(F.transform("x", lambda x: log_share(x["target"], F.col("t")) - log_share(x["raw"], F.col("r"))).alias("ratios"))
+    raw_share = lambda x: (x["raw"] + 1.0) / (F.coalesce("r", F.lit(0)) + float(buckets))
+    target_share = lambda x: (x["target"] + prior * raw_share(x)) / (F.coalesce("t", F.lit(0)) + float(prior))
+    return both.select(F.transform("x", lambda x: F.log(target_share(x) / raw_share(x))).alias("ratios"))
 
 
-def judge_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, run: int = 8) -> DataFrame:
+def judge_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, run: int = 8,
+                  prior: float = PRIOR) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, ratio (mean log-likelihood ratio)."""
-    table = ratio_table(gram_counts(docs, trusted, buckets), buckets)
+    table = ratio_table(gram_counts(docs, trusted, buckets), buckets, prior)
     base = base_counts(docs, run)
     scored = base.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(_covered(F.col("again"), run), F.lit(0).cast("long")).alias("n_repeat_words"),
