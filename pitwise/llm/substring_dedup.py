@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitwise.llm.tables import keyed, same_row, settle
+from pitwise.llm.tables import keyed, same_row, settle, spread
 from pitwise.llm.tokens import Words, chunks, winnow
 
 GRAM = 8
@@ -130,16 +130,16 @@ def repeated_spans(docs: DataFrame, length: int = 35) -> DataFrame:
         seeds.groupBy("seed").agg(F.count("*").alias("n"), F.min("around").alias("x"), F.max("around").alias("y"))
         .filter("n > 1").select("seed", (F.col("x") != F.col("y")).alias("differ"))
     )
-    met = settle(seeds.join(often, "seed"), "repeat-seeds")
+    met = settle(seeds.join(spread(often), "seed"), "repeat-seeds")
     mixed = met.filter("differ")
     groups = mixed.groupBy("seed", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "s", "e")).alias("one"))
     whole = met.filter("not differ").select("doc_id", "th", "s", "e").union(
-        mixed.join(groups.filter("n > 1").select("seed", "around"), ["seed", "around"]).select("doc_id", "th", "s", "e"))
+        mixed.join(spread(groups.filter("n > 1").select("seed", "around")), ["seed", "around"]).select("doc_id", "th", "s", "e"))
     ones = groups.select("one.*").groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("at"))
     near = rows.join(ones.hint("shuffle_hash"), same_row(rows, ones)).select(rows["doc_id"], rows["th"], "text", "at")
     windows = near.mapInArrow(_windows(length), T.StructType([*key.fields, *longs("a", "b"), T.StructField("s", T.IntegerType())]))
     twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    single = windows.join(twice, ["a", "b"]).select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
+    single = windows.join(spread(twice), ["a", "b"]).select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
     return whole.union(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("at"))
 
 
