@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitwise.llm.tables import keyed
+from pitwise.llm.tables import bitmap, keyed
 from pitwise.llm.tokens import Words, chunks, winnow
 
 WINDOW, GRAM = 13, 5
@@ -125,18 +125,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, per_hit: int = 20) -> Da
         _item_windows, T.StructType([T.StructField("item_id", item_type), T.StructField("l", T.IntegerType()), *longs("a", "b", "seed")]))
     windows = items.filter("seed is null").select("l", "a", "b", "item_id").distinct()
     seeds = items.filter("seed is not null").select("seed").distinct()
-    # the bitmap's set bits, 2**BITS at most, and the lengths of short windows, 12 at most
-    seen = items.filter("seed is not null").select("l", F.col("seed").bitwiseAND((1 << BITS) - 1).cast("int").alias("bit")).distinct().toPandas()
-    short = sorted({int(x) for x in seen["l"] if x < WINDOW})
-    bits = seen["bit"].to_numpy(np.int64)
-    bitmap = np.zeros((1 << BITS) // 8, np.uint8)
-    np.bitwise_or.at(bitmap, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
+    # a bitmap of 2**BITS bits, and the lengths of short windows, 12 at most
+    short = sorted(r["l"] for r in items.filter(f"seed is not null and l < {WINDOW}").select("l").distinct().collect())
+    wanted = bitmap(items.select(F.col("seed").bitwiseAND((1 << BITS) - 1).alias("bit")), "bit", BITS)
 
     spot = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("l", T.IntegerType()), *longs("a", "b")])
     out = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), *longs("th", "n_words"),
         T.StructField("prints", T.ArrayType(T.StructType([*longs("seed"), T.StructField("at", T.ArrayType(spot))])))])
-    rows = keyed(docs).mapInArrow(_fingerprints(bitmap, short), out)
+    rows = keyed(docs).mapInArrow(_fingerprints(wanted, short), out)
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     # rows without a partner stay; their keys are spread by row number
     prints = rows.select("row", "doc_id", "th", "n_words", F.explode_outer("prints").alias("p")).select(

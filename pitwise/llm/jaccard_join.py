@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitwise.llm.components import connected_components
-from pitwise.llm.tables import settle, spread
+from pitwise.llm.tables import bitmap, settle, spread
 from pitwise.llm.tokens import Words, chunks
 
 BUCKETS = 1 << 18
@@ -167,14 +167,14 @@ def _verify(n: int, percent: int):
     return run
 
 
-def _chosen(bitmap: np.ndarray):
+def _chosen(wanted: np.ndarray):
     """Rows whose id may be wanted; the exact join follows."""
     mask = (1 << FILTER_BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("h").to_numpy() & mask
-            keep = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            keep = (wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
 
     return run
@@ -184,11 +184,9 @@ def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, text of the documents in pairs.  A bitmap of 2**24 bits keeps
     most other texts out of the shuffle; the semi-join is exact."""
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    bits = ids.select(F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
-    bitmap = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    np.bitwise_or.at(bitmap, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
+    wanted = bitmap(ids.select(F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1).alias("bit")), "bit", FILTER_BITS)
     rows = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"))
-    near = rows.mapInArrow(_chosen(bitmap), T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType())]))
+    near = rows.mapInArrow(_chosen(wanted), T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType())]))
     return near.join(ids, near["doc_id"] == ids["id"], "left_semi")
 
 
@@ -265,7 +263,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     rest = settle(placed.join(open_, "gram", "left_semi"), "jaccard-open")
     l, r = rest.alias("l"), rest.alias("r")
     across = l.join(r, F.expr(
-        f"l.gram = r.gram and l.part <> r.part and l.id < r.id and 100 * least(l.size, r.size) >= {percent} * greatest(l.size, r.size)")).select(
+        f"l.gram = r.gram and l.part <> r.part and l.id < r.id and 100 * least(l.size, r.size) >= {percent} * greatest(l.size, r.size)"
+        # the positional filter: a pair that links passes it at its first common n-gram
+        f" and {100 + percent} * least(l.size - l.pos, r.size - r.pos) >= {percent} * (l.size + r.size)")).select(
         F.col("l.id").alias("x"), F.col("r.id").alias("y"), F.col("l.a").alias("xa"), F.col("r.a").alias("ya"), F.col("l.size").alias("xs"), F.col("r.size").alias("ys"),
         F.col("l.pos").alias("xp"), F.col("r.pos").alias("yp"))
     left_over = _filtered(across, heads, percent).join(tried, ["x", "y"], "left_anti")
@@ -277,8 +277,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the least of
-    its component.  Rows without doc_id, and rows of one doc_id, stay."""
-    found = near_duplicates(docs, n, percent)
-    extra = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_extra_id")).distinct()
-    return docs.join(extra.hint("shuffle_hash"), docs["doc_id"] == extra["_extra_id"], "left_anti")
+    """One row of each group of near duplicates, with all its columns: that of
+    the least doc_id (nulls last, then the first in the table that is written
+    here).  Rows are compared one by one, by their texts alone, so copies go
+    whether their ids are null, repeated or different.  Rows without words are
+    near duplicates of nothing, and stay."""
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    # the number of a row is fixed by the written table
+    rows = settle(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-rows")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("r"), "component_id")
+    named = found.join(rows.select(F.col(row).alias("r"), F.col("doc_id").alias("id")), "r")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "r")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    extra = named.join(spread(first), "component_id").filter("r <> first.r").select(F.col("r").alias("_extra"))
+    return rows.join(spread(extra).hint("shuffle_hash"), rows[row] == extra["_extra"], "left_anti").drop(row)

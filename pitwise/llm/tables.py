@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +44,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
+
+
+def bitmap(numbers: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The set of numbers from 0 to 2**bits - 1 in a column, as a map of bits
+    (least bit of a byte first) that the tasks fill: 2**bits / 8 bytes at most
+    reach the driver, however many rows there are."""
+    at = F.col(column).cast("long") + 1  # blocks count from 1
+    rows = numbers.filter(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("set")).collect()
+    out = np.zeros(max(1, (1 << bits) // 8, 4096), np.uint8)
+    for row in rows:
+        out[(row["block"] - 1) * 4096:row["block"] * 4096] = np.frombuffer(row["set"], np.uint8)
+    return out
