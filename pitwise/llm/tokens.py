@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SEGMENT = 1 << 20
 NO_HASH = np.uint64(0xFFFFFFFFFFFFFFFF)
 
