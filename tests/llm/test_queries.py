@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from pitwise.llm import decontamination, jaccard_join, pii, queries
+from pitwise.llm import decontamination, jaccard_join, pii, quality_rules, queries
 from pitwise.llm.byte_bpe import Tokenizer
 from pitwise.llm.tables import settle, table
 from tests.conftest import SF_SMALL
@@ -112,6 +112,18 @@ def test_quality_query_keeps_labelled_documents(spark):
     assert sum(r.kept for r in good) >= 0.98 * len(good)
 
 
+def test_quality_rules_keep_clean_documents_left_out_of_the_target(spark):
+    """The target holds clean labels of two folds of three; those of the third stay as well, and labelled-bad ones go."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality")).collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    trusted = spark.createDataFrame([(i,) for i, q in labels.items() if q == 1 and fold(i) != 1], "doc_id long")
+    got = {r.doc_id: r for r in quality_rules.judge_quality(table(spark, sf, "documents"), trusted).collect()}
+    share = lambda rows: sum(r.kept for r in rows) / len(rows)
+    passed = lambda q, left: [got[i] for i, v in labels.items() if v == q and (left is None or (fold(i) == 1) == left) and i in got and not got[i].base_failed]
+    assert share(passed(1, True)) >= 0.97 and share(passed(1, False)) >= 0.99 and share(passed(0, None)) <= 0.1
+
+
 def test_pipeline_stages_take_effect(spark, encoding):
     docs = table(spark, SF_SMALL, "documents")
     bench = [(r.item_id, r.text) for r in table(spark, SF_SMALL, "benchmark").collect()]
