@@ -52,6 +52,34 @@ def daily_returns(prices: DataFrame, key: str = "id", px: str = "px") -> DataFra
     return prices.select(key, "date", r.alias("ret")).where(F.col("ret").isNotNull())
 
 
+def total_return_prices(prices: DataFrame, actions: DataFrame, key: str = "id", px: str = "px") -> DataFrame:
+    """Prices ``(id, date, px)`` adjusted backwards for corporate actions
+    ``(id, ex_date, dividend, split)``, so that their returns are total returns.
+
+    An action scales all prices before its ex-date by
+    ``(1 - dividend / last price before it) / split`` (split: new shares for one
+    old; dividend per old share).  Of several actions of one day dividends add
+    up and splits multiply.  A null or non-positive split is none, and so is a
+    dividend that is null, not positive, not below that price, or before the
+    first one.  Actions without prices give no rows; null prices stay null.
+    The factors multiply as a running sum of logarithms over a security's own
+    days, newest first.  Adjusted prices know later actions: a signal must be
+    built on the prices as they were."""
+    split = F.when(F.col("split") > 0, F.log("split")).otherwise(0.0)
+    dividend = F.when(F.col("dividend") > 0, F.col("dividend")).otherwise(0.0)
+    a = actions.groupBy(key, F.col("ex_date").alias("date")).agg(F.sum(split).alias("__split"), F.sum(dividend).alias("__div"))
+    # an action comes before the prices of its day
+    days = prices.select(key, "date", px, F.lit(1).alias("__kind")).unionByName(
+        a.select(key, "date", F.lit(0).alias("__kind"), "__split", "__div"), allowMissingColumns=True)
+    own = Window.partitionBy(key).orderBy("date", "__kind", px)
+    last = F.last(px, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    paid = F.when(F.col("__div") < F.col("__last"), F.log1p(-F.col("__div") / F.col("__last"))).otherwise(0.0)
+    factor = F.when(F.col("__kind") == 0, paid - F.col("__split"))
+    later = F.sum("__factor").over(own.rowsBetween(1, Window.unboundedFollowing))
+    d = days.withColumn("__last", last).withColumn("__factor", factor).withColumn("__later", later)
+    return d.where(F.col("__kind") == 1).select(key, "date", (F.col(px) * F.exp(F.coalesce("__later", F.lit(0.0)))).alias(px))
+
+
 def weighted_return(weights: DataFrame, returns: DataFrame, name: str, *, key: str = "security", ret_key: str = "id") -> DataFrame:
     """JN13: ``sum(w * r)`` per date (missing return = 0)."""
     r = returns.select(F.col(ret_key).alias(key), "date", "ret")
@@ -259,6 +287,7 @@ def event_backtest(
     scheme=pf.EQUAL,
     signal_fn: Callable[[DataFrame], DataFrame] | None = None,
     portfolio_fn: pf.PortfolioFn | None = None,
+    actions: DataFrame | None = None,
 ) -> DataFrame:
     """DOM13: trades -> FIGI check -> long/short weights -> rebalance -> lag ->
     daily strategy and benchmark returns -> cumulative returns.
@@ -271,7 +300,10 @@ def event_backtest(
     ``(security, date, signal[, published])``, which ``checked_signal`` checks
     within the plan; the signal sizes the positions of ``scheme``.
     ``portfolio_fn`` (U3) turns each security's target weights into the weights
-    held, day by day (``portfolio.user_portfolio``)."""
+    held, day by day (``portfolio.user_portfolio``).
+    With ``actions`` (dividends and splits, ``total_return_prices``) strategy
+    and benchmark earn total returns; signals still see the prices as they
+    were."""
     priced = prices.select(F.col("id").alias("security")).distinct()
     t = pf.map_to_figi(trades, securities).join(priced, "security", "left_semi")
     px = forward_fill(prices, calendar, end, "px")
@@ -280,7 +312,7 @@ def event_backtest(
     w = pf.rebalance_hold(w, calendar, rebalance_freq, rebalance_dates=trades.select("date") if use_trading_dts else None)
     if portfolio_fn is not None:
         w = pf.user_portfolio(w, calendar, end, portfolio_fn)
-    rets = daily_returns(px)
+    rets = daily_returns(px if actions is None else forward_fill(total_return_prices(prices, actions), calendar, end, "px"))
     daily = portfolio_returns(w, bench_weights.withColumnRenamed("id", "security").withColumnRenamed("w", "weight"),
                               rets, calendar, lag=implementation_lag, start=start, end=end)
     daily = daily.withColumn("run_name", F.lit(run_name))

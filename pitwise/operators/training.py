@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pitwise.functions.numeric import round_half_up
 from pitwise.functions.text import text_before
+from pitwise.operators import statements as st
+from pitwise.sizing import broadcast_bounded
 
 # Fixed values of the reference's notebook: record cap, split share, the
 # marker the prompt is cut at and the cue appended after the cut.
@@ -29,6 +31,17 @@ def sample_records(records: DataFrame, *, n: int, seed: str = "42", date_col: st
     return records.orderBy(seeded_order(date_col, seed), F.col(date_col), *[F.col(c) for c in tie]).limit(n)
 
 
+def sampled_statements(matrix: DataFrame, *, n: int = MAX_RECORDS, seed: str = "42") -> DataFrame:
+    """SRT7 before DOM14: the rows of a statement matrix that belong to the
+    first ``n`` records of the seeded order, so that no more than ``n`` prompts
+    are rendered.  The records are the (as_of, id) that have a prompt (an item
+    that is not all zero), and the order is that of ``sample_records``; their
+    keys, ``n`` at most, are broadcast."""
+    keys = st.drop_all_zero_items(matrix).select(F.col("as_of").alias("date"), F.col("id").alias("security")).distinct()
+    chosen = sample_records(keys, n=n, seed=seed).select(F.col("date").alias("as_of"), F.col("security").alias("id"))
+    return matrix.join(broadcast_bounded(chosen), ["as_of", "id"], "left_semi")
+
+
 def hash_bucket(*cols: str) -> Column:
     """0..255 from the first two hex digits of md5 of the key (engine independent)."""
     m = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))

@@ -241,6 +241,14 @@ def v_prices(spark: SparkSession, d: str) -> DataFrame:
         r4(100 + F.avg("value")).alias("px"))
 
 
+def v_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Corporate actions, one row for each day with a price: a hundredth is paid
+    on the 10th and 20th, two shares for one on the 15th, nothing otherwise."""
+    p = v_prices(spark, d)
+    return p.select("id", F.col("date").alias("ex_date"), F.when(F.dayofmonth("date").isin(10, 20), r4(F.col("px") / 100)).otherwise(0.0).alias("dividend"),
+                    F.when(F.dayofmonth("date") == 15, 2.0).otherwise(1.0).alias("split"))
+
+
 def v_stock_prices(spark: SparkSession, d: str) -> DataFrame:
     """Daily prices over the years of the reports, from all orders, for both listings of a company."""
     o = table(spark, d, "orders")

@@ -117,6 +117,18 @@ VIEWS["v_prices"] = f"""
 SELECT {SEC.format(k=UKEY)} AS id, CAST(ts AS DATE) AS date, {r4('100 + avg(value)')} AS px
 FROM events GROUP BY 1, 2"""
 
+VIEWS["v_actions"] = f"""
+SELECT id, date AS ex_date, CASE WHEN day(date) IN (10, 20) THEN {r4('px / 100')} ELSE 0.0 END AS dividend,
+       CASE WHEN day(date) = 15 THEN 2.0 ELSE 1.0 END AS split
+FROM v_prices"""
+
+VIEWS["v_total_px"] = """
+SELECT p.id, p.date, p.px * coalesce(product(f.factor), 1.0) AS px
+FROM v_prices p LEFT JOIN (
+  SELECT a.id, a.ex_date, CASE WHEN a.dividend < b.px THEN 1 - a.dividend / b.px ELSE 1.0 END / a.split AS factor
+  FROM v_actions a ASOF LEFT JOIN v_prices b ON a.id = b.id AND a.ex_date > b.date) f ON f.id = p.id AND f.ex_date > p.date
+GROUP BY p.id, p.date, p.px"""
+
 VIEWS["v_stock_prices"] = f"""
 SELECT 'T' || CAST(k AS VARCHAR) || ' ' || listing || ' Equity' AS id, date, px
 FROM (SELECT UNNEST(['UN', 'UW']) AS listing),

@@ -129,6 +129,14 @@ def beta_ffill(spark, d):
     return an.weekly_to_daily(b, fx.v_calendar(spark, d), END, "beta")
 
 
+@query("total_return", """
+SELECT id, date, round(px, 4) AS px, round(px / lag(px) OVER (PARTITION BY id ORDER BY date) - 1, 6) AS ret FROM v_total_px""")
+def total_return(spark, d):
+    px = an.total_return_prices(fx.v_prices(spark, d), fx.v_actions(spark, d))
+    out = px.join(an.daily_returns(px), ["id", "date"], "left")
+    return out.select("id", "date", F.round("px", 4).alias("px"), F.round("ret", 6).alias("ret"))
+
+
 @query("daily_return", "SELECT id, date, round(ret, 6) AS ret FROM v_rets")
 def daily_return(spark, d):
     return round_doubles(returns(spark, d))

@@ -172,7 +172,8 @@ SELECT date, security, split_part(prompt, 'Balance Sheet:', 1) || chr(10) || 'Th
 FROM ({_SAMPLE}) s LEFT JOIN v_pairs e USING (security, date)""")
 def training_set(spark, d):
     univ = cal.universe_minus(fx.v_universe(spark, d), fx.v_universe_b(spark, d), "id")
-    p = cal.keep_universe(prompts(spark, d), univ, "id")
+    m = tr.sampled_statements(cal.keep_universe(matrix(spark, d), univ, "id"), seed="42")
+    p = sc.prompt_table(m, fx.v_securities(spark, d), prices=fx.v_stock_prices(spark, d))
     return tr.training_set(p, pairs(spark, d), seed="42")
 
 
