@@ -75,7 +75,7 @@ def _node(url: Column) -> Column:
     secure = url.rlike("(?i)^https://")
     host = F.regexp_replace(host_of(url), F.when(secure, ":(?:443)?$").otherwise(":(?:80)?$"), F.lit(""))
     query = F.regexp_extract(_after(url), r"^[^/?#]*[^?#]*(\?[^#]+)?", 1)
-    return F.when(host != "", F.concat(host, _without_dots(path_of(url)), query))
+    return F.when(host != "", F.concat(host, let(path_of(url), _without_dots), query))
 
 
 def _absolute(link: Column, base: Column) -> Column:
@@ -162,7 +162,9 @@ def link_edges(pages: DataFrame) -> DataFrame:
     rows = tags.select("url", "tags", base.alias("base")).select(
         "url", F.coalesce(_absolute(F.col("base"), F.col("url")), "url").alias("base"), F.explode("tags").alias("tag"))
     found = rows.select("url", "base", _link(F.col("tag")).alias("link")).filter("link <> ''")
-    return found.select(_node(F.col("url")).alias("u"), _node(_absolute(F.col("link"), F.col("base"))).alias("v")).filter("u <> v").distinct()
+    # a column of its own, so that it is evaluated once
+    found = found.select("url", _absolute(F.col("link"), F.col("base")).alias("target"))
+    return found.select(_node(F.col("url")).alias("u"), _node(F.col("target")).alias("v")).filter("u <> v").distinct()
 
 
 def judge(pages: DataFrame, rules: Rules, default: str = "allow") -> DataFrame:
