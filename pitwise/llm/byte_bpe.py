@@ -5,39 +5,54 @@ the tiktoken library does: a piece that is a token is that token, else its
 bytes are merged, the pair of least rank (the leftmost, if tied) first, until
 no pair is a token.
 
+- Texts are cut in Arrow tasks.  The distinct pieces of the corpus are counted
+  there, a task's first, and the ``bound`` most frequent are folded once.
 - The merge is a fold over a piece's bytes.  Its state is the starts of the
   parts and the ranks of neighbouring parts, with a rank of nothing at each
-  end; a step merges one pair and looks up the two new neighbours.  Bytes are held as a string of code points 0-255.
+  end; a step merges one pair and looks up the two new neighbours.  Bytes are
+  held as a string of code points 0-255.
 - Ranks are a literal map, dealt by hash to an array of 2**16 small maps, since
   Spark searches a map from its start.  It enters the plan as a scalar
   subquery over one row.
-- Distinct words: all pieces of the corpus are counted, and the ``bound`` most
-  frequent are folded once, to a table of the same form (a bounded scalar
-  subquery).  Texts take their pieces' ids from it, and fold the rest in
-  place.  So no text, and no position, is shuffled, and nothing unbounded is
+- The folded words (at most ``bound``, each of at most ``FOLD`` bytes) are
+  broadcast.  A text's tasks take its pieces' ids from them and hand on, in
+  their places, the pieces that are not among them, which are folded there.
+  So no text, and no position, is shuffled, and nothing unbounded is
   broadcast; a piece's ids are the same either way.
+- A fold of n bytes takes n**2 steps.  Pieces of over ``FOLD`` bytes are merged
+  in the Arrow tasks instead, by the same rule over a heap of pairs: n log n.
 - Decoding looks the ids up in an array of the tokens' bytes and concatenates.
 
 Rows: null and empty texts have no tokens (both digests of nothing); repeated
-rows are encoded one by one; only doc_id and text are read.  Java's regular
-expressions know Unicode 13: pieces with letters or digits of later versions
-may be cut otherwise than by the library.  A piece of n bytes takes n**2 steps
-at worst, so single words or runs of blanks of over 100,000 bytes are slow.
+rows are encoded one by one; only doc_id and text are read.  A piece of n bytes
+needs some 60 n bytes of memory while it is merged, a text some 12 bytes for
+each of its own.
 """
 
 from __future__ import annotations
 
 import base64
-
+import heapq
+from array import array
+from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitwise.llm.tables import let, settle
+from pitwise.llm.tokens import chunks
 
 BOUND = 1 << 20
 BUCKETS = 1 << 16
-WORD_BUCKETS = 1 << 18  # at BOUND words, four to a map
 NONE = 1 << 30
+FOLD = 64        # bytes; longer pieces go through a heap
+LUMP = 1 << 16   # pieces of a text held at once
+COUNTED = 1 << 17  # distinct pieces a task counts before it hands them on
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -45,20 +60,20 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in f if line.strip())]
 
 
-def _bucket(key: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def _buckets(entries: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row with an array of so many maps from entries (key, value)."""
+def _buckets(entries: DataFrame) -> DataFrame:
+    """One row with an array of BUCKETS maps from entries (key, value)."""
     spark = entries.sparkSession
-    lists = entries.groupBy(_bucket(F.col("key"), buckets).alias("b")).agg(F.collect_list(F.struct("key", "value")).alias("m"))
-    filled = spark.range(buckets).join(lists, F.col("id") == F.col("b"), "left").select("id", "m")
+    lists = entries.groupBy(_bucket(F.col("key")).alias("b")).agg(F.collect_list(F.struct("key", "value")).alias("m"))
+    filled = spark.range(BUCKETS).join(lists, F.col("id") == F.col("b"), "left").select("id", "m")
     return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda p: F.map_from_entries(p["m"])).alias("maps"))
 
 
-def _find(maps: Column, key: Column, buckets: int = BUCKETS) -> Column:
-    return F.try_element_at(F.get(maps, _bucket(key, buckets)), key)
+def _find(maps: Column, key: Column) -> Column:
+    return F.try_element_at(F.get(maps, _bucket(key)), key)
 
 
 def _as_bytes(piece: Column) -> Column:
@@ -96,20 +111,81 @@ def _fold(data: Column, first: Column, left: Column, right: Column) -> Column:
     return F.when(F.length(data) > 1, folded).otherwise(F.array(data))
 
 
+def heap_merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The tokens of a piece's bytes by a heap of the pairs that are tokens.
+    An entry holds as long as the pair at its start still has its rank."""
+    n = len(data)
+    if data in ranks:
+        return [ranks[data]]
+    after, before, rank = array("q", range(1, n + 2)), array("q", range(-1, n)), array("q", [-1]) * n
+    heap: list[int] = []
+
+    def enter(i: int) -> None:
+        j = after[i]
+        rank[i] = ranks.get(data[i:after[j]], -1) if j < n else -1
+        if rank[i] >= 0:
+            heapq.heappush(heap, rank[i] * (n + 1) + i)
+
+    for i in range(n - 1):
+        enter(i)
+    while heap:
+        r, i = divmod(heapq.heappop(heap), n + 1)
+        if rank[i] != r:
+            continue
+        j = after[i]
+        rank[j] = -1
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        enter(i)
+        if i > 0:
+            enter(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[data[i:after[i]]])
+        i = after[i]
+    return out
+
+
+def _lumps(cut: regex.Pattern, text: str | None) -> Iterator[list[str]]:
+    """The pieces of a text, LUMP at once."""
+    found = (m[0] for m in cut.finditer(text or ""))
+    while lump := list(islice(found, LUMP)):
+        yield lump
+
+
+class Words:
+    """Ids, joined by commas, of the folded words; read once by each worker."""
+
+    def __init__(self, folded: pa.Table):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, folded.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(folded)
+        self._data, self._ids = sink.getvalue().to_pybytes(), None
+
+    def __getstate__(self) -> dict:
+        return {"_data": self._data, "_ids": None}
+
+    def ids(self) -> dict[str, str]:
+        if self._ids is None:
+            self._ids = {}
+            for batch in pa.ipc.open_stream(self._data):
+                self._ids.update(zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), strict=True))
+        return self._ids
+
+
 class Tokenizer:
     """Rank and byte tables of one file of ranks, as one-row tables."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         known = read_ranks(path)
-        self.pattern = "(?U)" + pattern  # white space as in Unicode
+        self.pattern = pattern
+        self.known = spark.sparkContext.broadcast(dict(known))
         rows = spark.createDataFrame([(t.decode("latin-1"), t.hex(), r) for t, r in known], "key string, hex string, value int")
         self.ranks = settle(_buckets(rows.select("key", "value")), "bpe-ranks")
         places = spark.range(max(r for _, r in known) + 1).join(rows, F.col("id") == F.col("value"), "left")
         self.tokens = settle(places.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("hex", F.lit("")).alias("hex")))), lambda x: x["hex"]).alias("hexes")), "bpe-tokens")
 
-    def pieces(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
-
     def _tables(self) -> list[Column]:
         return [self.ranks.scalar().alias(f"_r{i}") for i in range(5)]
 
@@ -120,10 +196,32 @@ class Tokenizer:
             _find(F.col("_r0"), data).cast("string"),
             F.array_join(F.transform(_fold(data, F.col("_r1"), F.col("_r2"), F.col("_r3")), lambda x: _find(F.col("_r4"), x).cast("string")), ",")))
 
-    def words(self, docs: DataFrame, bound: int) -> DataFrame:
-        """One row: the map table of ids of the most frequent pieces, ``bound`` at most."""
-        pieces = docs.select(F.explode(self.pieces(F.col("text").cast("string"))).alias("key"))
-        often = settle(pieces.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bpe-words")
+    def counted(self, docs: DataFrame) -> DataFrame:
+        """key, n: the pieces of all texts, of at most FOLD bytes, and their counts."""
+        pattern = self.pattern
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cut, seen = regex.compile(pattern), Counter()
+
+            def flush() -> pa.RecordBatch:
+                short = [(k, n) for k, n in seen.items() if len(k) <= FOLD and len(k.encode()) <= FOLD]
+                seen.clear()
+                return pa.RecordBatch.from_arrays([pa.array([k for k, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["key", "n"])
+
+            for batch in batches:
+                for text in batch.column(0):
+                    for lump in _lumps(cut, text.as_py()):
+                        seen.update(lump)
+                        if len(seen) >= COUNTED:
+                            yield flush()
+            yield flush()
+
+        pieces = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key string, n long")
+        return pieces.groupBy("key").agg(F.sum("n").alias("n"))
+
+    def words(self, docs: DataFrame, bound: int) -> Words:
+        """The most frequent pieces, ``bound`` at most, and their ids."""
+        often = settle(self.counted(docs).filter("n > 1"), "bpe-words")
         # frequency classes of a sixteenth of a doubling: at most some thousand rows
         steps = often.groupBy(F.floor(16 * F.log2("n")).alias("class")).agg(F.count("*").alias("words")).orderBy(F.col("class").desc()).collect()
         least, total = None, 0
@@ -132,15 +230,59 @@ class Tokenizer:
             if total > bound:
                 break
             least = row["class"]
-        chosen = often.filter(F.floor(16 * F.log2("n")) >= least) if least is not None else often.limit(0)
+        if least is None:
+            return Words(pa.table({"key": pa.array([], pa.string()), "value": pa.array([], pa.string())}))
+        chosen = often.filter(F.floor(16 * F.log2("n")) >= least)
         encoded = chosen.repartition("key").select("key", *self._tables()).select("key", self._ids(F.col("key")).alias("value"))
-        return settle(_buckets(encoded, WORD_BUCKETS), "bpe-table")
+        return Words(settle(encoded, "bpe-table").toArrow())
+
+    def looked_up(self, docs: DataFrame, words: Words) -> DataFrame:
+        """doc_id, parts: the ids of a text (joined by commas) up to a piece
+        that is to be folded, and that piece, if any."""
+        pattern, known, table = self.pattern, self.known, docs.sparkSession.sparkContext.broadcast(words)
+
+        def parts_of(text: str | None, cut: regex.Pattern, ids: dict[str, str]) -> list[dict]:
+            parts: list[dict] = []
+            ready: list[str] = []
+            for lump in _lumps(cut, text):
+                found = list(map(ids.get, lump))
+                if None in found:
+                    for i, x in enumerate(found):
+                        if x is not None:
+                            continue
+                        data = lump[i].encode()
+                        if len(data) > FOLD:
+                            found[i] = ",".join(map(str, heap_merge(data, known.value)))
+                    lo = 0
+                    for i, x in enumerate(found):
+                        if x is None:
+                            ready.append(",".join(found[lo:i]))
+                            parts.append({"ids": ",".join(filter(None, ready)) or None, "rest": lump[i]})
+                            ready, lo = [], i + 1
+                    found = found[lo:]
+                ready.append(",".join(found))
+            last = ",".join(filter(None, ready))
+            return [*parts, {"ids": last, "rest": None}] if last else parts
+
+        part = pa.list_(pa.struct([("ids", pa.string()), ("rest", pa.string())]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cut = regex.compile(pattern)
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                for lo, hi in chunks(texts):
+                    parts = [parts_of(t, cut, table.value.ids()) for t in texts[lo:hi]]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(parts, part)], ["doc_id", "parts"])
+
+        schema = T.StructType([
+            T.StructField("doc_id", docs.schema["doc_id"].dataType),
+            T.StructField("parts", T.ArrayType(T.StructType([T.StructField("ids", T.StringType()), T.StructField("rest", T.StringType())])))])
+        return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
     def encode(self, docs: DataFrame, bound: int = BOUND) -> DataFrame:
         """Per row of docs: doc_id, ids (decimal, joined by commas), n_tokens."""
-        words = self.words(docs, bound)
-        rows = docs.select("doc_id", self.pieces(F.col("text").cast("string")).alias("pieces"), words.scalar().alias("_words"), *self._tables())
-        ids = F.transform("pieces", lambda p: F.coalesce(_find(F.col("_words"), p, WORD_BUCKETS), self._ids(p)))
+        rows = self.looked_up(docs, self.words(docs, bound)).select("*", *self._tables())
+        ids = F.transform("parts", lambda p: F.concat_ws(",", p["ids"], F.when(p["rest"].isNotNull(), self._ids(p["rest"]))))
         rows = rows.select("doc_id", F.array_join(ids, ",").alias("ids"))
         n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.replace("ids", F.lit(","), F.lit(""))) + 1)
         return rows.select("doc_id", "ids", n.cast("long").alias("n_tokens"))

@@ -3,17 +3,19 @@ tiktoken library or plain versions; and the pipeline, stage by stage."""
 
 import base64
 import hashlib
+import random
 import zlib
 
 import duckdb
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from pitwise.llm import decontamination, jaccard_join, pii, quality_rules, queries
+from pitwise.llm import byte_bpe, decontamination, jaccard_join, pii, quality_rules, queries
 from pitwise.llm.byte_bpe import Tokenizer
 from pitwise.llm.tables import settle, table
 from tests.conftest import SF_SMALL
@@ -92,6 +94,38 @@ def test_bpe_of_odd_texts(spark, docs, encoding, bound):
     assert t.encode(docs([]), bound).count() == 0
 
 
+def test_heap_merge_equals_the_library(encoding):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = dict(byte_bpe.read_ranks(path))
+    rng = random.Random(4)
+    for n, letters in ((1, "a"), (2, "ab"), (65, "x"), (300, "ab"), (3000, "etaoinshr"), (700, "é漢a"), (20_000, "abcdefghijklmnopqrstuvwxyz")):
+        piece = "".join(rng.choice(letters) for _ in range(n))
+        assert byte_bpe.heap_merge(piece.encode(), ranks) == encoding.encode_ordinary(piece)
+
+
+def test_bpe_of_long_pieces(spark, docs, encoding):
+    """Pieces about the length at which the fold gives way to the heap, in
+    lumps of few pieces, and one run of 100,000 letters."""
+    rng = random.Random(8)
+    rows = [(n, " ".join("".join(rng.choice("aeionst") for _ in range(n)) for _ in range(3)) + " the end") for n in (62, 63, 64, 65, 66)]
+    rows += [(1, "é" * 33 + " " + "漢" * 22), (2, "".join(rng.choice("aeionst") for _ in range(100_000)))]
+    t = Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = {i: ",".join(map(str, ids_of(encoding, x))) for i, x in rows}
+    for bound in (0, 100):
+        assert {r.doc_id: r.ids for r in t.encode(docs(rows), bound).collect()} == want
+
+
+def test_bpe_counts_every_piece_once(spark, docs, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LUMP", 3)
+    texts_of = ["a b c a a d", "a b", None, "", "x" * 65]
+    cut = regex.compile(public_tokenizers.PATTERN)
+    assert [p for lump in byte_bpe._lumps(cut, texts_of[0]) for p in lump] == cut.findall(texts_of[0])
+    assert list(byte_bpe._lumps(cut, None)) == []
+    t = Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = {r["key"]: r["n"] for r in t.counted(docs(list(enumerate(texts_of)))).collect()}
+    assert got == {"a": 2, " a": 2, " b": 2, " c": 1, " d": 1}
+
+
 def test_classifier_query_on_its_held_out_fold(spark):
     got = queries.op1_quality_classifier(spark, SF_SMALL)
     labels = table(spark, SF_SMALL, "labels").select("doc_id", "quality")
