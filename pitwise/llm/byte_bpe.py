@@ -5,17 +5,18 @@ the tiktoken library does: a piece that is a token is that token, else its
 bytes are merged, the pair of least rank (the leftmost, if tied) first, until
 no pair is a token.
 
-- Texts are cut in Arrow tasks.  The distinct pieces of the corpus are counted
-  there, a task's first, and the ``bound`` most frequent are folded once.
-- The merge is a fold over a piece's bytes.  Its state is the starts of the
-  parts and the ranks of neighbouring parts, with a rank of nothing at each
-  end; a step merges one pair and looks up the two new neighbours.  Bytes are
-  held as a string of code points 0-255.
-- Ranks are a literal map, dealt by hash to an array of 2**16 small maps, since
-  Spark searches a map from its start.  It enters the plan as a scalar
-  subquery over one row.
+- The distinct pieces of the corpus are counted, and the ``bound`` most
+  frequent are folded once.  They are cut by Java's regular expressions, whose
+  Unicode is older; a piece that the texts do not have is only never used.
+- The merge is a fold over a piece's bytes.  Its state is the ids of the parts
+  and the ranks of neighbouring parts, with a mark of nothing at each end; a
+  step merges one pair, whose rank is the new id, and looks up the two new
+  neighbours.
+- Ranks are a literal map from pairs of ids, one entry for each way to cut a
+  token into two, dealt to an array of small maps, since Spark searches a map
+  from its start.  It enters the plan as a scalar subquery over one row.
 - The folded words (at most ``bound``, each of at most ``FOLD`` bytes) are
-  broadcast.  A text's tasks take its pieces' ids from them and hand on, in
+  broadcast.  Texts are cut in Arrow tasks, which take their pieces' ids from them and hand on, in
   their places, the pieces that are not among them, which are folded there.
   So no text, and no position, is shuffled, and nothing unbounded is
   broadcast; a piece's ids are the same either way.
@@ -34,7 +35,6 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -48,11 +48,10 @@ from pitwise.llm.tables import let, settle
 from pitwise.llm.tokens import chunks
 
 BOUND = 1 << 20
-BUCKETS = 1 << 16
+BUCKETS = (1 << 17) - 1  # a prime
 NONE = 1 << 30
 FOLD = 64        # bytes; longer pieces go through a heap
 LUMP = 1 << 16   # pieces of a text held at once
-COUNTED = 1 << 17  # distinct pieces a task counts before it hands them on
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -60,55 +59,59 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in f if line.strip())]
 
 
+def token_pairs(ranks: dict[bytes, int]) -> pa.Table:
+    """first, second, rank: every way to cut a token into two tokens."""
+    cuts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    return pa.table({name: pa.array([c[k] for c in cuts], pa.int64()) for k, name in enumerate(("first", "second", "rank"))})
+
+
 def _bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    return F.pmod(key, F.lit(BUCKETS)).cast("int")
 
 
-def _buckets(entries: DataFrame) -> DataFrame:
+def _buckets(entries: DataFrame, bucket: Column) -> DataFrame:
     """One row with an array of BUCKETS maps from entries (key, value)."""
     spark = entries.sparkSession
-    lists = entries.groupBy(_bucket(F.col("key")).alias("b")).agg(F.collect_list(F.struct("key", "value")).alias("m"))
+    lists = entries.groupBy(bucket.alias("b")).agg(F.collect_list(F.struct("key", "value")).alias("m"))
     filled = spark.range(BUCKETS).join(lists, F.col("id") == F.col("b"), "left").select("id", "m")
     return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda p: F.map_from_entries(p["m"])).alias("maps"))
 
 
-def _find(maps: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(maps, _bucket(key)), key)
-
-
 def _as_bytes(piece: Column) -> Column:
-    """The UTF-8 bytes of a piece as code points 0-255."""
+    """The UTF-8 bytes of a piece as a string of code points 0-255."""
     return F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
 
 
-def _fold(data: Column, first: Column, left: Column, right: Column) -> Column:
-    """The tokens of a piece's bytes.  The three maps are one rank table, each
-    column used once, so that the optimizer can put it in place."""
-    rank = lambda maps, key: F.coalesce(_find(maps, key), F.lit(NONE))
-    between = lambda at, i, j: F.substr(data, F.get(at, i), F.get(at, j) - F.get(at, i))
-    starts = F.sequence(F.lit(1), F.length(data) + 1)
-    ranks = F.transform(F.sequence(F.lit(1), F.length(data) - 1), lambda i: rank(first, F.substr(data, i, F.lit(2))))
-    none = F.array(F.lit(NONE))
-
-    def merge(acc: Column, p: Column) -> Column:
-        """Merges the pair whose rank is the p-th: the start between its parts
-        goes, and its neighbours are ranked anew; beyond the ends there is
-        nothing to take, and so no rank."""
-        at, r = acc["at"], acc["r"]
-        new = F.array(rank(left, between(at, p - 3, p)), rank(right, between(at, p - 2, p + 1)))
-        r = F.flatten(F.array(F.slice(r, F.lit(1), p - 2), new, F.slice(r, p + 2, F.size(r))))
-        return F.struct(F.array_remove(at, F.get(at, p - 1)).alias("at"), r.alias("r"))
+def _fold(data: Column, of_byte: Column, nothing: int, pairs: list[Column]) -> Column:
+    """The ids of a piece's bytes.  The three columns of pairs are one table,
+    each used once, so that the optimizer can put it in place; ``nothing`` is
+    no id and stands at both ends."""
 
-    def step(acc: Column, _: Column) -> Column:
-        least = F.array_position(acc["r"], F.array_min(acc["r"])).cast("int")
-        return let(least, lambda p: F.when(F.get(acc["r"], p - 1) < NONE, merge(acc, p)).otherwise(acc))
+    def rank(maps: Column, a: Column, b: Column) -> Column:
+        key = a * F.lit(nothing + 1) + b
+        return let(key, lambda k: F.coalesce(F.try_element_at(F.get(maps, _bucket(k)), k), F.lit(NONE).cast("long")))
+
+    end = F.array(F.lit(nothing).cast("long"))
+    ids = F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.get(of_byte, F.ascii(F.substr(data, i, F.lit(1)))))
 
-    def parts(acc: Column) -> Column:
-        return F.transform(F.slice(acc["at"], F.lit(1), F.size(acc["at"]) - 1), lambda x, j: F.substr(data, x, F.get(acc["at"], j + 1) - x))
+    def begin(ids: Column) -> Column:
+        ranks = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda x, j: rank(pairs[0], x, F.get(ids, j + 1)))
+        return F.struct(ids.alias("ids"), ranks.alias("ranks"))
 
-    start = F.struct(starts.alias("at"), F.concat(none, ranks, none).alias("r"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(data) - 1), start, step, parts)
-    return F.when(F.length(data) > 1, folded).otherwise(F.array(data))
+    def merge(ids: Column, ranks: Column, least: Column, p: Column) -> Column:
+        """The p-th pair, of rank least, becomes one part."""
+        new = F.array(rank(pairs[1], F.get(ids, p - 2), least), rank(pairs[2], least, F.get(ids, p + 1)))
+        return F.struct(
+            F.flatten(F.array(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, F.size(ids)))).alias("ids"),
+            F.flatten(F.array(F.slice(ranks, F.lit(1), p - 2), new, F.slice(ranks, p + 2, F.size(ranks)))).alias("ranks"))
+
+    def step(acc: Column, _: Column) -> Column:
+        ids, ranks = acc["ids"], acc["ranks"]
+        return let(F.array_min(ranks), lambda least: F.when(least >= NONE, acc).otherwise(
+            let(F.array_position(ranks, least).cast("int"), lambda p: merge(ids, ranks, least, p))))
+
+    start = let(F.flatten(F.array(end, ids, end)), begin)
+    return F.aggregate(F.sequence(F.lit(1), F.length(data)), start, step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2))
 
 
 def heap_merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -149,6 +152,9 @@ def heap_merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def _lumps(cut: regex.Pattern, text: str | None) -> Iterator[list[str]]:
     """The pieces of a text, LUMP at once."""
+    if text and len(text) <= LUMP and not cut.groups:
+        yield cut.findall(text)
+        return
     found = (m[0] for m in cut.finditer(text or ""))
     while lump := list(islice(found, LUMP)):
         yield lump
@@ -179,45 +185,33 @@ class Tokenizer:
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         known = read_ranks(path)
+        ranks = dict(known)
         self.pattern = pattern
-        self.known = spark.sparkContext.broadcast(dict(known))
-        rows = spark.createDataFrame([(t.decode("latin-1"), t.hex(), r) for t, r in known], "key string, hex string, value int")
-        self.ranks = settle(_buckets(rows.select("key", "value")), "bpe-ranks")
+        self.known = spark.sparkContext.broadcast(ranks)
+        rows = spark.createDataFrame([(t.decode("latin-1"), t.hex(), r) for t, r in known], "key string, hex string, value long")
+        self.whole = settle(_buckets(rows.select("key", "value"), _bucket(F.xxhash64("key"))), "bpe-ranks")
+        self.nothing = max(r for _, r in known) + 1
+        self.of_byte = [ranks[bytes([b])] for b in range(256)]
+        pairs = spark.createDataFrame(token_pairs(ranks)).select((F.col("first") * (self.nothing + 1) + F.col("second")).alias("key"), F.col("rank").alias("value"))
+        self.pairs = settle(_buckets(pairs, _bucket(F.col("key"))), "bpe-pairs")
         places = spark.range(max(r for _, r in known) + 1).join(rows, F.col("id") == F.col("value"), "left")
         self.tokens = settle(places.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("hex", F.lit("")).alias("hex")))), lambda x: x["hex"]).alias("hexes")), "bpe-tokens")
 
     def _tables(self) -> list[Column]:
-        return [self.ranks.scalar().alias(f"_r{i}") for i in range(5)]
+        return [self.whole.scalar().alias("_whole"), *(self.pairs.scalar().alias(f"_pairs{i}") for i in range(3))]
 
-    @staticmethod
-    def _ids(piece: Column) -> Column:
-        """A piece's ids, joined by commas; _r0 to _r4 must be in the row."""
+    def _ids(self, piece: Column) -> Column:
+        """A piece's ids, joined by commas; the tables must be in the row."""
+        of_byte = F.lit(self.of_byte).cast("array<long>")
         return let(_as_bytes(piece), lambda data: F.coalesce(
-            _find(F.col("_r0"), data).cast("string"),
-            F.array_join(F.transform(_fold(data, F.col("_r1"), F.col("_r2"), F.col("_r3")), lambda x: _find(F.col("_r4"), x).cast("string")), ",")))
+            F.try_element_at(F.get(F.col("_whole"), _bucket(F.xxhash64(data))), data).cast("string"),
+            F.array_join(_fold(data, of_byte, self.nothing, [F.col(f"_pairs{i}") for i in range(3)]).cast("array<string>"), ",")))
 
     def counted(self, docs: DataFrame) -> DataFrame:
         """key, n: the pieces of all texts, of at most FOLD bytes, and their counts."""
-        pattern = self.pattern
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cut, seen = regex.compile(pattern), Counter()
-
-            def flush() -> pa.RecordBatch:
-                short = [(k, n) for k, n in seen.items() if len(k) <= FOLD and len(k.encode()) <= FOLD]
-                seen.clear()
-                return pa.RecordBatch.from_arrays([pa.array([k for k, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["key", "n"])
-
-            for batch in batches:
-                for text in batch.column(0):
-                    for lump in _lumps(cut, text.as_py()):
-                        seen.update(lump)
-                        if len(seen) >= COUNTED:
-                            yield flush()
-            yield flush()
-
-        pieces = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key string, n long")
-        return pieces.groupBy("key").agg(F.sum("n").alias("n"))
+        cut = F.lit("(?U)" + self.pattern)  # white space as in Unicode
+        pieces = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), cut, F.lit(0))).alias("key"))
+        return pieces.filter(F.octet_length("key") <= FOLD).groupBy("key").agg(F.count("*").alias("n"))
 
     def words(self, docs: DataFrame, bound: int) -> Words:
         """The most frequent pieces, ``bound`` at most, and their ids."""
@@ -246,21 +240,16 @@ class Tokenizer:
             ready: list[str] = []
             for lump in _lumps(cut, text):
                 found = list(map(ids.get, lump))
-                if None in found:
-                    for i, x in enumerate(found):
-                        if x is not None:
-                            continue
-                        data = lump[i].encode()
-                        if len(data) > FOLD:
-                            found[i] = ",".join(map(str, heap_merge(data, known.value)))
-                    lo = 0
-                    for i, x in enumerate(found):
-                        if x is None:
-                            ready.append(",".join(found[lo:i]))
-                            parts.append({"ids": ",".join(filter(None, ready)) or None, "rest": lump[i]})
-                            ready, lo = [], i + 1
-                    found = found[lo:]
-                ready.append(",".join(found))
+                lo = 0
+                for i in [i for i, x in enumerate(found) if x is None]:
+                    data = lump[i].encode()
+                    if len(data) > FOLD:
+                        found[i] = ",".join(map(str, heap_merge(data, known.value)))
+                    else:
+                        ready.append(",".join(found[lo:i]))
+                        parts.append({"ids": ",".join(filter(None, ready)) or None, "rest": lump[i]})
+                        ready, lo = [], i + 1
+                ready.append(",".join(found[lo:]))
             last = ",".join(filter(None, ready))
             return [*parts, {"ids": last, "rest": None}] if last else parts
 
