@@ -87,3 +87,8 @@ def agent_normalise(spark, d):
 @query("trade_projection", "SELECT date, security, decision, confidence FROM v_agent_results")
 def trade_projection(spark, d):
     return rs.trade_projection(fx.v_agent_results(spark, d), trade_only=True)
+
+
+@query("trade_projection_full", "SELECT date, security, decision, confidence, earning_decision, earning_magnitude FROM v_agent_results")
+def trade_projection_full(spark, d):
+    return rs.trade_projection(fx.v_agent_results(spark, d), trade_only=False)
