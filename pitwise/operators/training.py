@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwise.functions.numeric import round_half_up
@@ -62,10 +62,10 @@ def completion_text(value: Column, decimals: int = 3) -> Column:
 
 
 def training_set(prompts: DataFrame, eps_pairs: DataFrame, *, seed: str = "42", n: int = MAX_RECORDS,
-                 value_col: str = "analyst_estimated_eps") -> DataFrame:
+                 value_col: str = "analyst_estimated_eps", cue: str = PROMPT_SUFFIX) -> DataFrame:
     """DOM15 as the reference builds it: (date, security) prompts taken in the
     seeded date order up to ``n`` (whether or not an EPS exists), each cut
-    before the balance sheet and ending with the completion cue; completion
+    before the balance sheet and ending with the completion ``cue``; completion
     = the next-period EPS the data gives as of the date (AGG21's estimate,
     ``eps_pair``) rounded to 3, NULL when there is none; then the split.
     The join runs after the top-``n`` cut, so at most ``n`` rows look up an
@@ -74,6 +74,17 @@ def training_set(prompts: DataFrame, eps_pairs: DataFrame, *, seed: str = "42",
     s = sample_records(p, seed=seed, n=n)
     e = eps_pairs.select("security", "date", F.col(value_col).alias("__eps"))
     j = s.join(e, ["security", "date"], "left")
-    prompt = F.concat(text_before(F.col("prompt"), PROMPT_CUT), F.lit(PROMPT_SUFFIX))
+    prompt = F.concat(text_before(F.col("prompt"), PROMPT_CUT), F.lit(cue))
     out = j.select("date", "security", prompt.alias("prompt"), completion_text(F.col("__eps")).alias("completion"))
     return train_test_split(out, ["date", "security"])
+
+
+def write_training_set(rows: DataFrame, path: str) -> None:
+    """DOM15's file: JSON lines of prompt and completion, one folder for each
+    split.  A completion that is NULL is written as null."""
+    rows.select("prompt", "completion", "split").write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("split").json(path)
+
+
+def read_training_set(spark: SparkSession, path: str) -> DataFrame:
+    """prompt, completion, split of such a file; reading one split reads its folder only."""
+    return spark.read.schema("prompt string, completion string, split string").json(path)
