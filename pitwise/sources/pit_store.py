@@ -23,10 +23,12 @@ STORE_SCHEMA = T.StructType([
 PRICE_SCHEMA = "map<string,map<string,double>>"
 
 
-def write_store(nested: DataFrame, path: str) -> None:
+def write_store(nested: DataFrame, path: str, compression: str = "gzip") -> None:
+    """The texts repeat every item's label in each period, so the files are
+    compressed (one per task; readers take them as they are)."""
     nested.select(F.col("as_of").cast("string").alias("as_of"), "id", F.col("is_json").alias("is"),
                   F.col("bs_json").alias("bs"), *[c for c in ("px", "mt") if c in nested.columns]) \
-        .write.mode("overwrite").json(path)
+        .write.mode("overwrite").option("compression", compression).json(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
