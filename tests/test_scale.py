@@ -34,7 +34,7 @@ def test_selected_facts_are_not_shuffled(spark, key):
                 depth = m.start()
                 above.append(ln[depth:])
         dealt = [ln for ln in above if ln.startswith("Exchange")]
-        assert all(re.match(r"Exchange hashpartitioning\(as_of#\d+(, period_end#\d+)?, ", ln) for ln in dealt)
+        assert all(re.match(r"Exchange hashpartitioning\(as_of#\d+(, period_end#\d+)?, \d+\)", ln) for ln in dealt)
 
 
 def test_prompts_compute_the_matrix_once(spark):
