@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
     longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
     profile = settle(rows.mapInArrow(_profile(n), T.StructType([id_field, *longs("n", "a", "b"), T.StructField("bucket", T.IntegerType())])), "jaccard-profile")
-    table = profile.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2**19 rows at most
+    table = profile.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**19 rows at most, as columns
     counts = np.zeros(2 * BUCKETS, np.int64)
     counts[table["bucket"].to_numpy()] = table["n"].to_numpy()
 

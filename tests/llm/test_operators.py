@@ -177,6 +177,16 @@ def test_near_duplicates_of_ids_with_several_texts(docs):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
 
 
+def test_jaccard_counts_reach_the_driver_as_columns(spark, docs, monkeypatch):
+    """Not as half a million row objects, which take 100 MB and more."""
+    def refuse(self):
+        raise AssertionError("rows as objects at the driver")
+
+    monkeypatch.setattr(type(docs([])), "toPandas", refuse)
+    rows = planted(seed=6)
+    assert rows_of(jaccard_join.near_duplicates(docs(rows), 3, 90), "doc_id", "n_shingles", "component_id") == sorted(brute.near_duplicates(rows, 3, 90), key=repr)
+
+
 # ---------------------------------------------------------------- personal data
 
 PII_TEXT = st.lists(st.sampled_from([
