@@ -23,7 +23,10 @@ words the whole sequence).  Two documents link when
    given in the first of its common bands only.  A shingle that only one of
    these members has is in no common part, so the others bound what the
    member can share with any: members and pairs below the bound go out,
-   exactly, and so do members that fall below it when those are gone.
+   exactly, and so do members that fall below it when those are gone.  Each
+   member also has a map of MARKS bits of its shingles' hashes: a bit that only
+   one of two members has stands for a shingle, or more, that they do not
+   share, so pairs that cannot link by it go out within the join, exactly too.
 5. Each pair is tested by size and by one bit of each signature value (linked
    sets differ in more bits with probability 1e-12 at most), in step 4 within
    the join, and then confirmed once on the full sets of both whole texts.
@@ -55,6 +58,7 @@ from pitwise.llm.tokens import Words, chunks, mix
 SKETCH = 8               # 64-bit words of signature bits
 BLOCK = 1 << 15          # shingles whose permutations are taken at once
 FILTER_BITS = 24
+MARKS = 1024             # bits of a member's map of shingles
 
 
 @dataclass(frozen=True)
@@ -208,9 +212,9 @@ def _texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     semi-join is exact."""
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
     low = F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1)
-    words = ids.select(low.alias("h")).groupBy((F.shiftright("h", 6)).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toPandas()
+    words = ids.select(low.alias("h")).groupBy((F.shiftright("h", 6)).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
     bitmap = np.zeros((1 << FILTER_BITS) // 64, np.uint64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    bitmap[words["w"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
     hashed = rows.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").bitwiseAND((1 << FILTER_BITS) - 1).alias("h"))
     near = hashed.mapInArrow(_marked(bitmap), T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType())]))
     return near.join(ids, near["doc_id"] == ids["id"], "left_semi")
@@ -243,8 +247,22 @@ def _confirmed(rows: DataFrame, pairs: DataFrame, n: int, percent: int, name: st
     return settle(sides.mapInArrow(_confirm(n, percent), T.StructType([pairs.schema["x"], pairs.schema["y"]])).distinct(), f"{name}-links")
 
 
+def marks(u: np.ndarray) -> np.ndarray:
+    """A set's map of MARKS bits, as 64-bit words."""
+    bits = np.zeros(MARKS, np.uint8)
+    bits[((u >> np.uint64(32)) & np.uint64(MARKS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _shared_at_most(x: str, y: str) -> str:
+    """A bound of how many shingles two members share: a set's size, less the
+    bits of its map that the other one lacks."""
+    lacks = lambda p, q: " + ".join(f"bit_count({p}m{i} & ~{q}m{i})" for i in range(MARKS // 64))
+    return f"least({x}size - ({lacks(x, y)}), {y}size - ({lacks(y, x)}))"
+
+
 def _grams(n: int):
-    """Per text its id, its set's digest and its set."""
+    """Per text its id, its set's digest, its set and the map of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -254,15 +272,19 @@ def _grams(n: int):
                 a = [int(np.frombuffer(hashlib.md5(u.tobytes()).digest(), np.int64)[0]) for u in sets]
                 offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a, pa.int64()), grams], ["id", "a", "grams"])
+                maps = np.array([marks(u) for u in sets], np.int64).reshape(len(sets), MARKS // 64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(a, pa.int64()), grams, *(pa.array(maps[:, i]) for i in range(MARKS // 64))],
+                    ["id", "a", "grams", *(f"m{i}" for i in range(MARKS // 64))])
 
     return run
 
 
 def _shareable(rows: DataFrame, members: DataFrame, n: int, percent: int, rounds: int = 2) -> DataFrame:
-    """id, a, most: the members that can link, and how many of their shingles another member has."""
+    """id, a, most and the map's words m0, m1 ...: the members that can link, and how many of their shingles another member has."""
     texts = _texts_of(rows, members.select(F.col("id").alias("x"), F.col("id").alias("y")))
-    schema = T.StructType([T.StructField("id", rows.schema["doc_id"].dataType), T.StructField("a", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", rows.schema["doc_id"].dataType), T.StructField("a", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType())),
+                           *(T.StructField(f"m{i}", T.LongType()) for i in range(MARKS // 64))])
     # rows that repeat one id and text would hide what is theirs alone
     sets = texts.select("doc_id", "text").distinct().mapInArrow(_grams(n), schema).join(members, ["id", "a"], "left_semi")
     sets = settle(sets, "minhash-sets")
@@ -342,8 +364,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     rest = settle(rest.join(able, ["id", "a"]).join(heads.drop("size"), ["id", "a"]), "minhash-rest")
     l, r = rest.alias("l"), rest.alias("r")
     enough = F.expr(f"100 * least(l.most, r.most) >= {percent} * (l.size + r.size - least(l.most, r.most))")
+    marked = F.expr(f"{100 + percent} * {_shared_at_most('l.', 'r.')} >= {percent} * (l.size + r.size)")
     across = l.join(r, F.expr("l.key = r.key and l.part <> r.part and l.id < r.id") & _alike_sizes("l.size", "r.size", percent) & enough & (
-        _differing("l.", "r.") <= plan.limit) & _first_common("l.key", "l.bands", "r.bands"))
+        _differing("l.", "r.") <= plan.limit) & marked & _first_common("l.key", "l.bands", "r.bands"))
     pairs = settle(across.select(F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"), "minhash-rest-pairs")
     edges = edges.union(_edges(_confirmed(rows, pairs, n, percent, "minhash-rest")))
 

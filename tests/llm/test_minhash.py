@@ -52,6 +52,41 @@ def test_a_large_group_of_near_copies(spark, docs):
     assert rows_of(got, *COLUMNS) == expected(rows, 4, 80)
 
 
+def test_pairs_that_cannot_link_leave_the_join(spark, docs, monkeypatch):
+    """Members alike that do not link, whose changes others have too: next to
+    none of their pairs leaves the join across components."""
+    rng = random.Random(12)
+    common = prose(rng, 160).split(" ")
+    changes = [(k, f"x{k}") for k in range(4, 156, 3)]
+    rows = []
+    for k in range(120):
+        w = list(common)
+        for at, word in rng.sample(changes, 4):
+            w[at] = word
+        rows.append((k, " ".join(w)))
+    settled, seen = minhash.settle, {}
+
+    def spy(df, name):
+        seen[name] = settled(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(minhash, "settle", spy)
+    got = minhash.near_duplicates(docs(rows), 4, 80)
+    assert rows_of(got, *COLUMNS) == expected(rows, 4, 80)
+    apart = seen["minhash-rest"].select("id").distinct().count()
+    assert apart > 60 and seen["minhash-rest-pairs"].count() <= 2 * apart
+
+
+def test_the_map_of_shingles_bounds_what_two_sets_share():
+    rng = np.random.default_rng(3)
+    for size in (1, 50, 150, 900, 5000):
+        u = np.unique(rng.integers(0, 1 << 63, 2 * size).astype(np.uint64))
+        x, y = u[:size + size // 2], u[size // 2:]
+        a, b = minhash.marks(x), minhash.marks(y)
+        lacks = lambda p, q: int(np.bitwise_count((p & ~q).view(np.uint64)).sum())
+        assert len(np.intersect1d(x, y)) <= min(len(x) - lacks(a, b), len(y) - lacks(b, a))
+
+
 def test_repeated_and_missing_ids(spark, docs):
     """Rows of one id are one document, which links by any of its texts."""
     rng = random.Random(9)
