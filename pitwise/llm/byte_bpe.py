@@ -8,6 +8,9 @@ no pair is a token.
 - The distinct pieces of the corpus are counted, and the ``bound`` most
   frequent are folded once.  They are cut by Java's regular expressions, whose
   Unicode is older; a piece that the texts do not have is only never used.
+- Arrow tasks cut the texts by the regex library; those without characters beyond U+FFFF
+  by Python's own, which is faster, with the same pattern, whose classes are
+  spelt out as the regex library has them.
 - The merge is a fold over a piece's bytes.  Its state is the starts of the
   parts and the ranks of neighbouring parts, with a rank of nothing at each
   end; a step merges one pair and looks up the two new neighbours.  Bytes are
@@ -34,8 +37,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from array import array
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import pyarrow as pa
@@ -146,7 +151,44 @@ def heap_merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _lumps(cut: regex.Pattern, text: str | None) -> Iterator[list[str]]:
+def _spelt(kind: str) -> str:
+    """The characters up to U+FFFF of a class, as ranges of a set."""
+    return "".join(f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in regex.finditer(f"{kind}+", "".join(map(chr, range(1 << 16)))))
+
+
+@cache
+def spelt_out(pattern: str) -> re.Pattern | None:
+    """A pattern of the regex library for Python's own, with its classes spelt
+    out for characters up to U+FFFF; None if it has more than classes, sets,
+    look-aheads, groups, escaped marks and repeats."""
+    out, within = [], False
+    for t in re.findall(r"\\p\{\w+\}|\\.|\(\?.|\(|.", pattern, re.DOTALL):
+        if t.startswith("\\p{") or t == "\\s":
+            out.append(_spelt(t) if within else f"[{_spelt(t)}]")
+        elif t == "\\S" and not within:
+            out.append(f"[^{_spelt(chr(92) + 's')}]")
+        elif t in ("(?!", "(?=", "(?:") or t in ("\\r", "\\n", "\\t") or (t[0] == "\\" and not t[1].isalnum()):
+            out.append(t)
+        elif len(t) > 1 or t in ".^$" and not (within and t == "^") or within and t == "[":
+            return None
+        else:
+            within = t == "[" or within and t != "]"
+            out.append(t)
+    return re.compile("".join(out))
+
+
+class Cut:
+    """Cuts texts by a pattern."""
+
+    def __init__(self, pattern: str):
+        self.any, self.near = regex.compile(pattern), spelt_out(pattern)
+
+    def lumps(self, text: str | None) -> Iterator[list[str]]:
+        near = text and self.near and len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+        return _lumps(self.near if near else self.any, text)
+
+
+def _lumps(cut: regex.Pattern | re.Pattern, text: str | None) -> Iterator[list[str]]:
     """The pieces of a text, LUMP at once."""
     if text and len(text) <= LUMP and not cut.groups:
         yield cut.findall(text)
@@ -226,10 +268,9 @@ class Tokenizer:
         that is to be folded, and that piece, if any."""
         pattern, known, table = self.pattern, self.known, docs.sparkSession.sparkContext.broadcast(words)
 
-        def parts_of(text: str | None, cut: regex.Pattern, ids: dict[str, str]) -> list[dict]:
-            parts: list[dict] = []
+        def add_parts(text: str | None, cut: Cut, ids: dict[str, str], before: list[str | None], rest: list[str | None]) -> None:
             ready: list[str] = []
-            for lump in _lumps(cut, text):
+            for lump in cut.lumps(text):
                 found = list(map(ids.get, lump))
                 lo = 0
                 for i in [i for i, x in enumerate(found) if x is None]:
@@ -238,21 +279,26 @@ class Tokenizer:
                         found[i] = ",".join(map(str, heap_merge(data, known.value)))
                     else:
                         ready.append(",".join(found[lo:i]))
-                        parts.append({"ids": ",".join(filter(None, ready)) or None, "rest": lump[i]})
+                        before.append(",".join(filter(None, ready)) or None)
+                        rest.append(lump[i])
                         ready, lo = [], i + 1
                 ready.append(",".join(found[lo:]))
-            last = ",".join(filter(None, ready))
-            return [*parts, {"ids": last, "rest": None}] if last else parts
-
-        part = pa.list_(pa.struct([("ids", pa.string()), ("rest", pa.string())]))
+            if last := ",".join(filter(None, ready)):
+                before.append(last)
+                rest.append(None)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cut = regex.compile(pattern)
+            cut = Cut(pattern)
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 for lo, hi in chunks(texts):
-                    parts = [parts_of(t, cut, table.value.ids()) for t in texts[lo:hi]]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(parts, part)], ["doc_id", "parts"])
+                    offsets, before, rest = [0], [], []
+                    for t in texts[lo:hi]:
+                        add_parts(t, cut, table.value.ids(), before, rest)
+                        offsets.append(len(rest))
+                    parts = pa.StructArray.from_arrays([pa.array(before, pa.string()), pa.array(rest, pa.string())], ["ids", "rest"])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)], ["doc_id", "parts"])
 
         schema = T.StructType([
             T.StructField("doc_id", docs.schema["doc_id"].dataType),

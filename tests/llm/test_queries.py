@@ -115,6 +115,19 @@ def test_bpe_of_long_pieces(spark, docs, encoding):
         assert {r.doc_id: r.ids for r in t.encode(docs(rows), bound).collect()} == want
 
 
+def test_texts_are_cut_alike_by_both_libraries(encoding):
+    """Python's own expressions, with the classes spelt out, cut at every
+    character as the regex library does, by whose pattern the library cuts."""
+    cut, own = regex.compile(public_tokenizers.PATTERN), byte_bpe.spelt_out(public_tokenizers.PATTERN)
+    for c in map(chr, [*range(0xD800), *range(0xE000, 1 << 16)]):
+        text = f"a{c}b 1{c} {c}{c}  {c}'s"
+        assert own.findall(text) == cut.findall(text)
+    both = byte_bpe.Cut(public_tokenizers.PATTERN)
+    for text in ("é😀 ñ  𝼀𝼀b ½", "\x1c \x1f\x85\u3000 x", "漢字 \u0660a"):
+        assert [p for lump in both.lumps(text) for p in lump] == cut.findall(text)
+    assert all(byte_bpe.spelt_out(p) is None for p in (r"(?i:a)", r"\w+", "a.", r"[^\S]", r"\P{L}"))
+
+
 def test_bpe_counts_every_piece_once(spark, docs, monkeypatch):
     monkeypatch.setattr(byte_bpe, "LUMP", 3)
     texts_of = ["a b c a a d", "a b", None, "", "x" * 65]
