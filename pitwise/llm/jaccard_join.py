@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitwise.llm.components import connected_components
-from pitwise.llm.tables import bitmap, settle, spread
+from pitwise.llm.tables import among, settle, spread
 from pitwise.llm.tokens import Words, chunks
 
 BUCKETS = 1 << 18
@@ -167,26 +167,13 @@ def _verify(n: int, percent: int):
     return run
 
 
-def _chosen(wanted: np.ndarray):
-    """Rows whose id may be wanted; the exact join follows."""
-    mask = (1 << FILTER_BITS) - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("h").to_numpy() & mask
-            keep = (wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
-
-    return run
-
-
 def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, text of the documents in pairs.  A bitmap of 2**24 bits keeps
     most other texts out of the shuffle; the semi-join is exact."""
+    bit = lambda c: F.xxhash64(c).bitwiseAND((1 << FILTER_BITS) - 1)
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    wanted = bitmap(ids.select(F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1).alias("bit")), "bit", FILTER_BITS)
-    rows = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"))
-    near = rows.mapInArrow(_chosen(wanted), T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType())]))
+    rows = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    near = among(rows, bit("doc_id"), ids.select(bit("id").alias("bit")), "bit")
     return near.join(ids, near["doc_id"] == ids["id"], "left_semi")
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitwise.llm.tables import settle, small_batches
 from pitwise.llm.tokens import Words, chunks
 
 BITS = 18
@@ -158,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     known = chosen.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
     texts = texts.groupBy("label_id", "quality").agg(F.min("text").alias("text"))
-    got = texts.select("quality", "text").mapInArrow(run, schema).toArrow()
+    with small_batches(docs.sparkSession):
+        got = texts.select("quality", "text").mapInArrow(run, schema).toArrow()
     # in a fixed order whatever that of the partitions
     y = got.column("quality").to_numpy()
     indices = [np.cumsum(np.frombuffer(zlib.decompress(f.as_buffer()), np.int32), dtype=np.int32) for f in got.column("f")]

@@ -35,7 +35,7 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     have = _powers.get((base, inverse))
     if have is None or len(have) <= n:
         b = pow(base, -1, 1 << 64) if inverse else base
-        size = max(n + 1, SEGMENT + 1)
+        size = max(1 << n.bit_length(), 1 << 16) + 1
         have = np.ones(size, np.uint64)
         have[1:] = b
         have = np.cumprod(have, dtype=np.uint64)
