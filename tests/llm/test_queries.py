@@ -3,11 +3,15 @@ tiktoken library or plain versions; and the pipeline, stage by stage."""
 
 import base64
 import hashlib
+import itertools
 import random
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -139,6 +143,54 @@ def test_bpe_counts_every_piece_once(spark, docs, monkeypatch):
     assert got == {"a": 2, " a": 2, " b": 2, " c": 1, " d": 1}
 
 
+def test_folded_words_are_found_in_columns_and_only_by_their_keys(monkeypatch):
+    words = {f" w{'é' * (i % 3)}{i}": f"{i},{i + 1}" for i in range(1000)}
+    table = pa.Table.from_batches([pa.RecordBatch.from_pydict({"key": k, "value": list(map(words.get, k))}) for k in ([*words][:10], [*words][10:400], [*words][400:])])
+    asked = [*words, "", " w", " absent", *words]
+    monkeypatch.setattr(byte_bpe, "HOT", 10)
+    for h in (hash, lambda s: hash(s) % 700, lambda s: 1):
+        monkeypatch.setattr(byte_bpe, "hash", h, raising=False)
+        found = list(map(words.get, asked))
+        assert byte_bpe.Words(table).ids(asked) == (found, [i for i, x in enumerate(found) if x is None])
+    empty = byte_bpe.Words(table.slice(0, 0))
+    assert empty.ids(["a"]) == ([None], [0]) and empty.ids([]) == ([], [])
+
+
+@pytest.mark.parametrize("lump", [1, 3, 1 << 16])
+def test_parts_of_texts_cut_together_or_in_lumps(monkeypatch, lump):
+    monkeypatch.setattr(byte_bpe, "LUMP", lump)
+    cut = byte_bpe.Cut(r"[a-z]+| ")
+    words = byte_bpe.Words(pa.table({"key": ["a", " ", "bb"], "value": ["1", "2", "3,4"]}))
+    texts = ["a x a", None, "", "x", "x y", "bb a bb", "a" * 65 + " bb", "a\U0001f600 x"]
+    parts = [[("1,2", "x"), ("2,1", None)], [], [], [(None, "x")], [(None, "x"), ("2", "y")], [("3,4,2,1,2,3,4", None)], [(",".join(["7"] * 65) + ",2,3,4", None)], [("1,2", "x")]]
+    offsets, before, rest = byte_bpe._parts(cut, texts, words, SimpleNamespace(value={b"a": 7}))
+    both = list(zip(before, rest, strict=True))
+    assert [both[i:j] for i, j in itertools.pairwise(offsets)] == parts
+
+
+def test_folded_words_take_less_memory_than_a_dict(monkeypatch):
+    n = 1 << 18
+    monkeypatch.setattr(byte_bpe, "HOT", n >> 2)  # as 2**18 of 2**20
+    table = pa.table({"key": [f" word{i}" for i in range(n)], "value": [f"{i},{i},{i}" for i in range(n)]}).combine_chunks()
+    table = pa.Table.from_batches(table.to_batches(max_chunksize=10_000))
+    words = byte_bpe.Words(table)
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        assert words.ids([" word0", f" word{n - 1}"])[0] == ["0,0,0", f"{n - 1},{n - 1},{n - 1}"]
+        taken = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert taken < 100 * n
+
+
+def test_a_fold_keeps_its_state_in_one_array(spark):
+    t = Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = spark.createDataFrame([(" zzzaazzaaqx",), ("é",), ("a",)], "key string").select("key", *t._tables())
+    text = rows.select(t._ids(F.col("key")).alias("ids"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in text and "flatten" not in text
+
+
 def test_classifier_query_on_its_held_out_fold(spark):
     got = queries.op1_quality_classifier(spark, SF_SMALL)
     labels = table(spark, SF_SMALL, "labels").select("doc_id", "quality")
