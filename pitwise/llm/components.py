@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.llm.tables import settle, spread
+from pitwise.llm.tables import settle, spread, swept
 
 
 def _star(edges: DataFrame, center: str, other: str, least: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     e, seen = settle(e, "components"), None
     for _ in range(max_rounds):
-        n, s = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        with swept(e.sparkSession):
+            n, s = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (n, s) == seen or n == 0:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 e.select("b", "b").distinct()
