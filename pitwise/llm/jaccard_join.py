@@ -18,7 +18,7 @@ words the whole sequence).  Two documents link when
    (the least class) is paired with the others, so a group of thousands of
    near copies costs one pair for each, not all pairs.  Entries of n-grams that
    are in one prefix only are found by counts of 32 bits of them, put into a map
-   of 2**27 bits, and are not shuffled.
+   of 2**26 bits at most, and are not shuffled.
 4. Filters: length; positional (what can still match after the first common
    n-gram); suffix (by 64 regions of the n-grams' hashes: the sum of size
    differences bounds the overlap); maps (a bit or two for each n-gram of a
@@ -53,7 +53,7 @@ from pitwise.llm.tokens import Words, chunks
 
 BUCKETS = 1 << 18
 REGIONS = 64
-MET_BITS = 27
+MET_BITS = 26
 
 
 def _grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,14 +180,14 @@ def _may_link(percent: int):
     return run
 
 
-def _entries(met: np.ndarray):
-    """Per n-gram of a prefix that may be in another one (by the map of cells) a row."""
+def _entries(met: np.ndarray, bits: int):
+    """Per n-gram of a prefix that may be in another one (by the map of cells, 2**bits of them) a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prefix = batch.column("prefix")
             at, gram = prefix.offsets.to_numpy(), prefix.values.to_numpy()
-            cell = gram.view(np.uint64) >> np.uint64(64 - MET_BITS)
+            cell = gram.view(np.uint64) >> np.uint64(64 - bits)
             found = np.flatnonzero(met[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & 1)
             found = found[(found >= at[0]) & (found < at[-1])]
             row = np.searchsorted(at, found, "right") - 1
@@ -298,10 +298,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # an id has a head, and so entries, for each of its sets; of all entries only 32 bits of the n-gram are shuffled, as
     # counts, and those that meet no other one go out before the rest of them is.  A few that stay alone do no harm
     cells = heads.select(F.explode("prefix").alias("gram")).groupBy(F.shiftright("gram", 32).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    top = F.shiftright("cell", 32 - MET_BITS).bitwiseAND((1 << MET_BITS) - 1)
-    often = bitmap(cells.filter("n > 1").select(top.alias("cell")), "cell", MET_BITS)
+    cells = settle(cells.filter("n > 1").select("cell"), "jaccard-cells")
+    # eight bits for each, as far as the bound goes: tasks hold the map beside their texts
+    bits = min(MET_BITS, max(16, (8 * cells.count()).bit_length()))
+    often = bitmap(cells.select(F.shiftright("cell", 32 - bits).bitwiseAND((1 << bits) - 1).alias("cell")), "cell", bits)
     entry_schema = T.StructType([heads.schema["id"], heads.schema["a"], heads.schema["size"], T.StructField("pos", T.IntegerType()), T.StructField("gram", T.LongType())])
-    met = settle(heads.select("id", "a", "size", "prefix").mapInArrow(_entries(often), entry_schema), "jaccard-met")
+    met = settle(heads.select("id", "a", "size", "prefix").mapInArrow(_entries(often, bits), entry_schema), "jaccard-met")
     lead = spread(met.groupBy("gram").agg(F.min(F.struct("id", "a", "size", "pos")).alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     star = met.join(lead, "gram").filter("lead.id <> id").select(
         F.col("lead.id").alias("x"), F.col("id").alias("y"), F.col("lead.a").alias("xa"), F.col("a").alias("ya"), F.col("lead.size").alias("xs"), F.col("size").alias("ys"),
